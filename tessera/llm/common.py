@@ -135,10 +135,8 @@ def whole_windows(counts: np.ndarray, width: int) -> np.ndarray:
 
 def covered(hits: np.ndarray, width: int, n_words: int) -> np.ndarray:
     """Mask over words: true where a window that starts at one of ``hits`` covers the word."""
-    change = np.zeros(n_words + 1, np.int32)
-    np.add.at(change, hits, 1) if len(hits) < 1000 else change.__iadd__(np.bincount(hits, minlength=n_words + 1).astype(np.int32))
-    ends = np.bincount(hits + width, minlength=n_words + 1).astype(np.int32)[: n_words + 1]
-    return np.cumsum(change - ends)[:n_words] > 0
+    change = np.bincount(hits, minlength=n_words + 1) - np.bincount(hits + width, minlength=n_words + 1)
+    return np.cumsum(change)[:n_words] > 0
 
 
 def per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

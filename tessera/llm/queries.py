@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, rules
+from . import bpe, chat, near_dup, packing, rules, substring
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = rules.ledger(table(spark, sf_dir, "documents"))
     base = F.col("fail_bits").bitwiseAND(F.lit(rules.mask(("base", 1)))) != 0
@@ -45,9 +49,16 @@ def op9_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs, digests=True).select("doc_id", "n_words", "n_removed", F.col("text").alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_rule_ledger": op5_rule_ledger,
     "op6_chat_format": op6_chat_format,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_bpe_backtracking": op9_bpe_backtracking,
+    "op10_substring_dedup": op10_substring_dedup,
 }

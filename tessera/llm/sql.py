@@ -49,4 +49,35 @@ g AS (
 SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, valid FROM g
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_rule_ledger": OP5, "op6_chat_format": OP6}
+OP4 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS ws
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(d, r) AS (SELECT doc_id, doc_id FROM w UNION SELECT reach.d, sides.b FROM reach JOIN sides ON sides.a = reach.r),
+comp AS (SELECT d, min(r) AS component_id FROM reach GROUP BY d)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w JOIN comp ON comp.d = w.doc_id LEFT JOIN n USING (doc_id)
+"""
+
+OP10 = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS pos, ws FROM w),
+keyed AS (SELECT doc_id, pos, array_to_string(ws[pos : pos + 34], ' ') AS k FROM win),
+again AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY k) > 1 AS hit FROM keyed),
+tok AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+cover AS (
+  SELECT tok.doc_id, tok.pos, word, coalesce(bool_or(hit) OVER (PARTITION BY tok.doc_id ORDER BY tok.pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM tok LEFT JOIN again ON again.doc_id = tok.doc_id AND again.pos = tok.pos),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS rest FROM cover GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_near_duplicates": OP4, "op5_rule_ledger": OP5, "op6_chat_format": OP6, "op10_substring_dedup": OP10}
