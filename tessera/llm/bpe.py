@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import sys
 import unicodedata
@@ -35,11 +36,28 @@ from . import common
 #: Stands after the last letter of a word while matching; no text holds it, as letters are byte symbols.
 END = "\0"
 #: Pieces between white space that a worker remembers.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_400_000
 _ODD_SPACES = re.compile("[\\x1c-\\x1f]")
 _SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 
+class Remembered(dict):
+    """What ``make`` gives for a key; when full, the entries used since the last time stay."""
+
+    def __init__(self, make, limit: int = CACHE_PIECES):
+        self.make, self.limit, self.older = make, limit // 2, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key, self)
+        if value is self:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def byte_symbols() -> dict[int, str]:
     """The visible character that stands for each byte in byte-level vocabularies."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -62,6 +80,7 @@ class Encoder:
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self._special_start = os.path.commonprefix(list(self.special))
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._words = regex.compile(split["pattern"]["Regex"])
         self._symbols = byte_symbols()
@@ -77,15 +96,20 @@ class Encoder:
             self.ranks[a, b] = rank
             if made not in self.parts:
                 self.parts[made], self.rank_of[made] = (a, b), rank
-        self.automaton = ahocorasick.Automaton()
+        self.automaton, shown_of = ahocorasick.Automaton(), {}
         self.sizes: dict[int, int] = {}
         for token, i in vocab.items():
             shown = token.removesuffix(self.suffix) + END if token.endswith(self.suffix) else token
-            self.sizes[i] = len(shown)
+            self.sizes[i], shown_of[i] = len(shown), shown
             self.automaton.add_word(shown, i)
         self.automaton.make_automaton()
-        self._compatible: dict[tuple[int, int], bool] = {}
+        #: The compatibility table, filled as pairs are met: (token before or None, token) to whether it may follow.
+        self._fits = Remembered(lambda pair: self.usable(pair[1]) and (pair[0] is None or self._seam_holds(*pair)), 4_000_000)
+        #: The longest token that a token starts with, other than itself.
+        self._shorter = Remembered(lambda token: self._prefix_of(shown_of[token]), len(vocab) * 2 + 2)
         self._usable: dict[int, bool] = {}
+        self._words_seen = Remembered(self.word, 150_000)
+        self._closing = frozenset(".,!?;:)")
         names = {**{i: t for t, i in vocab.items()}, **{i: t for t, i in self.special.items()}}
         top = max(names) + 1
         self.blob = "".join(names.get(i, "") for i in range(top))
@@ -95,20 +119,12 @@ class Encoder:
 
     # -- compatibility -------------------------------------------------------------------------
 
-    def compatible(self, left: int, right: int) -> bool:
+    def _seam_holds(self, a: int, b: int) -> bool:
         """Whether the text of two tokens, encoded as one, gives exactly these two tokens.
 
         Undoes merges from the latest: at each step the pair that meets at the seam must not have
         had an earlier merge of its own than the one that built the side which is undone next.
         """
-        known = self._compatible.get((left, right))
-        if known is None:
-            if len(self._compatible) > 1_000_000:
-                self._compatible.clear()
-            known = self._compatible[left, right] = self._seam_holds(left, right)
-        return known
-
-    def _seam_holds(self, a: int, b: int) -> bool:
         limit = sys.maxsize  # ranks from here on come too late to join the seam
         while True:
             meet = self.ranks.get((a, b))
@@ -131,6 +147,9 @@ class Encoder:
             self._usable[token] = known
         return known
 
+    def _prefix_of(self, shown: str) -> int | None:
+        return next((self.automaton.get(shown[:n]) for n in range(len(shown) - 1, 0, -1) if self.automaton.exists(shown[:n])), None)
+
     def _joins(self, a: int, b: int) -> bool:
         limit = self.ranks[a, b]
         while True:
@@ -149,44 +168,44 @@ class Encoder:
 
     def word(self, word: str) -> list[int]:
         """Ids of one word of the pre-tokenizer, already normalised."""
-        text = "".join(map(self._symbols.__getitem__, word.encode())) + END
-        size, sizes = len(text), self.sizes
-        at: list[list[int]] = [[] for _ in range(size)]
-        for end, token in self.automaton.iter(text):
-            at[end + 1 - sizes[token]].append(token)  # ends rise, so each list goes from short to long
-        out: list[int] = []
-        pos, dead = 0, bytearray(size + 1)
-        tried = [len(x) for x in at]  # candidates of each place that are still to be tried
-        table, compatible = self._compatible, self.compatible
+        if word.isascii() and word.isprintable():
+            text = word + END
+        else:
+            text = word.encode().decode("latin-1").translate(self._symbols) + END
+        # the longest match at each place, as long as neighbours are compatible, is the encoding
+        out, fits, before, pos = [token for _, token in self.automaton.iter_long(text)], self._fits, None, 0
+        for k, token in enumerate(out):
+            if not fits[before, token]:
+                return self._backtrack(text, out[:k], pos, token)
+            pos += self.sizes[token]
+            before = token
+        return out if pos == len(text) else self._backtrack(text, out[:-1], pos - self.sizes[before], before)
+
+    def _backtrack(self, text: str, out: list[int], pos: int, token: int | None) -> list[int]:
+        """Goes on from the accepted tokens ``out``, which end at ``pos``; ``token`` is to be replaced by a shorter one."""
+        size, sizes, fits, shorter, longest = len(text), self.sizes, self._fits, self._shorter, self.automaton.iter_long
+        dead = bytearray(size + 1)
+        token = shorter[token]
         while pos < size:
-            own, before, found = at[pos], out[-1] if out else None, False
-            while tried[pos]:
-                tried[pos] -= 1
-                token = own[tried[pos]]
-                after = pos + sizes[token]
-                if dead[after] or not self.usable(token):
-                    continue
-                if before is not None:
-                    fits = table.get((before, token))
-                    if not (compatible(before, token) if fits is None else fits):
-                        continue
-                found = True
-                break
-            if found:
+            before = out[-1] if out else None
+            while token is not None and (dead[pos + sizes[token]] or not fits[before, token]):
+                token = shorter[token]
+            if token is not None:
                 out.append(token)
-                pos = after
-                if pos < size:
-                    tried[pos] = len(at[pos])
+                pos += sizes[token]
+                token = next(longest(text, pos), (0, None))[1] if pos < size else None
             elif out:
                 dead[pos] = 1
-                pos -= sizes[out.pop()]
+                token = out.pop()
+                pos -= sizes[token]
+                token = shorter[token]
             else:
-                raise ValueError(f"no encoding of {word!r}")
+                raise ValueError(f"no encoding of {text[:-1]!r}")
         return out
 
     def piece(self, piece: str) -> list[int]:
         """Ids of a text without white space."""
-        if self._special_re and any(s in piece for s in self.special):
+        if self._special_start in piece and self._special_re:
             out: list[int] = []
             for part in self._special_re.split(piece):
                 out += [self.special[part]] if part in self.special else self._plain(part)
@@ -199,18 +218,15 @@ class Encoder:
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         else:
             text = text.lower()
+        if text.isalpha():
+            return self._words_seen[text]
+        if text[-1:] in self._closing and text[:-1].isalpha():
+            return self._words_seen[text[:-1]] + self._words_seen[text[-1]]
         out: list[int] = []
         for word in self._words.findall(text):
-            out += self._word_cache(word)
+            out += self._words_seen[word]
         return out
 
-    @property
-    def _word_cache(self):
-        cached = self.__dict__.get("_cached_word")
-        if cached is None:
-            cached = self.__dict__["_cached_word"] = lru_cache(200_000)(self.word)
-        return cached
-
     @staticmethod
     def pieces(text: str) -> list[str]:
         """The text cut at white space, as the normaliser sees it."""
@@ -234,24 +250,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-class Remembered(dict):
-    """What ``make`` gives for a key, remembered while there is room."""
-
-    def __init__(self, make, limit: int = CACHE_PIECES):
-        self.make, self.limit = make, limit
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
 @lru_cache(4)
-def _shown(path: str) -> tuple[Remembered, Remembered]:
+def _shown(path: str) -> Remembered:
+    """A piece's ids as text, and their decoding."""
     own = encoder(path)
-    ids = Remembered(lambda piece: " ".join(map(str, own.piece(piece))), CACHE_PIECES // 2)
-    return ids, Remembered(lambda shown: own.decode(list(map(int, shown.split()))), CACHE_PIECES // 2)
+
+    def make(piece: str) -> tuple[str, str]:
+        ids = own.piece(piece)
+        return " ".join(map(str, ids)), own.decode(ids)
+
+    return Remembered(make, CACHE_PIECES * 2 // 3)
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -273,14 +281,14 @@ def _encoded(docs: DataFrame, path: str, text: str, key: str, digests: bool) ->
     schema = f"`{key}` {source.schema[0].dataType.simpleString()}, n_tokens bigint, {names[2]} string, {names[3]} string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, decoded_of = _shown(path)
+        shown_of = _shown(path)
         for batch in batches:
             for first, texts in common.steps(batch, "__text"):
                 counts, ids, decoded = [], [], []
                 for raw in texts:
-                    shown = list(map(ids_of.__getitem__, Encoder.pieces(raw.decode("utf-8", "replace")))) if raw else []
-                    line = " ".join(shown)
-                    back = " ".join(map(decoded_of.__getitem__, shown))
+                    shown = list(map(shown_of.__getitem__, Encoder.pieces(raw.decode("utf-8", "replace")))) if raw else []
+                    line = " ".join([s[0] for s in shown])
+                    back = " ".join([s[1] for s in shown])
                     counts.append(line.count(" ") + 1 if line else 0)
                     ids.append(hashlib.sha256(line.encode()).hexdigest() if digests else line)
                     decoded.append(hashlib.sha256(back.encode()).hexdigest() if digests else back)

@@ -46,6 +46,15 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that may be broadcast.
+BROADCAST_ROWS = 400_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Marks a stored table of a few numeric columns for broadcast if its counted rows are few; else it is shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fold that no model learns from: crc32 of the id's decimal text divisible by 5."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

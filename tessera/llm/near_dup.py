@@ -55,8 +55,6 @@ CANDIDATE = 29
 #: Members, and shingles, of a cluster that one task confirms.
 CLUSTER, CLUSTER_SHINGLES = 1024, 4_000_000
 PIVOTS = 8
-#: Rows of a cluster membership that may be broadcast (16 bytes each).
-BROADCAST_ROWS = 400_000
 _ROOTS = TREES * BRANCHES
 
 
@@ -317,9 +315,7 @@ def _confirm_large(rows: DataFrame, block: int = CLUSTER) -> DataFrame:
 def _sets(docs: DataFrame, members: DataFrame, text: str, key: str) -> DataFrame:
     """cluster, n, total, key, set of the members; texts are read again rather than kept."""
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("__text"))
-    if members.count() <= BROADCAST_ROWS:
-        members = F.broadcast(members)
-    rows = source.join(members, "key").select("cluster", "n", "total", "key", "__text")
+    rows = source.join(common.broadcast_if_small(members), "key").select("cluster", "n", "total", "key", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

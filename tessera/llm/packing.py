@@ -15,11 +15,11 @@ once each; extra columns are ignored.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,7 +84,7 @@ class BestFit:
 @lru_cache(4)
 def _packed_ids(path: str) -> bpe.Remembered:
     own = bpe.encoder(path)
-    return bpe.Remembered(lambda piece: np.array(own.piece(piece), "<u4").tobytes())
+    return bpe.Remembered(lambda piece: struct.pack(f"<{len(ids := own.piece(piece))}I", *ids))
 
 
 def pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", size: int = SEQUENCE) -> DataFrame:

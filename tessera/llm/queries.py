@@ -8,12 +8,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, near_dup, packing, rules, substring
-from .common import table
+from . import bpe, chat, fm_quality, langid, merkle, near_dup, packing, rules, substring, topk
+from .common import held_out, table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = fm_quality.fit(docs, table(spark, sf_dir, "labels"))
+    return fm_quality.classify(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op3_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits ``pages`` against a replica in which some records have a flipped byte, are cut short or are lost."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    flipped = F.concat(F.lit("~"), F.substring("html", 2, 2**31 - 1))
+    body = F.when(F.col("page_id") % 211 == 7, flipped).when(F.col("page_id") % 1009 == 11, F.left("html", F.lit(10))).otherwise(F.col("html"))
+    replica = pages.where("page_id IS NULL OR page_id % 2003 <> 13").withColumn("html", body)
+    return merkle.audit(merkle.manifest(pages), merkle.manifest(replica)).select("archive", F.col("id").alias("page_id"), "status", "offset_a", "length_a", "offset_b", "length_b")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,6 +64,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op8_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -55,10 +80,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fm_quality": op1_fm_quality,
+    "op2_exact_topk": op2_exact_topk,
+    "op3_merkle_audit": op3_merkle_audit,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_rule_ledger": op5_rule_ledger,
     "op6_chat_format": op6_chat_format,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_gru_language": op8_gru_language,
     "op9_bpe_backtracking": op9_bpe_backtracking,
     "op10_substring_dedup": op10_substring_dedup,
 }

@@ -52,9 +52,9 @@ def mask(policy: tuple[str, int]) -> int:
     return sum(1 << BITS[name] for name in POLICIES[policy])
 
 
-def measure(texts: list[bytes | None]) -> dict[str, np.ndarray]:
-    """The measurements of each text."""
-    hashes, counts = common.word_arrays(texts)
+def measure(texts: list[bytes | None], words: tuple[np.ndarray, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """The measurements of each text; ``words`` are its word hashes and counts where they are known."""
+    hashes, counts = words or common.word_arrays(texts)
     chars, symbols, lines, dup_lines = (np.zeros(len(texts), np.int64) for _ in range(4))
     for i, raw in enumerate(texts):
         if not raw:

@@ -80,4 +80,38 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_near_duplicates": OP4, "op5_rule_ledger": OP5, "op6_chat_format": OP6, "op10_substring_dedup": OP10}
+OP2 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+OP3 = """
+WITH a AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+b AS (
+  SELECT page_id, url, CASE WHEN page_id % 211 = 7 THEN '~' || substr(html, 2) WHEN page_id % 1009 = 11 THEN left(html, 10) ELSE html END AS html
+  FROM a WHERE page_id % 2003 <> 13),
+la AS (SELECT *, (48 + strlen(url) + 18 + strlen(strlen(html)::VARCHAR) + 4 + strlen(html) + 4)::BIGINT AS n FROM a),
+lb AS (SELECT *, (48 + strlen(url) + 18 + strlen(strlen(html)::VARCHAR) + 4 + strlen(html) + 4)::BIGINT AS n FROM b),
+pa AS (SELECT *, (sum(n) OVER (PARTITION BY page_id // 512 ORDER BY page_id) - n)::BIGINT AS o FROM la),
+pb AS (SELECT *, (sum(n) OVER (PARTITION BY page_id // 512 ORDER BY page_id) - n)::BIGINT AS o FROM lb)
+SELECT (page_id // 512)::VARCHAR AS archive, page_id,
+       CASE WHEN pb.n IS NULL THEN 'missing' WHEN pa.html <> pb.html THEN 'changed' ELSE 'moved' END AS status,
+       pa.o AS offset_a, pa.n AS length_a, pb.o AS offset_b, pb.n AS length_b
+FROM pa LEFT JOIN pb USING (page_id)
+WHERE pb.n IS NULL OR pa.html <> pb.html OR pa.o <> pb.o
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_topk": OP2,
+    "op3_merkle_audit": OP3,
+    "op4_near_duplicates": OP4,
+    "op5_rule_ledger": OP5,
+    "op6_chat_format": OP6,
+    "op10_substring_dedup": OP10,
+}
