@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Edges in a stored part.
+PART_ROWS = 1_000_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, label (the smallest node that can be reached) for every node of ``edges`` (a, b: long).
 
@@ -18,7 +22,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     links = common.cut(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
-    before = None
+    before = (links.count(), None)
     for _ in range(max_rounds):
         both = links.unionByName(links.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -26,7 +30,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # every edge now points down, from a to b < a
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
-        links = common.cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        # the edge set does not grow: its stored parts are as many as its last size asks for
+        links = common.cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct().coalesce(8 + before[0] // PART_ROWS), "links")
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

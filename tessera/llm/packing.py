@@ -15,17 +15,17 @@ once each; extra columns are ignored.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe, common
+from . import common
+from .piece_table import piece_table
 
 SEQUENCE = 2048
 OPEN_BINS = 512
@@ -81,29 +81,24 @@ class BestFit:
         return bin_id, self.capacity - free
 
 
-@lru_cache(4)
-def _packed_ids(path: str) -> bpe.Remembered:
-    own = bpe.encoder(path)
-    return bpe.Remembered(lambda piece: struct.pack(f"<{len(ids := own.piece(piece))}I", *ids))
-
-
 def pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", size: int = SEQUENCE) -> DataFrame:
     """A row per piece: key, piece, start, length, ids_crc32 of its little-endian 32-bit ids."""
     source = docs.select(F.col(key), F.col(text).alias("__text"))
     schema = f"`{key}` {source.schema[0].dataType.simpleString()}, {PIECES}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = _packed_ids(path), END_TOKEN.to_bytes(4, "little")
+        known = piece_table(path)
         for batch in batches:
             for first, texts in common.steps(batch, "__text"):
-                rows: list[tuple[int, int, int, int, int]] = []
-                for i, raw in enumerate(texts):
-                    ids = b"".join(map(ids_of.__getitem__, bpe.Encoder.pieces(raw.decode("utf-8", "replace")))) + end if raw else end
-                    for k, at in enumerate(range(0, len(ids), 4 * size)):
-                        part = ids[at : at + 4 * size]
-                        rows.append((first + i, k, at // 4, len(part) // 4, zlib.crc32(part)))
-                where, piece, start, length, crc = map(list, zip(*rows, strict=True))
-                own = batch.column(0).take(pa.array(where, pa.int64()))
+                ids, counts = known.encode(texts, END_TOKEN)
+                data, ends = memoryview(ids.astype("<u4", copy=False)).cast("B"), np.cumsum(counts)
+                parts = -(-counts // size)
+                where = np.repeat(np.arange(len(texts)), parts)
+                piece = np.arange(len(where)) - np.repeat(np.cumsum(parts) - parts, parts)
+                start, length = piece * size, np.minimum(size, counts[where] - piece * size)
+                at = ((ends - counts)[where] + start).tolist()
+                crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(at, length.tolist(), strict=True)]
+                own = batch.column(0).take(pa.array(where + first))
                 yield pa.RecordBatch.from_arrays([own, pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]], [key, "piece", "start", "length", "ids_crc32"])
 
     return source.mapInArrow(run, schema)
