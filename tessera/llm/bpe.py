@@ -85,7 +85,7 @@ class Encoder:
         self._words = regex.compile(split["pattern"]["Regex"])
         self._symbols = byte_symbols()
         self.parts: dict[int, tuple[int, int]] = {}
-        self.ranks: dict[tuple[int, int], int] = {}
+        self.ranks: dict[int, int] = {}  # by left << 20 | right
         self.rank_of: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
@@ -93,9 +93,12 @@ class Encoder:
             a, b = vocab.get(left), vocab.get(right)
             if None in (made, a, b):
                 continue
-            self.ranks[a, b] = rank
+            self.ranks[a << 20 | b] = rank
             if made not in self.parts:
                 self.parts[made], self.rank_of[made] = (a, b), rank
+        tokens = range(max(vocab.values()) + 1)
+        self.rank_list = [self.rank_of.get(i, -1) for i in tokens]
+        self.left, self.right = ([self.parts.get(i, (i, i))[side] for i in tokens] for side in (0, 1))
         self.automaton, shown_of = ahocorasick.Automaton(), {}
         self.sizes: dict[int, int] = {}
         for token, i in vocab.items():
@@ -125,18 +128,19 @@ class Encoder:
         Undoes merges from the latest: at each step the pair that meets at the seam must not have
         had an earlier merge of its own than the one that built the side which is undone next.
         """
+        ranks, rank_of, left, right = self.ranks, self.rank_list, self.left, self.right
         limit = sys.maxsize  # ranks from here on come too late to join the seam
         while True:
-            meet = self.ranks.get((a, b))
+            meet = ranks.get(a << 20 | b)
             if meet is not None and meet < limit:
                 return False
-            rank_a, rank_b = self.rank_of.get(a, -1), self.rank_of.get(b, -1)
-            if rank_a < 0 and rank_b < 0:
-                return True
+            rank_a, rank_b = rank_of[a], rank_of[b]
             if rank_a > rank_b:  # of equal ranks the left one merges first, so the right is undone first
-                limit, a = rank_a, self.parts[a][1]
+                limit, a = rank_a, right[a]
+            elif rank_b >= 0:
+                limit, b = rank_b + 1, left[b]
             else:
-                limit, b = rank_b + 1, self.parts[b][0]
+                return True
 
     def usable(self, token: int) -> bool:
         """Whether merging the token's own text gives the token; others never occur in an encoding."""
@@ -151,7 +155,7 @@ class Encoder:
         return next((self.automaton.get(shown[:n]) for n in range(len(shown) - 1, 0, -1) if self.automaton.exists(shown[:n])), None)
 
     def _joins(self, a: int, b: int) -> bool:
-        limit = self.ranks[a, b]
+        limit = self.ranks[a << 20 | b]
         while True:
             rank_a, rank_b = self.rank_of.get(a, -1), self.rank_of.get(b, -1)
             if rank_a < 0 and rank_b < 0:
@@ -160,7 +164,7 @@ class Encoder:
                 limit, a = min(limit, rank_a), self.parts[a][1]
             else:
                 limit, b = min(limit, rank_b + 1), self.parts[b][0]
-            meet = self.ranks.get((a, b))
+            meet = self.ranks.get(a << 20 | b)
             if meet is not None and meet < limit:
                 return False
 
