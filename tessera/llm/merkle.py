@@ -1,23 +1,29 @@
 """Merkle fixity audit of WARC replicas.
 
-Records are grouped into archives; inside an archive they follow each other by id, so each has a
-byte offset and a length. A leaf hashes a record's offset, length and digest; a node hashes its
-children's hashes in order and so vouches for the range of offsets below it; an archive's root
-vouches for all of it. An audit compares the roots of two replicas and descends only below nodes
-that differ, one join per level, so sound archives cost one comparison each. At the bottom the
-differing records are told apart: ``changed`` (other bytes), ``missing`` and ``extra``, and
-``moved`` (the same bytes at another offset, behind a record that changed its length).
-
-A node has at most ``FANOUT`` children and an archive at most ``ARCHIVE`` records, so no group is
-larger than that, whatever hosts or copies the pages have.
-
-Defined results: null ids form an archive of their own, cut by a hash of the record; null urls and
-bodies count as empty; records that share an id are ordered by digest and told apart by their rank;
-empty tables have no archives; extra columns are ignored.
+Records are grouped into archives by ranges of their ids and follow each other by id, so each has a
+place in its archive's tree, a byte offset and a length. A leaf hashes its record's digest; a node
+hashes its children in order. Besides this content hash every node has a placed hash, which also
+covers the offsets of the records below, so a node vouches for an ordered range of offsets.
+
+An audit compares the roots of two replicas and descends only below nodes whose content differs, one
+join per level. At the bottom it finds the damaged records: ``changed`` (other bytes), ``missing``
+and ``extra``. Where a node's content agrees but its placed hash does not, its records are sound and
+merely lie elsewhere, behind a record that changed its length: the node is reported once as
+``moved``, as a range, and not entered. Sound archives cost one comparison each, and the report
+grows with the damage, not with what lies behind it.
+
+A node has at most ``FANOUT`` children and an archive at most ``ARCHIVE`` ids, so no group is larger
+than that, whatever hosts or copies the pages have.
+
+Defined results: records without an id get archives and places by their digest; null urls and bodies
+count as empty; records that share an id share a leaf, which hashes their digests in order; empty
+tables have no archives; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,61 +42,68 @@ def record_bytes(url: Column, body: Column) -> Column:
 
 
 def manifest(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", per_archive: int = ARCHIVE) -> DataFrame:
-    """archive, place (from 0), id, copy (rank among records of the id), offset, length, digest."""
+    """The leaves: archive, place, id, n (records), content, placed, low (offset) and length."""
     record = record_bytes(F.col(url), F.col(body))
-    rows = pages.select(F.col(key).cast("long").alias("id"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
-    by_hash = F.concat(F.lit("null-"), F.substring("digest", 1, 4))
-    archive = F.coalesce(F.floor(F.col("id") / per_archive).cast("string"), by_hash)
-    rows = rows.withColumn("archive", archive)
-    order = W.partitionBy("archive").orderBy("id", "digest")
-    return rows.select(
-        "archive",
-        (F.row_number().over(order) - 1).cast("long").alias("place"),
-        "id",
-        F.row_number().over(W.partitionBy("archive", "id").orderBy("digest")).cast("long").alias("copy"),
-        (F.sum("length").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("length")).alias("offset"),
-        "length",
-        "digest",
-    )
-
-
-def tree(records: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels from the leaves to the roots: archive, place, hash, low and high (the offsets below it)."""
-    leaf = F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256)
-    level = records.select("archive", "place", leaf.alias("hash"), F.col("offset").alias("low"), (F.col("offset") + F.col("length")).alias("high"))
-    levels = [level]
-    most = records.agg(F.max("place")).first()[0] or 0
-    while most > 0:
-        ordered = F.array_sort(F.collect_list(F.struct("place", "hash")))
-        joined = F.array_join(F.transform(ordered, lambda x: x["hash"]), "")
-        level = level.groupBy("archive", F.floor(F.col("place") / fanout).alias("place")).agg(F.sha2(joined, 256).alias("hash"), F.min("low").alias("low"), F.max("high").alias("high"))
-        levels.append(level)
-        most //= fanout
+    rows = pages.select(F.col(key).cast("long").alias("id"), F.octet_length(record).cast("long").alias("bytes"), F.sha2(record, 256).alias("digest"))
+    number = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")  # stands in for a missing id
+    archive = F.when(F.col("id").isNull(), F.concat(F.lit("none-"), F.substring("digest", 16, 4))).otherwise(F.floor(F.col("id") / per_archive).cast("string"))
+    rows = rows.withColumn("archive", archive).withColumn("place", F.pmod(F.coalesce("id", number), F.lit(per_archive)))
+    digests = F.array_join(F.array_sort(F.collect_list("digest")), "")
+    leaves = rows.groupBy("archive", "place").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.sum("bytes").alias("length"), F.sha2(digests, 256).alias("content"))
+    before = W.partitionBy("archive").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    low = F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")
+    return leaves.withColumn("low", low).withColumn("placed", F.sha2(F.concat_ws(":", "low", "length", "content"), 256))
+
+
+def _hash_of(children: Column, field: str) -> Column:
+    shown = F.transform(children, lambda x: F.concat(x["place"].cast("string"), F.lit(":"), x[field]))
+    return F.sha2(F.array_join(shown, ","), 256).alias(field)
+
+
+def tree(leaves: DataFrame, per_archive: int = ARCHIVE, fanout: int = FANOUT) -> list[DataFrame]:
+    """Levels from the leaves to the roots: archive, place, n, content, placed, low and length of the range below."""
+    levels = [leaves.select("archive", "place", "n", "content", "placed", "low", "length")]
+    width = per_archive
+    while width > 1:
+        children = F.array_sort(F.collect_list(F.struct("place", "content", "placed")))
+        joined = {c: _hash_of(children, c) for c in ("content", "placed")}
+        levels.append(
+            levels[-1]
+            .groupBy("archive", F.floor(F.col("place") / fanout).alias("place"))
+            .agg(F.sum("n").alias("n"), *joined.values(), F.min("low").alias("low"), F.sum("length").alias("length"))
+        )
+        width = -(-width // fanout)
     return levels
 
 
-def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    """archive and place of nodes that the two levels do not share."""
-    a, b = a.select("archive", "place", F.col("hash").alias("a")), b.select("archive", "place", F.col("hash").alias("b"))
-    return a.join(b, ["archive", "place"], "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("archive", "place")
-
+def audit(first: DataFrame, second: DataFrame, per_archive: int = ARCHIVE, fanout: int = FANOUT) -> DataFrame:
+    """What differs between the manifests of two replicas.
 
-def audit(first: DataFrame, second: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """Damaged records of two replicas' manifests: archive, id, copy, status, and offset and length in each."""
+    archive, level (0: a record), place at that level, status, id (of a record), n (records), and the
+    offset and length of the range in either replica.
+    """
     first, second = common.cut(first, "replica"), common.cut(second, "replica")
-    a, b = tree(first, fanout), tree(second, fanout)
-    while len(a) != len(b):  # a replica with fewer records: its root goes on alone
-        small = a if len(a) < len(b) else b
-        root = small[-1]
-        small.append(root.groupBy("archive", F.floor(F.col("place") / fanout).alias("place")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "hash"))), lambda x: x["hash"]), ""), 256).alias("hash"), F.min("low").alias("low"), F.max("high").alias("high")))
-    bad = _differing(a[-1], b[-1])
-    for own, other in zip(reversed(a[:-1]), reversed(b[:-1]), strict=True):
-        below = bad.select(F.col("archive"), F.col("place").alias("parent"))
-        narrow = lambda level, below=below: level.withColumn("parent", F.floor(F.col("place") / fanout)).join(below, ["archive", "parent"], "left_semi")
-        bad = _differing(narrow(own), narrow(other))
-    keys = ["archive", "id", "copy"]
-    pick = lambda rows, name: rows.join(bad, ["archive", "place"], "left_semi").select(*keys, *[F.col(c).alias(f"{c}_{name}") for c in ("offset", "length", "digest")])
-    x, y = pick(first, "a").alias("x"), pick(second, "b").alias("y")
-    same = (F.col("x.archive") == F.col("y.archive")) & F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.copy") == F.col("y.copy"))
-    status = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra").when(F.col("digest_a") != F.col("digest_b"), "changed").otherwise("moved")
-    return x.join(y, same, "full").select(*[F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in keys], status.alias("status"), "offset_a", "length_a", "offset_b", "length_b")
+    a, b = (tree(m, per_archive, fanout) for m in (first, second))
+    found, below = [], None
+    for level in range(len(a) - 1, -1, -1):
+        sides = []
+        for name, nodes in (("a", a[level]), ("b", b[level])):
+            if below is not None:
+                nodes = nodes.withColumn("parent", F.floor(F.col("place") / fanout)).join(below, ["archive", "parent"], "left_semi")
+            sides.append(nodes.select("archive", "place", *[F.col(c).alias(f"{c}_{name}") for c in ("n", "content", "placed", "low", "length")]))
+        both = sides[0].join(sides[1], ["archive", "place"], "full").where(~F.col("placed_a").eqNullSafe(F.col("placed_b")))
+        both = common.cut(both, "nodes")
+        same = F.col("content_a").eqNullSafe(F.col("content_b"))
+        status = F.when(same, "moved").when(F.col("content_a").isNull(), "extra").when(F.col("content_b").isNull(), "missing").otherwise("changed")
+        rows = both.withColumn("level", F.lit(level)).withColumn("status", status)
+        found.append(rows if level == 0 else rows.where(same))
+        below = both.where(~same).select(F.col("archive"), F.col("place").alias("parent"))
+    ids = [m.select("archive", "place", F.col("id")) for m in (first, second)]
+    records = ids[0].unionByName(ids[1]).groupBy("archive", "place").agg(F.min("id").alias("id")).withColumn("level", F.lit(0))
+    out = reduce(DataFrame.unionByName, found)
+    damaged = out.where("level = 0").select("archive", "place").distinct()
+    records = records.join(damaged, ["archive", "place"], "left_semi")
+    return out.join(records, ["archive", "place", "level"], "left").select(
+        "archive", "level", "place", "status", "id", F.coalesce("n_a", "n_b").alias("n"),
+        F.col("low_a").alias("offset_a"), "length_a", F.col("low_b").alias("offset_b"), "length_b",
+    )

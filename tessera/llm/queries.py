@@ -30,7 +30,7 @@ def op3_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     flipped = F.concat(F.lit("~"), F.substring("html", 2, 2**31 - 1))
     body = F.when(F.col("page_id") % 211 == 7, flipped).when(F.col("page_id") % 1009 == 11, F.left("html", F.lit(10))).otherwise(F.col("html"))
     replica = pages.where("page_id IS NULL OR page_id % 2003 <> 13").withColumn("html", body)
-    return merkle.audit(merkle.manifest(pages), merkle.manifest(replica)).select("archive", F.col("id").alias("page_id"), "status", "offset_a", "length_a", "offset_b", "length_b")
+    return merkle.audit(merkle.manifest(pages), merkle.manifest(replica)).withColumnRenamed("id", "page_id")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,12 +99,19 @@ b AS (
 la AS (SELECT *, (48 + strlen(url) + 18 + strlen(strlen(html)::VARCHAR) + 4 + strlen(html) + 4)::BIGINT AS n FROM a),
 lb AS (SELECT *, (48 + strlen(url) + 18 + strlen(strlen(html)::VARCHAR) + 4 + strlen(html) + 4)::BIGINT AS n FROM b),
 pa AS (SELECT *, (sum(n) OVER (PARTITION BY page_id // 512 ORDER BY page_id) - n)::BIGINT AS o FROM la),
-pb AS (SELECT *, (sum(n) OVER (PARTITION BY page_id // 512 ORDER BY page_id) - n)::BIGINT AS o FROM lb)
-SELECT (page_id // 512)::VARCHAR AS archive, page_id,
-       CASE WHEN pb.n IS NULL THEN 'missing' WHEN pa.html <> pb.html THEN 'changed' ELSE 'moved' END AS status,
-       pa.o AS offset_a, pa.n AS length_a, pb.o AS offset_b, pb.n AS length_b
-FROM pa LEFT JOIN pb USING (page_id)
-WHERE pb.n IS NULL OR pa.html <> pb.html OR pa.o <> pb.o
+pb AS (SELECT *, (sum(n) OVER (PARTITION BY page_id // 512 ORDER BY page_id) - n)::BIGINT AS o FROM lb),
+r AS (
+  SELECT (page_id // 512)::VARCHAR AS archive, page_id % 512 AS leaf, page_id, pb.n IS NULL AS gone, coalesce(pa.html = pb.html, false) AS sound,
+         coalesce(pa.html = pb.html AND pa.o = pb.o, false) AS same, pa.o AS oa, pa.n AS na, pb.o AS ob, pb.n AS nb
+  FROM pa LEFT JOIN pb USING (page_id)),
+nodes AS (
+  SELECT archive, level, leaf // (8 ** level)::BIGINT AS place, bool_and(sound) AS sound, bool_and(same) AS same, bool_or(gone) AS gone, min(page_id) AS page_id,
+         count(*) AS n, min(oa) AS offset_a, sum(na)::BIGINT AS length_a, min(ob) AS offset_b, sum(nb)::BIGINT AS length_b
+  FROM r, (VALUES (0), (1), (2), (3)) l(level) GROUP BY ALL)
+SELECT x.archive, x.level::INT AS level, x.place, CASE WHEN x.sound THEN 'moved' WHEN x.gone THEN 'missing' ELSE 'changed' END AS status,
+       CASE WHEN x.level = 0 THEN x.page_id END AS page_id, x.n, x.offset_a, x.length_a, x.offset_b, x.length_b
+FROM nodes x LEFT JOIN nodes up ON up.archive = x.archive AND up.level = x.level + 1 AND up.place = x.place // 8
+WHERE NOT x.same AND (x.sound OR x.level = 0) AND NOT coalesce(up.sound, false)
 """
 
 ORACLE_SQL: dict[str, str] = {
