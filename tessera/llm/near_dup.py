@@ -45,8 +45,8 @@ SHARE, OF = 75, 100
 TOKENS = 64
 TREES = 8
 BRANCHES = 2
-#: A node of at most so many members is compared exhaustively.
-LEAF = 256
+#: A node of at most so many members is compared exhaustively: what one task compares anyway.
+LEAF = 1024
 MAX_DEPTH = 5
 #: A child that keeps this part of its parent is a group of near copies, which branching won't split.
 DENSE = 0.6
