@@ -107,7 +107,7 @@ class Encoder:
             self.automaton.add_word(shown, i)
         self.automaton.make_automaton()
         #: The compatibility table, filled as pairs are met: (token before or None, token) to whether it may follow.
-        self._fits = Remembered(lambda pair: self.usable(pair[1]) and (pair[0] is None or self._seam_holds(*pair)), 4_000_000)
+        self._fits = Remembered(lambda pair: self.usable(pair[1]) and (pair[0] is None or self._seam_holds(*pair)), 600_000)
         #: The longest token that a token starts with, other than itself.
         self._shorter = Remembered(lambda token: self._prefix_of(shown_of[token]), len(vocab) * 2 + 2)
         self._usable: dict[int, bool] = {}

@@ -5,10 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\r\x0b\x0c"
 #: Rows of one vectorised step hold about so many bytes of text.
 STEP_BYTES = 2_000_000
-#: Entries that a worker's word cache holds before it starts afresh.
-CACHE_WORDS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,17 +73,43 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
         yield first, rows
 
 
-class WordHash(dict):
-    """64-bit hash of a word, remembered while the cache has room."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[ord(c) for c in SPACES]] = True
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_STEP), -1, 2**64))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    out = []
+    for base in (_STEP, _BACK):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
 
-WORD_HASH = WordHash()
+
+def cut_words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and 64-bit hash of every run of bytes without ASCII white space.
+
+    A word's hash is a polynomial in its bytes, read off one running sum over the buffer, mixed with
+    its length, so no Python object is made for a word.
+    """
+    n = len(buffer)
+    solid = np.zeros(n + 2, np.int8)
+    solid[1:-1] = ~_SPACE[buffer]
+    change = np.diff(solid)
+    starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    ahead, back = _powers(1 << max(22, (n + 1).bit_length()))
+    sums = np.empty(n + 1, np.uint64)
+    sums[0] = 0
+    weighted = buffer.astype(np.uint64)
+    weighted += np.uint64(1)
+    weighted *= ahead[:n]
+    np.cumsum(weighted, out=sums[1:])
+    value = (sums[ends] - sums[starts]) * back[starts]
+    return starts, ends, mix(value + (ends - starts).astype(np.uint64))
 
 
 def word_arrays(texts: list[bytes | None], fold_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -93,14 +117,12 @@ def word_arrays(texts: list[bytes | None], fold_case: bool = False) -> tuple[np.
 
     Words are runs of anything but ASCII white space; ``fold_case`` lower-cases A-Z only.
     """
-    words: list[bytes] = []
-    counts = np.zeros(len(texts), np.int64)
-    for i, raw in enumerate(texts):
-        if raw:
-            own = (raw.lower() if fold_case else raw).split()
-            counts[i] = len(own)
-            words += own
-    return np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, len(words)), counts
+    raw = b" ".join(t or b"" for t in texts)
+    if fold_case:
+        raw = raw.lower()
+    starts, _, hashes = cut_words(np.frombuffer(raw, np.uint8))
+    bounds = np.cumsum([len(t or b"") + 1 for t in texts])
+    return hashes, np.diff(np.searchsorted(starts, bounds), prepend=0)
 
 
 def _multipliers(n: int) -> np.ndarray:

@@ -39,7 +39,7 @@ TRAIN_BATCH = 256
 #: Documents below this score, and ``und``, are rejected by the filter.
 MIN_SCORE = 0.3
 #: Spans that go through the network at once.
-LANES = 4096
+LANES = 2048
 
 
 @dataclass

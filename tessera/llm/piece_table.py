@@ -16,34 +16,6 @@ import numpy as np
 from . import bpe, common
 
 SLOTS = 1 << 22
-_STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BACK = np.uint64(pow(int(_STEP), -1, 2**64))
-_SPACE = np.zeros(256, bool)
-_SPACE[[ord(c) for c in common.SPACES]] = True
-
-
-@lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_STEP, _BACK):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def cut_pieces(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, end and hash of every run of bytes without ASCII white space."""
-    n = len(buffer)
-    solid = np.zeros(n + 2, np.int8)
-    solid[1:-1] = ~_SPACE[buffer]
-    change = np.diff(solid)
-    starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
-    ahead, back = _powers(max(1 << 22, 1 << (n + 1).bit_length()))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * ahead[:n], out=sums[1:])
-    value = (sums[ends] - sums[starts]) * back[starts]
-    return starts, ends, common.mix(value + (ends - starts).astype(np.uint64))
 
 
 class PieceTable:
@@ -90,7 +62,7 @@ class PieceTable:
         raw = b" ".join(t or b"" for t in texts)
         lengths = np.array([len(t or b"") for t in texts], np.int64)
         bounds = np.cumsum(lengths + 1)
-        starts, ends, hashes = cut_pieces(np.frombuffer(raw, np.uint8))
+        starts, ends, hashes = common.cut_words(np.frombuffer(raw, np.uint8))
         hashes |= np.uint64(1 << 63)  # 0 stands for an empty slot
         slot = self._slots_of(hashes)
         missing = np.flatnonzero(self.keys[slot] == 0)
