@@ -35,6 +35,8 @@ from . import common
 
 #: Stands after the last letter of a word while matching; no text holds it, as letters are byte symbols.
 END = "\0"
+_LOW = (1 << 20) - 1
+START = _LOW
 #: Pieces between white space that a worker remembers.
 CACHE_PIECES = 1_400_000
 _ODD_SPACES = re.compile("[\\x1c-\\x1f]")
@@ -106,8 +108,8 @@ class Encoder:
             self.sizes[i], shown_of[i] = len(shown), shown
             self.automaton.add_word(shown, i)
         self.automaton.make_automaton()
-        #: The compatibility table, filled as pairs are met: (token before or None, token) to whether it may follow.
-        self._fits = Remembered(lambda pair: self.usable(pair[1]) and (pair[0] is None or self._seam_holds(*pair)), 600_000)
+        #: Whether a token may follow another, by before << 20 | token; ``START`` stands before the first.
+        self._fits = Remembered(lambda pair: self.usable(pair & _LOW) and (pair >> 20 == START or self._seam_holds(pair >> 20, pair & _LOW)), 600_000)
         #: The longest token that a token starts with, other than itself.
         self._shorter = Remembered(lambda token: self._prefix_of(shown_of[token]), len(vocab) * 2 + 2)
         self._usable: dict[int, bool] = {}
@@ -177,9 +179,9 @@ class Encoder:
         else:
             text = word.encode().decode("latin-1").translate(self._symbols) + END
         # the longest match at each place, as long as neighbours are compatible, is the encoding
-        out, fits, before, pos = [token for _, token in self.automaton.iter_long(text)], self._fits, None, 0
+        out, fits, before, pos = [token for _, token in self.automaton.iter_long(text)], self._fits, START, 0
         for k, token in enumerate(out):
-            if not fits[before, token]:
+            if not fits[before << 20 | token]:
                 return self._backtrack(text, out[:k], pos, token)
             pos += self.sizes[token]
             before = token
@@ -191,8 +193,8 @@ class Encoder:
         dead = bytearray(size + 1)
         token = shorter[token]
         while pos < size:
-            before = out[-1] if out else None
-            while token is not None and (dead[pos + sizes[token]] or not fits[before, token]):
+            before = out[-1] if out else START
+            while token is not None and (dead[pos + sizes[token]] or not fits[before << 20 | token]):
                 token = shorter[token]
             if token is not None:
                 out.append(token)
@@ -266,6 +268,11 @@ def _shown(path: str) -> Remembered:
     return Remembered(make, CACHE_PIECES * 2 // 3)
 
 
+def _forget() -> None:
+    _shown.cache_clear()
+    encoder.cache_clear()
+
+
 def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Every whole text encoded and decoded again: key, n_tokens, ids (decimal, blank between), decoded.
 
@@ -285,6 +292,7 @@ def _encoded(docs: DataFrame, path: str, text: str, key: str, digests: bool) ->
     schema = f"`{key}` {source.schema[0].dataType.simpleString()}, n_tokens bigint, {names[2]} string, {names[3]} string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("bpe", _forget)
         shown_of = _shown(path)
         for batch in batches:
             for first, texts in common.steps(batch, "__text"):

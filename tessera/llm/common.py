@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -90,28 +91,53 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+#: Bytes whose words are hashed at once.
+BLOCK_BYTES = 1 << 20
+
+
 def cut_words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, end and 64-bit hash of every run of bytes without ASCII white space.
 
-    A word's hash is a polynomial in its bytes, read off one running sum over the buffer, mixed with
-    its length, so no Python object is made for a word.
+    A word's hash is a polynomial in its bytes, read off a running sum over a block of words, mixed
+    with its length, so no Python object is made for a word.
     """
-    n = len(buffer)
-    solid = np.zeros(n + 2, np.int8)
+    solid = np.zeros(len(buffer) + 2, np.int8)
     solid[1:-1] = ~_SPACE[buffer]
     change = np.diff(solid)
     starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
-    ahead, back = _powers(1 << max(22, (n + 1).bit_length()))
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    weighted = buffer.astype(np.uint64)
-    weighted += np.uint64(1)
-    weighted *= ahead[:n]
-    np.cumsum(weighted, out=sums[1:])
-    value = (sums[ends] - sums[starts]) * back[starts]
+    value = np.empty(len(starts), np.uint64)
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(buffer) + BLOCK_BYTES, BLOCK_BYTES)))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        low, high = int(starts[i]), int(ends[j - 1])
+        ahead, back = _powers(1 << max(21, (high - low).bit_length()))
+        weighted = buffer[low:high].astype(np.uint64)
+        weighted += np.uint64(1)
+        weighted *= ahead[: high - low]
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(weighted, out=sums[1:])
+        value[i:j] = (sums[ends[i:j] - low] - sums[starts[i:j] - low]) * back[starts[i:j] - low]
     return starts, ends, mix(value + (ends - starts).astype(np.uint64))
 
 
+_claimed: list[str] = []
+_releases: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, release: Callable[[], None] | None = None) -> None:
+    """A worker serves one operator after the other and keeps the caches of the last one only.
+
+    ``release`` frees what the operator remembers; it is called when another one claims the worker.
+    """
+    if _claimed != [name]:
+        for free in _releases.values():
+            free()
+        _releases.clear()
+        _claimed[:] = [name]
+        gc.collect()
+    if release:
+        _releases[name] = release
+
+
 def word_arrays(texts: list[bytes | None], fold_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of ``texts`` in order, and the number of words of each text.
 

@@ -204,6 +204,7 @@ def classify(docs: DataFrame, model: Model | None, text: str = "text", length: s
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE * (FACTORS + 1) floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("fm_quality")
         own = shared.value
         for batch in batches:
             for first, texts in common.steps(batch, text):

@@ -243,6 +243,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("langid")
         own = shared.value
         for batch in batches:
             for first, texts in common.steps(batch, text):

@@ -97,6 +97,7 @@ def features(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("near_dup")
         for batch in batches:
             for first, texts in common.steps(batch, "__text"):
                 sizes, ids, roots, sketches = [], [], [], []

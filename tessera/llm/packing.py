@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .piece_table import piece_table
+from .piece_table import forget, piece_table
 
 SEQUENCE = 2048
 OPEN_BINS = 512
@@ -87,6 +87,7 @@ def pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
     schema = f"`{key}` {source.schema[0].dataType.simpleString()}, {PIECES}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("packing", forget)
         known = piece_table(path)
         for batch in batches:
             for first, texts in common.steps(batch, "__text"):

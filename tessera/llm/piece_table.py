@@ -95,3 +95,8 @@ class PieceTable:
 @lru_cache(2)
 def piece_table(path: str) -> PieceTable:
     return PieceTable(bpe.encoder(path))
+
+
+def forget() -> None:
+    piece_table.cache_clear()
+    bpe.encoder.cache_clear()

@@ -45,7 +45,7 @@ SLICES = 64
 #: The filter is of use while it has so many bits for each block.
 BITS_PER_BLOCK = 8
 #: Bytes of text in a chunk.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_500_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 _ROWS = "kind string, chunk bigint, bucket int, data binary, more binary"
 
@@ -166,6 +166,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, di
     multipliers = common._multipliers(64 + window)[64:]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("substring")
         views = tuple(np.frombuffer(m, np.uint8) for m in maps.value) if maps else None
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
