@@ -29,7 +29,7 @@ def retention_cutoff(now: Column, days: int = V.DAILY_RETENTION_DAYS, zone: str
 def recency(at: Column, now: Column) -> Column:
     """Halves every half-life; 0 without a time, 1 in the future."""
     age = (F.unix_micros(now) - F.unix_micros(at)) / F.lit(86400e6)
-    return F.coalesce(F.pow(F.lit(2.0), -F.greatest(age, F.lit(0.0)) / V.HALF_LIFE_DAYS), F.lit(0.0))
+    return F.when(at.isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(2.0), -F.greatest(age, F.lit(0.0)) / V.HALF_LIFE_DAYS))
 
 
 def iso_of_seconds(seconds: Column) -> Column:

@@ -18,7 +18,6 @@ from .sources import json_exports, notes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _NOW = datetime(2024, 2, 1)
-_AT = F.lit
 
 
 def _now() -> F.Column:
