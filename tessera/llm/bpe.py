@@ -307,4 +307,4 @@ def _encoded(docs: DataFrame, path: str, text: str, key: str, digests: bool) ->
                 own = batch.column(0).slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([own, pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names)
 
-    return source.mapInArrow(run, schema)
+    return common.small_batches(source).mapInArrow(common.trimmed(run), schema)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,18 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM, the worker and on the way back.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bounds Arrow batches by ``BATCH_ROWS`` where the session has Spark's default, which suits short rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fold that no model learns from: crc32 of the id's decimal text divisible by 5."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -119,6 +133,25 @@ def cut_words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, mix(value + (ends - starts).astype(np.uint64))
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system: a worker outlives its tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function that returns its memory when it is done."""
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        _trim()
+
+    return whole
+
+
 _claimed: list[str] = []
 _releases: dict[str, Callable[[], None]] = {}
 
@@ -133,7 +166,7 @@ def claim(name: str, release: Callable[[], None] | None = None) -> None:
             free()
         _releases.clear()
         _claimed[:] = [name]
-        gc.collect()
+        _trim()
     if release:
         _releases[name] = release
 

@@ -215,7 +215,7 @@ def classify(docs: DataFrame, model: Model | None, text: str = "text", length: s
                 rows = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score), pa.array((score >= min_score).astype(np.int32))], [*rows.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return common.small_batches(docs).mapInArrow(common.trimmed(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model | None:

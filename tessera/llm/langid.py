@@ -257,7 +257,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 rows = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(preds), pa.array(scores)], [*rows.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return common.small_batches(docs).mapInArrow(common.trimmed(run), schema)
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model | None:

@@ -110,7 +110,7 @@ def features(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 keys = batch.column(0).slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (ids, roots, sketches)]], ["key", "n_shingles", "set_id", "roots", "sketch"])
 
-    return source.mapInArrow(run, "key bigint, n_shingles bigint, set_id binary, roots binary, sketch binary")
+    return common.small_batches(source).mapInArrow(common.trimmed(run), "key bigint, n_shingles bigint, set_id binary, roots binary, sketch binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
@@ -324,7 +324,7 @@ def _sets(docs: DataFrame, members: DataFrame, text: str, key: str) -> DataFrame
                 own = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["cluster", "n", "total", "key", "set"])
 
-    return rows.mapInArrow(run, "cluster bigint, n bigint, total bigint, key bigint, set binary")
+    return rows.mapInArrow(common.trimmed(run), "cluster bigint, n bigint, total bigint, key bigint, set binary")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", cluster_limit: int = CLUSTER) -> DataFrame:

@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
                 own = batch.column(0).take(pa.array(where + first))
                 yield pa.RecordBatch.from_arrays([own, pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]], [key, "piece", "start", "length", "ids_crc32"])
 
-    return source.mapInArrow(run, schema)
+    return common.small_batches(source).mapInArrow(common.trimmed(run), schema)
 
 
 def pack(rows: DataFrame, key: str = "doc_id", size: int = SEQUENCE, n_open: int = OPEN_BINS, shard_pieces: int = SHARD_PIECES) -> DataFrame:

@@ -94,7 +94,7 @@ def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
                 yield pa.RecordBatch.from_arrays(own.columns[:-1] + [pa.array(v, pa.int64()) for v in found.values()], [*own.schema.names[:-1], *found])
 
     bits = sum((F.when(fails, F.lit(1 << BITS[name])).otherwise(F.lit(0)) for name, fails in failures().items()), F.lit(0))
-    return source.mapInArrow(run, schema).withColumn("fail_bits", bits.cast("long"))
+    return common.small_batches(source).mapInArrow(common.trimmed(run), schema).withColumn("fail_bits", bits.cast("long"))
 
 
 def passes(policy: tuple[str, int] = PRODUCTION) -> Column:

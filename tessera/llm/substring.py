@@ -84,7 +84,7 @@ def block_filter(docs: DataFrame, text: str, block: int, bits: int = FILTER_BITS
         maps = [np.packbits(found >= k, bitorder="little").tobytes() for k in (1, 2)]
         return pd.DataFrame({"slice": rows["slice"].iloc[:1], "once": maps[:1], "twice": maps[1:]})
 
-    parts = docs.select(text).mapInArrow(index, "slice int, data binary").groupBy("slice").applyInPandas(merge, "slice int, once binary, twice binary")
+    parts = common.small_batches(docs.select(text)).mapInArrow(common.trimmed(index), "slice int, data binary").groupBy("slice").applyInPandas(merge, "slice int, once binary, twice binary")
     once, twice = (bytearray((1 << bits) // 8) for _ in range(2))
     for row in parts.toLocalIterator():  # SLICES rows, (1 << bits) / 4 bytes in all
         at = row["slice"] * per_slice // 8
@@ -236,7 +236,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, di
             for data in batch.column(0):
                 yield _unpack(data.as_py())
 
-    rows = common.cut(docs.mapInArrow(scan, _ROWS), "windows", "kind")
+    rows = common.cut(docs.mapInArrow(common.trimmed(scan), _ROWS), "windows", "kind")
     replies = rows.where("kind = 'keys'").groupBy("bucket").applyInPandas(count, "chunk bigint, bucket int, data binary, more binary")
     chunks = rows.where("kind = 'layout'").select("chunk", "bucket", "data", "more").unionByName(replies)
     return chunks.groupBy("chunk").applyInArrow(finish, schema).unionByName(rows.where("kind = 'done'").select("data").mapInArrow(plain, schema))
