@@ -14,7 +14,7 @@ from .functions import scalar as S
 from .functions import text as X
 from .operators import assemble, daily, distill, importing, merge, relational, retrieval
 from .operators.model import Query
-from .sources import json_exports, notes
+from .sources import json_exports, metrics, notes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _NOW = datetime(2024, 2, 1)
@@ -340,7 +340,7 @@ def ledger_record(spark, sf_dir):
 def import_metrics(spark, sf_dir):
     m = views.mem(spark, sf_dir)
     ledger = _ledger(spark, sf_dir)[1]
-    return importing.run(views.utterances(spark, sf_dir), m, ledger, _now(), importing.Request(max_items=200, dry_run=True))[2]
+    return importing.run(views.utterances(spark, sf_dir), m, ledger, _now(), importing.Request(dry_run=True))[2]
 
 
 @query
@@ -456,6 +456,12 @@ def generic_json_lines(spark, sf_dir):
     return json_exports.json_lines(files).select("item_id", "title", "scope", F.array_join("tags", ",").alias("tags"), F.sha2("text", 256).alias("digest"))
 
 
+@query
+def scan_counters(spark, sf_dir):
+    files = spark.createDataFrame([("conversations.json", 0, _CHATGPT)], "path string, ord long, text string")
+    return metrics.scan_metrics("chatgpt", files, json_exports.chatgpt(files))
+
+
 _NOTE = '---\nname: "Build rules"\nmetadata:\n  type: feedback\nupdatedAt: 2024-01-02T00:00:00Z\n---\nUse pnpm.\n'
 _STORE = "# User Memory Profile\n> Last updated: now\n\n## Style\n- Prefers **short** answers\n  with examples\n- **Tone**: (optional)\n\n**Work**\nBuilds with vite.\n<!-- RAW_JSON_START {} RAW_JSON_END -->\n"
 

@@ -8,7 +8,7 @@ from tessera.functions import fixed as V
 from tessera.plans.api import Memory, Session
 from tessera.plans.store import Store
 from tessera.queries import _CHATGPT, _CLAUDE, _NOTE, _STORE
-from tessera.sources import archives, files, json_exports, notes
+from tessera.sources import archives, files, json_exports, metrics, notes
 from tessera.streaming import incremental
 
 
@@ -22,6 +22,13 @@ def test_chatgpt_turns_in_time_order(spark):
     assert items[0]["at"] == "1970-01-01T00:00:10.500Z" and items[0]["uri"] == "f#Trip"
 
 
+def test_scan_metrics(spark):
+    files = of(spark, _CHATGPT)
+    row = metrics.scan_metrics("chatgpt", files, json_exports.chatgpt(files)).first()
+    assert (row["files"], row["items"], row["skipped"]) == (1, 3, 2)  # an assistant's turn and an element that is a number
+    assert metrics.describe({"scanned": 2, "considered": 1, "written": 1, "truncated": True}) == "1 of 2 items considered: 1 written (truncated)"
+
+
 def test_claude_web_attachment(spark):
     items = json_exports.claude_web(of(spark, _CLAUDE)).orderBy("ord").collect()
     assert [i["text"] for i in items] == ["hello", f"see file\n\n{V.ATTACHMENT_MARKER}\nbody text"]
