@@ -56,15 +56,17 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM, the worker and on the way back.
-BATCH_ROWS = 2000
+#: Session settings that suit short rows, with Spark's default, and what they become for long texts: rows of
+#: an Arrow batch, which the JVM and the worker hold at once, and of a batch of the Parquet reader.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.parquet.columnarReaderBatchSize": ("4096", "256")}
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Bounds Arrow batches by ``BATCH_ROWS`` where the session has Spark's default, which suits short rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name) == "10000":
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    """Bounds batches of rows as ``BATCHES`` says, where the session has Spark's defaults."""
+    conf = df.sparkSession.conf
+    for name, (default, size) in BATCHES.items():
+        if conf.get(name) == default:
+            conf.set(name, size)
     return df
 
 

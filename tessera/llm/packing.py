@@ -7,7 +7,8 @@ lowest-bit step; if none does, a bin is opened, and when all are open the fulles
 
 Tokenising and packing are two passes: the first turns texts into piece rows of a few dozen bytes,
 the second deals those rows into shards of bounded size (a hash of the piece, so a hot source is
-spread) and packs each shard in the order of that hash. A shard loses at most its open bins.
+spread) and packs each shard in the order of that hash, in windows whose longest pieces arrive first,
+so short ones fill what the long ones leave. A shard loses at most its open bins.
 
 Defined results: a null or empty text is one piece, the end token alone; repeated rows are packed
 once each; extra columns are ignored.
@@ -29,6 +30,8 @@ from .piece_table import forget, piece_table
 
 SEQUENCE = 2048
 OPEN_BINS = 512
+#: Pieces arrive in windows of so many times the open bins, the longest of a window first.
+WINDOW = 2
 #: Pieces that a shard has on average: bounds a packing task and the share of half-empty bins.
 SHARD_PIECES = 60_000
 END_TOKEN = 0
@@ -121,7 +124,9 @@ def pack(rows: DataFrame, key: str = "doc_id", size: int = SEQUENCE, n_open: int
         return shard
 
     def ordered(shard: pd.DataFrame) -> pd.DataFrame:
-        return run(shard.sort_values(["__order", "piece", "ids_crc32"], kind="stable"))
+        shard = shard.sort_values(["__order", "piece", "ids_crc32"], kind="stable")
+        window = np.arange(len(shard)) // (WINDOW * n_open)
+        return run(shard.iloc[np.lexsort((-shard["length"].to_numpy(), window))])
 
     dealt = rows.withColumn("__order", order[0]).withColumn("__shard", F.pmod(F.col("__order"), F.lit(n)))
     return dealt.groupBy("__shard").applyInPandas(ordered, schema)
