@@ -72,13 +72,13 @@ def _block_top(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k: i
     most = candidates.where(F.size("vec") == dim).select(F.aggregate("vec", F.lit(0.0), lambda s, x: s + F.pow(F.floor(x.cast("double") * scale), 2)).alias("n")).agg(F.max("n")).first()[0]
     if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    bound = [min(2**62, int(np.ceil(np.sqrt(float((q * q).sum()) * float(most)) * (1 + 1e-9))) + 1) for q in queries]
-    low = np.array([-b for b in bound], np.int64)
-    shift = np.array([max(0, (2 * b).bit_length() - BINS.bit_length() + 1) for b in bound], np.int64)
+    bound = [min(2**63 - 1, int(np.ceil(np.sqrt(float((q * q).sum()) * float(most)) * (1 + 1e-9))) + 1) for q in queries]
+    low = [-b for b in bound]
+    shift = [max(0, (2 * b).bit_length() - BINS.bit_length() + 1) for b in bound]
     above = np.zeros(n, np.int64)
     open_ = np.ones(n, bool)
     while open_.any():
-        state = spark.sparkContext.broadcast((ids, queries, low, shift, np.flatnonzero(open_)))
+        state = spark.sparkContext.broadcast((ids, queries, np.array(low, np.int64), np.array(shift, np.uint64), np.flatnonzero(open_)))
 
         def count(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
             ids, queries, low, shift, todo = state.value
@@ -86,9 +86,9 @@ def _block_top(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k: i
             total = np.zeros(len(todo) * BINS, np.int64)
             for vec_ids, tile in _tiles(batches, queries.shape[1], scale):
                 score = _scores(own, tile)
-                place = (score - lo) >> sh
+                place = (score.view(np.uint64) - lo.view(np.uint64)) >> sh  # the distance may take all 64 bits
                 inside = (score >= lo) & (place < BINS) & (vec_ids[None, :] != ids[todo][:, None])
-                total += np.bincount((place + np.arange(len(todo))[:, None] * BINS)[inside], minlength=len(total))
+                total += np.bincount((place.astype(np.int64) + np.arange(len(todo))[:, None] * BINS)[inside], minlength=len(total))
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(todo[some // BINS].astype(np.int32)), pa.array((some % BINS).astype(np.int32)), pa.array(total[some])], ["q", "bin", "n"])
 
@@ -104,13 +104,13 @@ def _block_top(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k: i
             if hit is None:  # fewer than k candidates: all of them
                 open_[q] = False
                 continue
-            low[q] += hit["bin"] << int(shift[q])
+            low[q] += hit["bin"] << shift[q]
             if shift[q] == 0 or above[q] + hit["upto"] <= SLACK * k:
                 open_[q] = False
             else:
                 above[q] += hit["upto"] - hit["n"]
-                shift[q] = max(0, int(shift[q]) - BINS.bit_length() + 1)
-    state = spark.sparkContext.broadcast((ids, queries, low))
+                shift[q] = max(0, shift[q] - BINS.bit_length() + 1)
+    state = spark.sparkContext.broadcast((ids, queries, np.array(low, np.int64)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries, low = state.value
