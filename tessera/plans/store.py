@@ -46,8 +46,8 @@ class Store:
             columns = [c.strip().split(" ")[0] for c in schema.replace("array<string>", "array").split(",")]
             writer = df.select(*columns).write.mode("overwrite")
             if name == "memories":
-                # the layer is what every query filters by; its values are four, so folders stay few
-                writer = writer.option("parquet.bloom.filter.enabled#project_key", "true")
+                # nearly every read names its layers: a folder for each of the four, and Bloom filters for keys inside
+                writer = writer.partitionBy("scope").option("parquet.bloom.filter.enabled#project_key", "true")
             writer.parquet(f"{self.path}/v={nxt}/{name}")
         jvm, fs = self._fs()
         fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{self.path}/published"))
