@@ -37,7 +37,9 @@ def extract_candidates(messages: DataFrame, message: str = "message", by: tuple[
     rows = messages.select(*by, body.alias("__body")).where(~X.looks_like_paste(F.col("__body"))).withColumn("__clauses", X.split_sentences(F.col("__body")))
     clauses = rows.select(*by, "__clauses", F.posexplode("__clauses").alias("pos", "__clause"))
     clauses = clauses.select(*by, "pos", "__clause", F.get("__clauses", F.col("pos") + 1).alias("__next"))
-    cued = clauses.withColumn("c", F.coalesce(*[_cue(F.col("__clause"), cue) for cue in P.CUES])).where("c IS NOT NULL")
+    # evaluated once a clause: the explode keeps later references from repeating the patterns
+    found = F.transform(F.array("__clause"), lambda x: F.coalesce(*[_cue(x, cue) for cue in P.CUES]))
+    cued = clauses.select(*by, "pos", "__clause", "__next", F.explode(found).alias("c")).where("c IS NOT NULL")
     lead = (F.col("c.kind") == "correction") & F.col("c.text").rlike(P.java(V.CORRECTION_LEAD_IN)) & F.col("__next").isNotNull()
     text = X.strip(F.when(lead, F.concat(F.col("c.text"), F.lit("："), F.col("__next"))).otherwise(F.col("c.text")))
     explicit = X.matches(text, *P.EXPLICIT) | X.matches(F.col("__clause"), *P.EXPLICIT)
@@ -113,11 +115,17 @@ def importance(kind: Column, text: Column) -> Column:
 def judge(candidates: DataFrame, has_project: Column | bool) -> DataFrame:
     """Adds accepted, reason, importance (0 if refused) and scope (the kind's own if refused)."""
     has = F.lit(has_project) if isinstance(has_project, bool) else has_project
-    body = X.strip(F.col("text"))
-    reason = reject_reason(F.col("text"), has, F.col("vouched"))
-    rows = candidates.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
-    scope = F.when(F.col("accepted"), decide_scope(F.col("kind"), F.col("text"), has)).otherwise(base_scope(F.col("kind")))
-    return rows.withColumn("importance", F.when(F.col("accepted"), importance(F.col("kind"), body)).otherwise(0)).withColumn("scope", scope)
+    rows = F.array(F.struct(F.col("kind").alias("kind"), F.col("text").alias("text"), F.col("vouched").alias("vouched"), has.alias("has")))
+    gated = F.transform(rows, lambda r: F.struct(r["kind"].alias("kind"), r["text"].alias("text"), r["has"].alias("has"), reject_reason(r["text"], r["has"], r["vouched"]).alias("reason")))
+
+    def verdict(r: Column) -> Column:
+        accepted = r["reason"].isNull()
+        return F.struct(
+            r["reason"].alias("reason"), accepted.alias("accepted"), F.when(accepted, importance(r["kind"], X.strip(r["text"]))).otherwise(0).alias("importance"),
+            F.when(accepted, decide_scope(r["kind"], r["text"], r["has"])).otherwise(base_scope(r["kind"])).alias("scope"),
+        )
+
+    return candidates.select("*", F.explode(F.transform(gated, verdict)).alias("__v")).select("*", "__v.*").drop("__v")
 
 
 def report(outcomes: DataFrame) -> DataFrame:

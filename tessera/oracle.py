@@ -194,9 +194,9 @@ so AS (SELECT *, 0.6 * rel + 0.25 * pow(2, -greatest((epoch_us({_NOW}) - epoch_u
 hy AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, used DESC, id)::INT AS pos FROM so) WHERE pos <= {limit})"""
 
 
-def _merge_plan() -> str:
+def _merge_plan(cands: str = _CANDS) -> str:
     marker_a, rest_a = _statement("text")
-    return f"""{_MEM},{_CANDS},
+    return f"""{_MEM},{cands},
 layer AS (SELECT id, title, text, scope, CASE WHEN scope = 'project' THEN coalesce(project_key, '-') ELSE '*' END AS k, created_at, {_norm('text')} AS nrm, {marker_a} IS NOT NULL AS neg, {rest_a} AS aff FROM mem WHERE status = 'active'),
 ca AS (SELECT cand_id, text, scope, CASE WHEN scope = 'project' THEN coalesce(project_key, '-') ELSE '*' END AS k, {_norm('text')} AS nrm, {marker_a} IS NOT NULL AS neg, {rest_a} AS aff FROM cands),
 ga AS (SELECT cand_id, scope, k, unnest({_grams('nrm')}) AS g FROM ca),
@@ -226,6 +226,27 @@ plan AS (
   FROM joined)"""
 
 
+def _body(c: str) -> str:
+    lines = rf"list_transform(string_split(regexp_replace({c}, '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '[ \t]+$', ''))"
+    kept = rf"list_filter({lines}, lambda x: NOT regexp_matches(x, '^\s*(?:-{{{{3,}}}}|\*{{{{3,}}}}|_{{{{3,}}}})\s*$'))".replace("{{", "{").replace("}}", "}")
+    return _strip(rf"regexp_replace(array_to_string({kept}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def _collapse(c: str) -> str:
+    return _strip(rf"regexp_replace({c}, '\s+', ' ', 'g')")
+
+
+def _cut(c: str, n: int) -> str:
+    return f"CASE WHEN length({c}) <= {n} THEN {c} ELSE left({c}, {n - 1}) || '…' END"
+
+
+_FIRST = "split_part(text, chr(10), 1)"
+_DERIVED = f"""d AS (
+  SELECT id, text, {_strip(f"regexp_replace(regexp_extract({_FIRST}, '^[^。！？!?；;]*'), {_text(P.re2(V.LEADING_MARK))}, '')")} AS a, {_strip(f"regexp_replace(text, {_text(P.re2(V.LEADING_MARK))}, '')")} AS b FROM mem),
+t AS (SELECT id, text, CASE WHEN a = '' THEN b ELSE a END AS t FROM d),
+h AS (SELECT *, left(t, {V.TITLE_MAX_CHARS}) AS head FROM t),
+k AS (SELECT *, CASE WHEN regexp_matches(head, '(?s)[ ，]') THEN length(regexp_extract(head, '(?s)^(.*)[ ，]', 1)) ELSE -1 END AS last FROM h)"""
+
 _SIM = f"""p AS {_values(views.PAIRS, 'pair_id, a, b')},
 g AS (SELECT pair_id, {_grams(_norm('a'))} AS ga, {_grams(_norm('b'))} AS gb FROM p),
 s AS (SELECT pair_id, ga, gb, len(list_intersect(ga, gb)) AS c FROM g)"""
@@ -236,7 +257,46 @@ _TITLE = f"CASE WHEN length(title) <= {V.TITLE_MAX_CHARS} THEN title END"
 _LABEL = _case_of(V.SCOPE_LABEL, "scope")
 _INDEX_LINE = f"'- ' || CASE WHEN pinned THEN '★' ELSE '' END || '[' || {_LABEL} || '] ' || title || ' #' || array_to_string(tags[1:3], ' #') || ' · #' || id"
 
+_GATED = f"""{_extracted()},
+jd AS (SELECT *, {_reason('text', 'vouched', 'true')} AS reason FROM ex),
+sd AS (SELECT *, {_scope('kind', 'text')} AS decided FROM jd WHERE reason IS NULL)"""
+_FROM_STATEMENTS = """
+cands AS (SELECT msg_id * 100 + pos AS cand_id, text, decided AS scope, CASE WHEN decided = 'project' THEN 'src1' END AS project_key FROM sd)"""
+
+
+def _chatgpt() -> str:
+    from .queries import _CHATGPT
+
+    return f"""WITH x AS (SELECT {_text(_CHATGPT)}::JSON AS j), c AS (SELECT unnest(json_extract(j, '$[*]')) AS c, generate_subscripts(json_extract(j, '$[*]'), 1) - 1 AS n FROM x),
+n AS (SELECT n, c, unnest(json_keys(c, '$.mapping')) AS k, generate_subscripts(json_keys(c, '$.mapping'), 1) AS node FROM c WHERE json_type(c) = 'OBJECT'),
+m AS (SELECT n, node, c->>'$.conversation_id' AS conv, c->>'$.title' AS title, (c->>'$.create_time')::DOUBLE AS cs, json_extract(c, '$.mapping.' || k || '.message') AS m FROM n),
+t AS (
+  SELECT n, node, conv, title, m->>'$.author.role' AS role, coalesce((m->>'$.create_time')::DOUBLE, cs) AS s, m->>'$.id' AS mid,
+         trim(array_to_string(list_filter(list_transform(json_extract(m, '$.content.parts[*]'), lambda p: CASE WHEN json_type(p) = 'VARCHAR' THEN json_extract_string(p, '$') END), lambda q: q IS NOT NULL AND trim(q) <> ''), chr(10))) AS text
+  FROM m WHERE json_type(m) = 'OBJECT'),
+o AS (SELECT *, n * 1048576 + row_number() OVER (PARTITION BY n ORDER BY s, node) - 1 AS ord FROM t WHERE text <> '' AND role IN ('user', 'assistant'))
+SELECT ord, text, 'conversations.json#' || title AS uri, left(sha256('chatgpt|' || conv || '|' || coalesce(nullif(mid, ''), left(sha256(text), 16))), 24) AS item_id,
+       strftime(make_timestamp((s * 1000000)::BIGINT), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS at FROM o WHERE role = 'user'"""
+
+
+def _claude() -> str:
+    from .queries import _CLAUDE
+
+    return f"""WITH x AS (SELECT json_extract({_text(_CLAUDE)}::JSON, '$.conversations[*]') AS j), c AS (SELECT unnest(j) AS c, generate_subscripts(j, 1) - 1 AS n FROM x),
+m AS (SELECT n, c, unnest(json_extract(c, '$.chat_messages[*]')) AS m, generate_subscripts(json_extract(c, '$.chat_messages[*]'), 1) - 1 AS node FROM c),
+t AS (
+  SELECT n, node, c->>'$.uuid' AS conv, c->>'$.name' AS name, m->>'$.sender' AS sender, m->>'$.uuid' AS mid, coalesce(m->>'$.created_at', c->>'$.created_at') AS seen,
+         coalesce(nullif(trim(coalesce(m->>'$.text', '')), ''), trim(array_to_string(json_extract_string(m, '$.content[*].text'), chr(10)))) AS said, array_to_string(json_extract_string(m, '$.attachments[*].extracted_content'), chr(10) || chr(10)) AS blob FROM m)
+SELECT n * 1048576 + node AS ord, said || CASE WHEN blob <> '' THEN chr(10) || chr(10) || {_text(V.ATTACHMENT_MARKER)} || chr(10) || blob ELSE '' END AS text, 'conversations.json#' || name AS uri,
+       left(sha256('claude-web|' || conv || '|' || mid), 24) AS item_id, strftime(replace(seen, 'Z', '')::TIMESTAMP, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS at FROM t WHERE sender = 'human'"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "distill_report": f"""WITH {_GATED},{_merge_plan(_FROM_STATEMENTS)}
+        SELECT count(*) FILTER (WHERE decision = 'new') AS written, count(*) FILTER (WHERE decision = 'merge') AS merged, count(*) FILTER (WHERE decision = 'update') AS updated,
+               count(*) FILTER (WHERE decision = 'ignore') AS ignored, (SELECT count(*) FROM jd WHERE reason IS NOT NULL) AS rejected FROM plan""",
+    "chatgpt_flatten": _chatgpt(),
+    "claude_web_flatten": _claude(),
     **{
         f"mem_list_{name}": f"WITH {_MEM}, r AS (SELECT id, title, importance, row_number() OVER (ORDER BY {o}) AS n FROM mem WHERE scope IN ('global', 'project') AND status = 'active') "
         "SELECT (n - 10)::INT AS pos, id, title, importance FROM r WHERE n > 10 AND n <= 60"
@@ -305,6 +365,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT kind, reason, scope, importance, count(*) AS n FROM s GROUP BY 1, 2, 3, 4""",
     "paste_filter": f"WITH {_MEM}, st AS {_values(views.STATEMENTS, 'msg_id, message')} SELECT msg_id, {_paste('message')} AS paste FROM st UNION ALL SELECT id::INT, {_paste('text')} FROM mem",
     "strip_code": f"WITH st AS {_values(views.STATEMENTS, 'msg_id, message')} SELECT msg_id, regexp_replace({_unfenced('message')}, '`[^`' || chr(10) || ']*`', ' ', 'g') AS plain, {_unfenced('message')} AS unfenced FROM st",
+    "normalise_bodies": f"WITH {_MEM}, h AS (SELECT id, text, regexp_replace({_collapse(_FIRST)}, '^[-*>#\\s]+', '') AS h FROM mem) SELECT id, sha256({_body('text')}) AS digest, {_cut('h', 80)} AS headline FROM h",
+    "titles": f"""WITH {_MEM}, {_DERIVED} SELECT id, CASE WHEN length(t) <= {V.TITLE_MAX_CHARS} THEN t ELSE regexp_replace(CASE WHEN last > {V.TITLE_MAX_CHARS} / 2 THEN left(head, last) ELSE head END, '\\s+$', '') || '…' END AS title,
+        {_cut(_collapse('text'), 60)} AS clip FROM k""",
+    "markdown_sections": f"""WITH {_MEM}, b AS (SELECT id, title, {_body('text')} AS body FROM mem) SELECT 'note' || (id % 25) || '#' || title AS uri, title, length(body)::INT AS n, sha256(body) AS digest FROM b WHERE body <> ''""",
+    "generic_json_lines": f"WITH {_MEM}, b AS (SELECT *, {_body('text')} AS body FROM mem) SELECT 'file|' || id AS item_id, title, scope, array_to_string(tags, ',') AS tags, sha256(body) AS digest FROM b WHERE body <> ''",
     "recency_scores": f"WITH {_MEM} SELECT id, round(pow(2, -greatest((epoch_us({_NOW}) - epoch_us(coalesce(last_used_at, created_at))) / 86400e6, 0) / 14), 6) AS recency FROM mem",
     "item_hash": f"WITH {_UTT} SELECT ord, {_HASH.format(platform=_text('chatgpt'), identity='coalesce(CASE WHEN ord % 2 = 0 THEN item_id END, ' + _COLLAPSED + ')')} AS hash FROM utt",
     "ledger_new": f"WITH {_LEDGER} SELECT ord, hash FROM lu WHERE hash NOT IN (SELECT hash FROM ledger WHERE memory_id IS NOT NULL)",
