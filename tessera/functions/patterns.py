@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from . import fixed as V
@@ -26,9 +27,17 @@ def _end(pattern: str) -> str:
     return "".join(out)
 
 
+def _bounded(pattern: str) -> str:
+    """ASCII word boundaries: a look-behind before a word, a look-ahead after one, both where the side is open."""
+    pattern = re.sub(r"\\b(?=\(\?:[A-Za-z0-9]|[A-Za-z0-9])", "(?<![A-Za-z0-9_])", pattern)
+    pattern = re.sub(r"(?<=[A-Za-z0-9)?])\\b", "(?![A-Za-z0-9_])", pattern)
+    return pattern.replace(r"\b", _BOUNDARY)
+
+
 def java(pattern: str, fold_case: bool = False) -> str:
     """Unicode white space for ``\\s``, ASCII word boundaries, absolute ends."""
-    return ("(?iuU)" if fold_case else "(?U)") + _end(pattern).replace(r"\b", _BOUNDARY)
+    flags = ("iu" if fold_case else "") + ("U" if r"\s" in pattern else "")
+    return (f"(?{flags})" if flags else "") + _bounded(_end(pattern))
 
 
 def re2(pattern: str, fold_case: bool = False) -> str:
@@ -36,7 +45,9 @@ def re2(pattern: str, fold_case: bool = False) -> str:
 
 
 def any_of(*parts: str) -> str:
-    return f"(?:{'|'.join(parts)})"
+    """Alternatives; a boundary that all start with is tested once."""
+    lead = r"\b" if all(p.startswith(r"\b") for p in parts) else ""
+    return f"{lead}(?:{'|'.join(p.removeprefix(lead) for p in parts)})"
 
 
 @dataclass(frozen=True)

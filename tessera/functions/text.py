@@ -34,10 +34,10 @@ def strip(text: Column) -> Column:
 
 
 def matches(text: Column, *patterns: tuple[str, bool]) -> Column:
-    """Whether any of (pattern, fold case) is found."""
+    """Whether any of (pattern, fold case) is found. The patterns are in lower case, so folding is lowering the text."""
     out = F.lit(False)
     for pattern, fold_case in patterns:
-        out = out | text.rlike(P.java(pattern, fold_case))
+        out = out | (F.lower(text) if fold_case else text).rlike(P.java(pattern))
     return out
 
 

@@ -23,7 +23,7 @@ def _cue(clause: Column, cue: P.CuePattern) -> Column:
         tail = F.regexp_extract(clause, pattern, cue.group)
         body, marker = X.clean(tail), X.clean(F.substring(whole, F.lit(1), F.length(whole) - F.length(tail)))
     made = F.struct(F.lit(cue.kind).alias("kind"), body.alias("text"), marker.alias("marker"))
-    return F.when(clause.rlike(pattern) & (body != ""), made)
+    return F.when(X.matches(clause, (cue.pattern, cue.fold_case)), F.when(body != "", made))
 
 
 def extract_candidates(messages: DataFrame, message: str = "message", by: tuple[str, ...] = ("msg_id",), limit: int = V.MESSAGE_CANDIDATES) -> DataFrame:
@@ -62,7 +62,7 @@ def extract_from_messages(messages: DataFrame, batch: str, order: str, message:
 def classify(text: Column) -> Column:
     """The kind of a text taken whole: that of the first cue found anywhere, else a fact."""
     trimmed = X.strip(text)
-    return F.coalesce(*[F.when(trimmed.rlike(P.java(c.pattern, c.fold_case)), F.lit(c.kind)) for c in P.CUES], F.lit("fact"))
+    return F.coalesce(*[F.when(X.matches(trimmed, (c.pattern, c.fold_case)), F.lit(c.kind)) for c in P.CUES], F.lit("fact"))
 
 
 def reject_reason(text: Column, has_project: Column, vouched: Column) -> Column:
