@@ -62,7 +62,9 @@ def extract_from_messages(messages: DataFrame, batch: str, order: str, message:
 def classify(text: Column) -> Column:
     """The kind of a text taken whole: that of the first cue found anywhere, else a fact."""
     trimmed = X.strip(text)
-    return F.coalesce(*[F.when(X.matches(trimmed, (c.pattern, c.fold_case)), F.lit(c.kind)) for c in P.CUES], F.lit("fact"))
+    first = lambda cues: F.coalesce(*[F.when(X.matches(trimmed, (c.pattern, c.fold_case)), F.lit(c.kind)) for c in cues], F.lit("fact"))
+    # every Chinese pattern holds a Han character, so texts without one need the others only
+    return F.when(trimmed.rlike(r"\p{IsHan}"), first(P.CUES)).otherwise(first([c for c in P.CUES if c.fold_case]))
 
 
 def reject_reason(text: Column, has_project: Column, vouched: Column) -> Column:
