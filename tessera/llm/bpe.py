@@ -37,6 +37,8 @@ from . import common
 END = "\0"
 _LOW = (1 << 20) - 1
 START = _LOW
+#: Stands for an unassigned character while a text is cut into words.
+UNASSIGNED = "\ue000"
 #: Pieces between white space that a worker remembers.
 CACHE_PIECES = 1_400_000
 _ODD_SPACES = re.compile("[\\x1c-\\x1f]")
@@ -229,10 +231,17 @@ class Encoder:
         if text[-1:] in self._closing and text[:-1].isalpha():
             return self._words_seen[text[:-1]] + self._words_seen[text[-1]]
         out: list[int] = []
-        for word in self._words.findall(text):
+        for word in self._cut(text):
             out += self._words_seen[word]
         return out
 
+    def _cut(self, text: str) -> list[str]:
+        """The pre-tokenizer's words. The pattern library counts unassigned characters as letters; here they are symbols."""
+        if text.isascii() or not any(unicodedata.category(c) == "Cn" for c in text):
+            return self._words.findall(text)
+        shadow = "".join(UNASSIGNED if unicodedata.category(c) == "Cn" else c for c in text)
+        return [text[m.start() : m.end()] for m in self._words.finditer(shadow)]
+
     @staticmethod
     def pieces(text: str) -> list[str]:
         """The text cut at white space, as the normaliser sees it."""

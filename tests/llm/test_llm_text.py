@@ -15,7 +15,7 @@ from tessera.llm import bpe, chat, common, packing, rules
 from tessera.llm.piece_table import PieceTable
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-ODD = [None, "", " ", "\n\t\x0b", "a", "one two three", "É\x1cb\x85c　d﻿x ﬁ Σίσυφος", "<|endoftext|>x<|startoftext|>", "don't we've", "日本語 👩‍👩‍👧 İ", "x" * 30_000, "ab " * 20_000]
+ODD = [None, "", " ", "\n\t\x0b", "a", "one two three", "É\x1cb\x85c　d﻿x ﬁ Σίσυφος", "<|endoftext|>x<|startoftext|>", "don't we've", "日本語 👩‍👩‍👧 İ", ":\U0003d000a \U00019123", "x" * 30_000, "ab " * 20_000]
 
 
 @pytest.fixture(scope="module")
