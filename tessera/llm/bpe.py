@@ -30,6 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from . import common
 
@@ -37,8 +38,6 @@ from . import common
 END = "\0"
 _LOW = (1 << 20) - 1
 START = _LOW
-#: Stands for an unassigned character while a text is cut into words.
-UNASSIGNED = "\ue000"
 #: Pieces between white space that a worker remembers.
 CACHE_PIECES = 1_400_000
 _ODD_SPACES = re.compile("[\\x1c-\\x1f]")
@@ -77,6 +76,7 @@ class Encoder:
     """A word-end BPE vocabulary file of the ``tokenizers`` library, read as JSON."""
 
     def __init__(self, path: str):
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -222,6 +222,8 @@ class Encoder:
 
     def _plain(self, text: str) -> list[int]:
         if not text.isascii():
+            if any(unicodedata.combining(c) or unicodedata.category(c) == "Cn" for c in text):
+                return self._by_library(text)
             text = unicodedata.normalize("NFC", text)
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         else:
@@ -231,16 +233,17 @@ class Encoder:
         if text[-1:] in self._closing and text[:-1].isalpha():
             return self._words_seen[text[:-1]] + self._words_seen[text[-1]]
         out: list[int] = []
-        for word in self._cut(text):
+        for word in self._words.findall(text):
             out += self._words_seen[word]
         return out
 
-    def _cut(self, text: str) -> list[str]:
-        """The pre-tokenizer's words. The pattern library counts unassigned characters as letters; here they are symbols."""
-        if text.isascii() or not any(unicodedata.category(c) == "Cn" for c in text):
-            return self._words.findall(text)
-        shadow = "".join(UNASSIGNED if unicodedata.category(c) == "Cn" else c for c in text)
-        return [text[m.start() : m.end()] for m in self._words.finditer(shadow)]
+    def _by_library(self, text: str) -> list[int]:
+        """Ids of a text with unassigned or combining characters, on which character tables of different
+        age disagree: the library's own tables normalise it and cut it into words."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+        text = self._library.normalizer.normalize_str(text)
+        return [i for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(text) for i in self._words_seen[text[a:b]]]
 
     @staticmethod
     def pieces(text: str) -> list[str]:
