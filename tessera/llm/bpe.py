@@ -38,6 +38,8 @@ from . import common
 END = "\0"
 _LOW = (1 << 20) - 1
 START = _LOW
+#: No character below it combines or is unassigned.
+FIRST_COMBINING = "\u0300"
 #: Pieces between white space that a worker remembers.
 CACHE_PIECES = 1_400_000
 _ODD_SPACES = re.compile("[\\x1c-\\x1f]")
@@ -222,7 +224,7 @@ class Encoder:
 
     def _plain(self, text: str) -> list[int]:
         if not text.isascii():
-            if any(unicodedata.combining(c) or unicodedata.category(c) == "Cn" for c in text):
+            if max(text) >= FIRST_COMBINING and any(unicodedata.combining(c) or unicodedata.category(c) == "Cn" for c in text):
                 return self._by_library(text)
             text = unicodedata.normalize("NFC", text)
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
