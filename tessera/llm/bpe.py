@@ -257,12 +257,10 @@ class Encoder:
 
     # -- decoding ------------------------------------------------------------------------------
 
-    def token(self, i: int) -> str:
-        return self.blob[self.offsets[i] : self.offsets[i + 1]] if 0 <= i < len(self.offsets) - 1 else ""
-
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by a blank, as a vocabulary without a decoder has it."""
-        return " ".join(map(self.token, ids))
+        blob, at, last = self.blob, self.offsets, len(self.offsets) - 2
+        return " ".join([blob[at[i] : at[i + 1]] if 0 <= i <= last else "" for i in ids])
 
 
 @lru_cache(4)
@@ -279,7 +277,7 @@ def _shown(path: str) -> Remembered:
         ids = own.piece(piece)
         return " ".join(map(str, ids)), own.decode(ids)
 
-    return Remembered(make, CACHE_PIECES * 2 // 3)
+    return Remembered(make, CACHE_PIECES * 4 // 5)
 
 
 def _forget() -> None:
