@@ -75,19 +75,20 @@ def _block_top(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k: i
     bound = [min(2**63 - 1, int(np.ceil(np.sqrt(float((q * q).sum()) * float(most)) * (1 + 1e-9))) + 1) for q in queries]
     low = [-b for b in bound]
     shift = [max(0, (2 * b).bit_length() - BINS.bit_length() + 1) for b in bound]
+    width = [BINS] * n  # bins that cover the range; fewer than BINS where a bin of the round before was narrower than that
     above = np.zeros(n, np.int64)
     open_ = np.ones(n, bool)
     while open_.any():
-        state = spark.sparkContext.broadcast((ids, queries, np.array(low, np.int64), np.array(shift, np.uint64), np.flatnonzero(open_)))
+        state = spark.sparkContext.broadcast((ids, queries, np.array(low, np.int64), np.array(shift, np.uint64), np.array(width, np.uint64), np.flatnonzero(open_)))
 
         def count(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
-            ids, queries, low, shift, todo = state.value
-            own, lo, sh = queries[todo], low[todo][:, None], shift[todo][:, None]
+            ids, queries, low, shift, width, todo = state.value
+            own, lo, sh, most = queries[todo], low[todo][:, None], shift[todo][:, None], width[todo][:, None]
             total = np.zeros(len(todo) * BINS, np.int64)
             for vec_ids, tile in _tiles(batches, queries.shape[1], scale):
                 score = _scores(own, tile)
                 place = (score.view(np.uint64) - lo.view(np.uint64)) >> sh  # the distance may take all 64 bits
-                inside = (score >= lo) & (place < BINS) & (vec_ids[None, :] != ids[todo][:, None])
+                inside = (score >= lo) & (place < most) & (vec_ids[None, :] != ids[todo][:, None])
                 total += np.bincount((place.astype(np.int64) + np.arange(len(todo))[:, None] * BINS)[inside], minlength=len(total))
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(todo[some // BINS].astype(np.int32)), pa.array((some % BINS).astype(np.int32)), pa.array(total[some])], ["q", "bin", "n"])
@@ -109,7 +110,8 @@ def _block_top(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k: i
                 open_[q] = False
             else:
                 above[q] += hit["upto"] - hit["n"]
-                shift[q] = max(0, shift[q] - BINS.bit_length() + 1)
+                finer = max(0, shift[q] - BINS.bit_length() + 1)
+                width[q], shift[q] = 1 << (shift[q] - finer), finer
     state = spark.sparkContext.broadcast((ids, queries, np.array(low, np.int64)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

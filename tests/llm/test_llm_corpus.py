@@ -158,6 +158,24 @@ def test_topk_equals_brute_force_with_ties(spark, monkeypatch):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_topk_of_near_copies(spark):
+    """The bin of the k-th score is left with many scores in the last round, others lie just above it."""
+    rng = np.random.default_rng(8)
+    unit = rng.standard_normal((3, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    near = unit.copy()
+    near[np.arange(3), np.abs(unit).argmin(axis=1)] -= 2 / 1024
+    vectors = [v for u, n in zip(unit, near, strict=True) for v in [u] * 8 + [n] * 100]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    whole = np.floor(1024.0 * np.array(vectors)).astype(np.int64)
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 108 == 0, 10).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in (0, 108, 216):
+        best = sorted((-int(whole[q] @ whole[i]), i) for i in range(len(rows)) if i != q)[:10]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
 # -- fixity --------------------------------------------------------------------------------------------
 
 
