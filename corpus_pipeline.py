@@ -19,6 +19,9 @@ from tessera.llm.queries import VOCABULARY
 #: The stages train models and confirm links on full sets, which SQL cannot express; tests compare them with brute force.
 ORACLE_SQL = None
 
+#: Column that numbers the rows inside a stage.
+ROW = "__row"
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a letter whose predicted language scores at least ``langid.MIN_SCORE``."""
@@ -33,9 +36,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group."""
-    dropped = near_dup.near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
-    return docs.join(broadcast_if_small(cut(dropped.distinct(), "dropped")), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each near-duplicate group: the smallest id, rows without an id last.
+
+    Every row counts as a document of its own, also where ids are null or repeated.
+    """
+    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")  # stored, as the numbers must not change
+    found = near_dup.near_duplicates(rows, key=ROW).select(ROW, "component_id")
+    groups = cut(found.join(rows.select(ROW, "doc_id"), ROW), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    dropped = cut(groups.select(ROW).join(first, ROW, "left_anti"), "dropped")
+    return rows.join(broadcast_if_small(dropped), ROW, "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

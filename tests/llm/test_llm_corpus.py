@@ -301,3 +301,21 @@ def test_pipeline_stages(spark, tmp_path):
             assert [got[i] for i in order] == [w[2] for w in want]
         docs = after
     assert docs.count() > 0
+
+
+def test_pipeline_keeps_one_row_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    words = random.Random(5).choices([f"w{i}" for i in range(500)], k=200)
+    near = [*words[:100], "edit", *words[101:]]
+    other, alone = ([f"{c}{i}" for i in range(60)] for c in "xy")
+    rows = [(None, words), (4, words), (4, words), (3, near), (None, near), (7, other), (7, other), (7, alone), (None, other[::-1]), (None, other[::-1]), (None, [*other[:0:-1], "edit"]), (None, []), (9, None)]
+    docs = spark.createDataFrame([(i, None if t is None else " ".join(t)) for i, t in rows], "doc_id bigint, text string")
+    after = corpus_pipeline.near_duplicates(spark, docs, FOLDER)
+    assert after.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in after.collect()]
+    assert sorted((i, t) for i, t in got if i is not None and t) == [(3, " ".join(near)), (7, " ".join(other)), (7, " ".join(alone))]
+    assert sum(i is None and bool(t) for i, t in got) == 1  # of three near copies without an id
+    assert sum(not t for _, t in got) == 2 and len(got) == 6
+    passages = {r["text"] for r in corpus_pipeline.repeated_passages(spark, spark.createDataFrame(got, docs.schema), FOLDER).collect()}
+    assert {" ".join(near), " ".join(other), " ".join(alone)} <= passages  # no text is lost with its copies
