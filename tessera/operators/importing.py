@@ -22,13 +22,13 @@ class Request:
     project_path: str | None = None
     tags: tuple[str, ...] = ()
     max_chars: int = V.BODY_CAP
-    max_items: int = V.IMPORT_ITEMS
+    max_items: int | None = V.IMPORT_ITEMS
     dry_run: bool = False
 
 
 def considered(items: DataFrame, request: Request) -> DataFrame:
-    """The first ``max_items`` by ``ord``, with hash, layer and the day of a journal item. Equal hashes count once, the first."""
-    first = items.orderBy("ord").limit(request.max_items)
+    """The first ``max_items`` by ``ord`` (None: all), with hash, layer and the day of a journal item. Equal hashes count once, the first."""
+    first = items if request.max_items is None else items.orderBy("ord").limit(request.max_items)
     rows = first.withColumn("hash", X.item_hash(F.lit(request.platform), F.col("item_id"), F.col("text")))
     keep = rows.groupBy("hash").agg(F.min("ord").alias("ord")).withColumn("fresh", F.lit(True))
     rows = rows.join(keep, ["hash", "ord"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))

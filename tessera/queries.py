@@ -340,7 +340,7 @@ def ledger_record(spark, sf_dir):
 def import_metrics(spark, sf_dir):
     m = views.mem(spark, sf_dir)
     ledger = _ledger(spark, sf_dir)[1]
-    return importing.run(views.utterances(spark, sf_dir), m, ledger, _now(), importing.Request(dry_run=True))[2]
+    return importing.run(views.utterances(spark, sf_dir), m, ledger, _now(), importing.Request(max_items=None, dry_run=True))[2]
 
 
 @query

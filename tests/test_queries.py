@@ -25,3 +25,10 @@ def test_entry_has_rows(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_import_metrics_takes_every_user_turn(spark):
+    folder = "/root/testdata/sf0.1"
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").where("role = 'user'").count()
+    row = QUERIES["import_metrics"](spark, folder).first()
+    assert (row["scanned"], row["considered"], row["truncated"]) == (turns, turns, False) and turns > 500
