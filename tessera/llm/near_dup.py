@@ -4,11 +4,12 @@ A text's set holds its distinct five-word shingles. Equal sets become one class
 rest, several independent trees are grown over 64 minwise tokens of each set: the root branches
 into two of the tokens, and every node that is still large branches into two more, so a document
 goes where its tokens lead. A pair of similarity s meets along a branch with probability s, and
-with two branches a node the process does not die out for s >= 0.75: a tree misses such a pair
-with probability 0.111 at any depth (the fixed point of q = (1 - s + s q)^2), eight trees with
-2.4e-8, and in small nodes at the first level with 0.25^16.
+with two branches a node the process does not die out for s >= 0.75. The trees and the leaf test
+share the 64 tokens, so misses depend on how many of them a pair has in common: averaged over
+Binomial(64, 0.75), and with f -> (1 - p + p f)^2 a level for a share p in common, a pair of s = 0.75
+is missed with 1.0e-7 where all nodes are small, and 7.4e-6 where nodes stay large to depth 5.
 
-Small nodes are compared exhaustively on the 64 tokens; pairs with fewer than 29 in common (1e-8
+Small nodes are compared exhaustively on the 64 tokens; pairs with fewer than 29 in common (1.0e-7
 for s = 0.75) are no candidates. A node that does not get smaller by branching is a group of near
 copies: its members are candidates of each other as they are, without listing pairs. Candidate
 clusters are thus a superset of the true groups, in a number of edges linear in the documents.
