@@ -12,6 +12,7 @@ from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where it is unset (tests on one machine) a temporary folder is set.
+    Where it is unset, a temporary folder serves a session on one machine; a cluster is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = getattr(work_dir, "local", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         work_dir.local = folder
     return folder.rstrip("/")
@@ -44,7 +47,17 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Deletes what ``cut`` has written, once all that reads it is itself stored."""
+    for df in stored:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of a few numbers each that may be broadcast.
@@ -92,47 +105,40 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[ord(c) for c in SPACES]] = True
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_STEP), -1, 2**64))
+#: Words of more bytes are hashed one by one, by xxhash.
+LONG_WORD = 64
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
-@lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^64."""
-    out = []
-    for base in (_STEP, _BACK):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+def lanes(buffer: np.ndarray) -> np.ndarray:
+    """The eight bytes from every byte of ``buffer`` on, as unaligned little-endian words of one copy."""
+    return np.ndarray(len(buffer) + 1, "<u8", np.concatenate([buffer, np.zeros(8, np.uint8)]), 0, (1,))
 
 
-#: Bytes whose words are hashed at once.
-BLOCK_BYTES = 1 << 20
+def lane(view: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Bytes ``k`` to ``k`` + 7 of each run, zero beyond its end; ``view`` as ``lanes`` gives it."""
+    return view[starts + k] & _MASKS[np.minimum(sizes - k, 8)]
 
 
-def cut_words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cut_words(buffer: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, end and 64-bit hash of every run of bytes without ASCII white space.
 
-    A word's hash is a polynomial in its bytes, read off a running sum over a block of words, mixed
-    with its length, so no Python object is made for a word.
+    A hash starts from the length and takes in eight bytes at a time through a bijective mixer, so words
+    of up to eight bytes and one length never share one; no Python object is made for a word of usual length.
     """
     solid = np.zeros(len(buffer) + 2, np.int8)
     solid[1:-1] = ~_SPACE[buffer]
     change = np.diff(solid)
     starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
-    value = np.empty(len(starts), np.uint64)
-    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(buffer) + BLOCK_BYTES, BLOCK_BYTES)))
-    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        low, high = int(starts[i]), int(ends[j - 1])
-        ahead, back = _powers(1 << max(21, (high - low).bit_length()))
-        weighted = buffer[low:high].astype(np.uint64)
-        weighted += np.uint64(1)
-        weighted *= ahead[: high - low]
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(weighted, out=sums[1:])
-        value[i:j] = (sums[ends[i:j] - low] - sums[starts[i:j] - low]) * back[starts[i:j] - low]
-    return starts, ends, mix(value + (ends - starts).astype(np.uint64))
+    sizes, view = ends - starts, lanes(buffer)
+    value = mix(sizes.astype(np.uint64), seed)
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        value[i] = xxhash.xxh3_64_intdigest(buffer[starts[i] : ends[i]].tobytes(), seed + 1)
+    at = np.flatnonzero(sizes <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        at = at[sizes[at] > k]
+        value[at] = mix(value[at] ^ lane(view, starts[at], sizes[at], k), seed)
+    return starts, ends, value
 
 
 def _trim() -> None:
@@ -173,15 +179,16 @@ def claim(name: str, release: Callable[[], None] | None = None) -> None:
         _releases[name] = release
 
 
-def word_arrays(texts: list[bytes | None], fold_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_arrays(texts: list[bytes | None], fold_case: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of ``texts`` in order, and the number of words of each text.
 
-    Words are runs of anything but ASCII white space; ``fold_case`` lower-cases A-Z only.
+    Words are runs of anything but ASCII white space; ``fold_case`` lower-cases A-Z only. Another
+    ``seed`` gives hashes that start from the bytes anew.
     """
     raw = b" ".join(t or b"" for t in texts)
     if fold_case:
         raw = raw.lower()
-    starts, _, hashes = cut_words(np.frombuffer(raw, np.uint8))
+    starts, _, hashes = cut_words(np.frombuffer(raw, np.uint8), seed)
     bounds = np.cumsum([len(t or b"") + 1 for t in texts])
     return hashes, np.diff(np.searchsorted(starts, bounds), prepend=0)
 

@@ -2,17 +2,21 @@
 
 A text's set holds its distinct five-word shingles. Equal sets become one class at once. For the
 rest, several independent trees are grown over 64 minwise tokens of each set: the root branches
-into two of the tokens, and every node that is still large branches into two more, so a document
-goes where its tokens lead. A pair of similarity s meets along a branch with probability s, and
-with two branches a node the process does not die out for s >= 0.75. The trees and the leaf test
-share the 64 tokens, so misses depend on how many of them a pair has in common: averaged over
-Binomial(64, 0.75), and with f -> (1 - p + p f)^2 a level for a share p in common, a pair of s = 0.75
-is missed with 1.0e-7 where all nodes are small, and 7.4e-6 where nodes stay large to depth 5.
+into two of the tokens, and a node that is still large and mixed branches into two more that its path
+has not used, so a document goes where its tokens lead. A pair of similarity s meets along a branch
+with probability s, and with two branches a node the process does not die out for s >= 0.75. The
+trees and the leaf test share the 64 tokens, so misses depend on how many of them a pair has in
+common: averaged over Binomial(64, 0.75), and with f -> (1 - p + p f)^2 a level for a share p in
+common, a pair of s = 0.75 is missed with 1.0e-7 where all nodes are small, and 7.4e-6 where nodes
+stay large to depth 5.
 
 Small nodes are compared exhaustively on the 64 tokens; pairs with fewer than 29 in common (1.0e-7
-for s = 0.75) are no candidates. A node that does not get smaller by branching is a group of near
-copies: its members are candidates of each other as they are, without listing pairs. Candidate
-clusters are thus a superset of the true groups, in a number of edges linear in the documents.
+for s = 0.75) are no candidates. In a large node every member is first compared with a few pivots. A
+node that is one group of near copies is finished by that: all but a few members agree with the pivots
+of one group, which makes them candidates of each other, and the few are compared with every member,
+in blocks. Only nodes with many members outside the largest group branch on. Nodes that are large at
+the last depth are taken as one cluster. Candidate clusters are thus a superset of the true groups, in
+a number of edges linear in the documents.
 
 Links are then confirmed on full sets inside each cluster. Small clusters are done in one task,
 comparing only what is not connected yet. Large ones are dealt over tasks in blocks: first all
@@ -20,15 +24,17 @@ members against a few pivots, then the members outside the largest group against
 bounded size, so neither a task nor the result ever holds all pairs of a group.
 
 Defined results: null, empty or blank texts have an empty set, are linked with nothing and kept;
-texts under five words have one shingle, the whole sequence; ties cannot occur, as a group is
-represented by its smallest id; rows that share an id count as one document, whose links are those of
-any of its texts; a row without an id takes the group of its text, and is kept if no row with an id
-has its text.
+texts under five words have one shingle, the whole sequence; very long texts are read whole, their
+tokens found in parts; ties cannot occur, as a group is represented by its smallest id; rows that
+share an id count as one document, whose links are those of any of its texts; a row without an id takes
+the group of its text, and is kept if no row with an id has its text; an empty table gives no rows; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -49,8 +55,8 @@ BRANCHES = 2
 #: A node of at most so many members is compared exhaustively: what one task compares anyway.
 LEAF = 1024
 MAX_DEPTH = 5
-#: A child that keeps this part of its parent is a group of near copies, which branching won't split.
-DENSE = 0.6
+#: Pivots of a large node. It is finished if at most LEAF members are outside the largest group around them.
+NODE_PIVOTS = 4
 #: Tokens in common that make two members of a leaf candidates.
 CANDIDATE = 29
 #: Members, and shingles, of a cluster that one task confirms.
@@ -178,6 +184,95 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
 
+def _sketches(column: pa.Array, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(n, -1, TOKENS)
+
+
+def _pivots(members: DataFrame) -> DataFrame:
+    """node, keys, sketches and labels of a few members of each node; pivots whose sketches agree share a label."""
+    spread = F.xxhash64("key")
+    drawn = members.groupBy("node", F.pmod(spread, F.lit(NODE_PIVOTS)).alias("p")).agg(F.min_by(F.struct("key", "sketch"), spread).alias("m"))
+    listed = drawn.groupBy("node").agg(F.array_sort(F.collect_list("m")).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for node, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                m += m[:1] * (NODE_PIVOTS - len(m))
+                sketch = np.frombuffer(b"".join(x["sketch"] for x in m), np.uint16).reshape(-1, TOKENS)
+                union = _Union(len(m))
+                for i in range(len(m)):
+                    for j in np.flatnonzero((sketch[i + 1 :] == sketch[i]).sum(axis=1) >= CANDIDATE).tolist():
+                        union.join(i, i + 1 + j)
+                rows.append((node, [x["key"] for x in m], sketch.tobytes(), [union.find(i) for i in range(len(m))]))
+            if rows:
+                node, keys, sketches, labels = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(labels, pa.list_(pa.int32()))], ["node", "pivots", "pivot_sketches", "pivot_labels"])
+
+    return listed.mapInArrow(run, "node bigint, pivots array<bigint>, pivot_sketches binary, pivot_labels array<int>")
+
+
+def _against_pivots(members: DataFrame) -> DataFrame:
+    """node, key, n, used, sketch, label (the group of pivots that the member agrees with, -1: none) and the pivots it is joined to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not (n := batch.num_rows):
+                continue
+            own = batch.column("sketch")
+            agree = (_sketches(own, n) == _sketches(batch.column("pivot_sketches"), n)).sum(axis=2) >= CANDIDATE
+            labels = np.array(batch.column("pivot_labels").to_pylist(), np.int32)
+            keys = np.array(batch.column("pivots").to_pylist(), np.int64)
+            label = np.where(agree, labels, NODE_PIVOTS).min(axis=1)
+            # one pivot of each group that it agrees with
+            first = agree & ~np.stack([(agree[:, :i] & (labels[:, :i] == labels[:, i : i + 1])).any(axis=1) for i in range(NODE_PIVOTS)], axis=1)
+            joined = [k[f].tolist() for k, f in zip(keys, first, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("node", "key", "n", "used", "sketch")], pa.array(np.where(label == NODE_PIVOTS, -1, label).astype(np.int32)), pa.array(joined, pa.list_(pa.int64()))],
+                ["node", "key", "n", "used", "sketch", "label", "joined"],
+            )
+
+    pivots = common.cut(_pivots(members), "pivots")
+    return members.join(pivots, "node").mapInArrow(run, "node bigint, key bigint, n bigint, used bigint, sketch binary, label int, joined array<bigint>")
+
+
+def _rest_edges(rows: DataFrame) -> DataFrame:
+    """Compares, inside each cell, the members marked ``out`` with all; edges of those that agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple[int, int]] = []
+        for group in _groups(batches, "cell"):
+            keys, out = group.column("key").to_numpy(), group.column("out").to_numpy()
+            sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(len(keys), TOKENS)
+            union = _Union(len(keys))
+            for i in np.flatnonzero(out).tolist():
+                for j in np.flatnonzero((sketch == sketch[i]).sum(axis=1) >= CANDIDATE).tolist():
+                    union.join(i, j)
+            made += [(int(keys[i]), int(keys[r])) for i in range(len(keys)) if (r := union.find(i)) != i]
+            if len(made) > 50_000:
+                yield _edge_batch(made)
+                made = []
+        if made:
+            yield _edge_batch(made)
+
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint")
+
+
+def _settle(members: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """Edges found in large nodes (node, key, n, used, sketch), and the rows of nodes that have to branch."""
+    marked = common.cut(_against_pivots(members), "marked")
+    star = marked.select(F.col("key").alias("a"), F.explode("joined").alias("b")).where("a != b")
+    groups = marked.groupBy("node", "label").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    top = groups.groupBy("node").agg(F.max_by("label", F.struct(F.when(F.col("label") >= 0, F.col("c")).otherwise(-1).alias("c"), "label")).alias("top"), F.max(F.when(F.col("label") >= 0, F.col("c"))).alias("most"), F.max("n").alias("all"))
+    nodes = common.cut(top.select("node", "top", (F.col("all") - F.col("most")).alias("outside")), "settled")
+    judged = marked.join(nodes, "node")
+    blocks = F.ceil(F.col("n") / leaf)
+    few = judged.where(f"outside BETWEEN 1 AND {leaf}").withColumn("out", F.col("label") != F.col("top"))
+    block = F.when(F.col("out"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), blocks)))
+    cells = few.select("node", "key", "out", "sketch", F.explode(block).alias("block")).select(F.xxhash64("node", "block").alias("cell"), "key", "out", "sketch")
+    return star.unionByName(_rest_edges(cells)), judged.where(f"outside > {leaf}").select("node", "key", "used", "sketch")
+
+
 def candidate_edges(classes: DataFrame) -> DataFrame:
     """Grows the trees over classes (key, roots, sketch); edges whose components hold every link."""
 
@@ -186,41 +281,44 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
             n = batch.num_rows
             roots = np.frombuffer(b"".join(batch.column("roots").to_pylist()), np.uint64).reshape(n, _ROOTS)
             node = np.concatenate([common.mix(roots[:, i], 100 + i) for i in range(_ROOTS)])
-            keys = np.tile(batch.column("key").to_numpy(), _ROOTS)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(keys)], ["node", "key"])
+            keys, used = np.tile(batch.column("key").to_numpy(), _ROOTS), np.repeat(1 << np.arange(_ROOTS), n)
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(keys), pa.array(used)], ["node", "key", "used"])
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(n, TOKENS)
-            node = batch.column("node").to_numpy().view(np.uint64)
-            parts = []
-            first = (common.mix(node, 7) % np.uint64(TOKENS)).astype(np.int64)
-            step = (common.mix(node, 8) % np.uint64(TOKENS - 1)).astype(np.int64) + 1
-            for k in range(BRANCHES):  # two different tokens, the same for all members of a node
-                index = (first + k * step) % TOKENS
-                value = sketch[np.arange(n), index].astype(np.uint64)
-                parts.append(common.mix(node ^ common.mix(value * np.uint64(TOKENS) + index.astype(np.uint64), 9), 10))
-            keys, size = np.tile(batch.column("key").to_numpy(), BRANCHES), np.tile(batch.column("n").to_numpy(), BRANCHES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(keys), pa.array(size)], ["node", "key", "parent"])
+            sketch = _sketches(batch.column("sketch"), n)[:, 0]
+            node, used = batch.column("node").to_numpy().view(np.uint64), batch.column("used").to_numpy().view(np.uint64).copy()
+            index = (common.mix(node, 7) % np.uint64(TOKENS)).astype(np.uint64)
+            nodes, paths = [], []
+            for k in range(BRANCHES):  # tokens that the path has not used, the same for all members of a node
+                while (taken := ((used >> index) & np.uint64(1)).astype(bool)).any():
+                    index[taken] = (index[taken] + np.uint64(1)) % np.uint64(TOKENS)
+                value = sketch[np.arange(n), index.astype(np.int64)].astype(np.uint64)
+                nodes.append(common.mix(node ^ common.mix(value * np.uint64(TOKENS) + index, 9), 10))
+                used |= np.uint64(1) << index
+                paths.append(used.copy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.array(np.tile(batch.column("key").to_numpy(), BRANCHES)), pa.array(np.concatenate(paths).view(np.int64))], ["node", "key", "used"])
 
     sketches = classes.select("key", "sketch")
-    rows = classes.select("key", "roots").mapInArrow(grow, "node bigint, key bigint").withColumn("parent", F.lit(None).cast("long"))
-    edges = None
+    rows = classes.select("key", "roots").mapInArrow(grow, "node bigint, key bigint, used bigint")
+    edges = []
     for depth in range(1, MAX_DEPTH + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1")
         live = common.cut(rows.join(sizes, "node"), "nodes")
-        dense = (F.col("n") >= DENSE * F.col("parent")) | F.lit(depth == MAX_DEPTH)
-        dense = F.coalesce(dense, F.lit(False))
-        star = live.where((F.col("n") > LEAF) & dense).select(F.col("key").alias("a"), F.col("least").alias("b")).where("a != b")
-        leaf = live.where(F.col("n") <= LEAF).select("node", "key").join(sketches, "key")
-        found = _leaf_edges(leaf).unionByName(star)
-        edges = found if edges is None else edges.unionByName(found)
-        large = live.where((F.col("n") > LEAF) & ~dense)
-        if depth == MAX_DEPTH or large.isEmpty():
+        edges.append(_leaf_edges(live.where(F.col("n") <= LEAF).select("node", "key").join(sketches, "key")))
+        large = live.where(F.col("n") > LEAF)
+        if large.isEmpty():
+            break
+        if depth == MAX_DEPTH:
+            edges.append(large.select(F.col("key").alias("a"), F.col("least").alias("b")).where("a != b"))
+            break
+        found, mixed = _settle(large.select("node", "key", "n", "used").join(sketches, "key").select("node", "key", "n", "used", "sketch"), LEAF)
+        edges.append(found)
+        if mixed.isEmpty():
             break
-        rows = large.select("node", "key", "n").join(sketches, "key").mapInArrow(branch, "node bigint, key bigint, parent bigint")
-    return edges
+        rows = mixed.mapInArrow(branch, "node bigint, key bigint, used bigint")
+    return reduce(DataFrame.unionByName, edges)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, shared: np.ndarray | int) -> np.ndarray:

@@ -79,6 +79,36 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, limit, leaf):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got) and len(got) == len(texts)
 
 
+def test_large_nodes_of_near_copies_do_not_branch(spark, monkeypatch):
+    """Groups of near copies, a frequent passage around different texts, and strangers beside both."""
+    monkeypatch.setattr(near_dup, "LEAF", 12)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    shared, texts = rng.choices(words, k=60), []
+    for _ in range(2):
+        base = rng.choices(words, k=90)
+        for _ in range(90):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 4])):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            texts.append(" ".join(w))
+    texts += [" ".join(shared + rng.choices(words, k=rng.choice([5, 20, 60, 90]))) for _ in range(120)]
+    rng.shuffle(texts)
+    got = near_dup.near_duplicates(table(spark, texts), cluster_limit=40).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(texts)
+
+
+def test_words_that_look_alike_to_polynomials(spark):
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    one, two = ("".join(x[b] for b in bits) for x in ("ab", "ba"))
+    rows = near_dup.near_duplicates(table(spark, [one, two])).collect()
+    assert sorted(r["component_id"] for r in rows) == [0, 1]
+    around = [f"v{i}" for i in range(40)]
+    texts = [" ".join([*around[:20], x, *around[20:]]) for x in (one, two)]
+    assert [r["n_removed"] for r in substring.remove_repeats(table(spark, texts)).collect()] == [0, 0]
+    assert [r["n_removed"] for r in substring.remove_repeats(table(spark, [texts[0], texts[0]])).collect()] == [41, 41]
+
+
 def test_near_duplicates_null_and_repeated_ids(spark):
     rows = near_dup.near_duplicates(table(spark, ["a b c d e f"] * 3 + ["x y z"], [None, 4, 4, None])).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in rows if r["n_shingles"] == 2) == [(-1, 4, False), (4, 4, True), (4, 4, True)]

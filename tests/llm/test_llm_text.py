@@ -179,3 +179,31 @@ def test_word_arrays_equal_split():
 
 def test_vocabulary_is_not_copied():
     assert json.load(open(VOCABULARY))["model"]["type"] == "BPE"
+
+
+def alike_by_sums():
+    """Two words that any polynomial hash modulo a power of two takes for the same: a Thue-Morse word and its complement."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_look_alike_to_polynomials_differ(spark, library):
+    one, two = alike_by_sums()
+    assert len(set(common.word_arrays([f"{one} {two}".encode()])[0].tolist())) == 2
+    table = PieceTable(bpe.encoder(VOCABULARY))
+    for t in (one, two, f"{two} {one}"):
+        assert table.encode([t.encode()], 0)[0].tolist() == [*library.encode(t, add_special_tokens=False).ids, 0]
+    fill = [" ".join(f"{c}{i}" for i in range(7)) for c in "xyz"]
+    text = f"{fill[0]} {one} {fill[1]} {two} {fill[2]}"
+    assert rules.measure([text.encode()])["n_repeat_words"].tolist() == [0]
+    assert rules.measure([f"{one} {fill[0]} {two} {fill[0]}".encode()])["n_repeat_words"].tolist() == [0]
+
+
+def test_piece_table_tells_pieces_of_one_hash_apart(library, monkeypatch):
+    cut = common.cut_words
+    monkeypatch.setattr(common, "cut_words", lambda buffer, seed=0: (*cut(buffer, seed)[:2], cut(buffer, seed)[2] % np.uint64(7)))
+    rng, table = random.Random(4), PieceTable(bpe.encoder(VOCABULARY), slots=1 << 12)
+    for _ in range(3):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.choice([3, 8, 9, 30, 80]))) for _ in range(60)]
+        text = " ".join(rng.choices(words, k=200))
+        assert table.encode([text.encode()], 0)[0].tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
