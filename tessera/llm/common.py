@@ -52,11 +52,11 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     return out
 
 
-def discard(*stored: DataFrame) -> None:
-    """Deletes what ``cut`` has written, once all that reads it is itself stored."""
-    for df in stored:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+def discard(stored: DataFrame, *parts: str) -> None:
+    """Deletes what ``cut`` has written, or folders of it, once all that reads it is itself stored."""
+    spark = stored.sparkSession
+    for part in parts or ("",):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{stored.stored_at}/{part}")
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

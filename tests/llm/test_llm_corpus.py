@@ -139,9 +139,10 @@ def brute_removed(texts, window):
     return [(len(w), sum(g), [x for x, y in zip(w, g, strict=True) if not y]) for w, g in zip(words, gone, strict=True)]
 
 
-@pytest.mark.parametrize("bits", [28, 16, 4])
-def test_substring_equals_brute_force(spark, bits):
-    rng = random.Random(bits)
+@pytest.mark.parametrize("buckets, chunk", [(1, 2_500_000), (500, 300), (7, 2000)])
+def test_substring_equals_brute_force(spark, buckets, chunk):
+    """Null, empty, short, repeated and very long texts, null and repeated ids; one or many buckets and chunks."""
+    rng = random.Random(buckets)
     vocabulary = [f"v{i}" for i in range(400)]
     passages = [rng.choices(vocabulary, k=n) for n in (9, 10, 11, 12, 25, 60)]
     texts = [None, "", "a", "a b " * 30, "Same words Here now " * 8]
@@ -151,13 +152,24 @@ def test_substring_equals_brute_force(spark, bits):
             at = rng.randint(0, len(own))
             own[at:at] = p
         texts.append(" ".join(own))
-    texts += [texts[20], texts[20]]
+    texts += [texts[20], texts[20], " ".join(rng.choices([f"u{i}" for i in range(9000)], k=30_000))]
     want = brute_removed(texts, 10)
-    rows = sorted(substring.remove_repeats(table(spark, texts), window=10, filter_bits=max(bits, 10)).collect(), key=lambda r: r["doc_id"])
+    rows = sorted(substring.remove_repeats(table(spark, texts), window=10, buckets=buckets, chunk_bytes=chunk).collect(), key=lambda r: r["doc_id"])
+    unnamed = substring.remove_repeats(table(spark, texts, [None, 3] * (len(texts) // 2) + [None] * (len(texts) % 2)), window=10, buckets=buckets, chunk_bytes=chunk).collect()
+    assert sorted((r["n_words"], r["text"] or "") for r in unnamed) == sorted((r["n_words"], r["text"] or "") for r in rows)
     assert [(r["n_words"], r["n_removed"], (r["text"] or "").encode().split()) for r in rows] == want
     assert rows[0]["text"] is None and {r["key"] for r in rows} == {1}
 
 
+def test_buckets_and_chunks_follow_the_corpus():
+    assert substring.plan(0, 8) == (8, substring.CHUNK_BYTES)
+    for size in (10**9, 3 * 10**10, 10**12):
+        buckets, chunk = substring.plan(size, 8)
+        assert size / 6 / buckets <= 1.01 * substring.BUCKET_WORDS or buckets == 8 and chunk / 6 / buckets >= substring.SHARE_WORDS
+    buckets, chunk = substring.plan(10**14, 8)
+    assert chunk == substring.MAX_CHUNK_BYTES and chunk / 6 / buckets >= substring.SHARE_WORDS - 1
+
+
 def test_substring_keeps_white_space_and_takes_empty_tables(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     rows = substring.remove_repeats(table(spark, [f"one\n\n two {passage}  three", f"{passage}", "plain\ttext "])).orderBy("doc_id").collect()
