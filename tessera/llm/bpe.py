@@ -11,7 +11,7 @@ Decoding joins token strings cut from one long string by a table of offsets.
 
 Defined results: a null text counts as empty, has no tokens and decodes to the empty string; an
 empty string likewise; texts of any length are encoded whole, piece by piece of white space;
-repeated rows are encoded one by one; extra columns are ignored.
+repeated rows, also of null ids, are encoded one by one; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

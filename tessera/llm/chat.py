@@ -74,7 +74,11 @@ def valid_order(roles: Column, template: Template = DEFAULT) -> Column:
 
 
 def format_chats(turns: DataFrame, template: Template = DEFAULT, key: str = "conv_id") -> DataFrame:
-    """One row per conversation: key, valid, segments (array of text, loss) and the formatted string."""
+    """One row per conversation: key, valid, segments (array of text, loss), the formatted string and its loss mask.
+
+    ``loss_mask`` lists the character ranges (start from 1, length) of ``formatted`` that carry loss. As a
+    conversation is one row, its turns meet in one task.
+    """
     t = template
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     rows = turns.select(F.col(key), F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
@@ -89,11 +93,19 @@ def format_chats(turns: DataFrame, template: Template = DEFAULT, key: str = "con
         )
 
     out = chats.select(key, valid_order(F.transform("turns", lambda x: x["role"]), t).alias("valid"), F.flatten(F.transform("turns", segments)).alias("segments"))
-    return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    out = out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    ends = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, length: INT>>)").alias("spans"))
+
+    def extend(state: Column, s: Column) -> Column:
+        n = F.length(s["text"])
+        span = F.array(F.struct((state["at"] + 1).alias("start"), n.alias("length")))
+        return F.struct((state["at"] + n).alias("at"), F.when(s["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+
+    return out.withColumn("loss_mask", F.aggregate("segments", ends, extend, lambda state: state["spans"]))
 
 
 def read_back(chats: DataFrame, template: Template = DEFAULT, key: str = "conv_id") -> DataFrame:
-    """Parses ``formatted`` and the loss flags back: key, valid, turns (array of role, text), loss_text.
+    """Parses ``formatted`` and its loss mask back: key, valid, turns (array of role, text), loss_text.
 
     Escaped text holds no mark, so the literal tail ends a turn and the first end-of-role mark ends its role.
     """
@@ -107,5 +119,5 @@ def read_back(chats: DataFrame, template: Template = DEFAULT, key: str = "conv_i
         return F.struct(unescaped(role, t).alias("role"), unescaped(text, t).alias("text"))
 
     turns = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), turn)
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"], t)), "")
+    loss = F.array_join(F.transform("loss_mask", lambda m: unescaped(F.substring(F.col("formatted"), m["start"], m["length"]), t)), "")
     return chats.select(key, "valid", "formatted", turns.alias("turns"), loss.alias("loss_text"))

@@ -8,7 +8,8 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache, wraps
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,15 @@ def work_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths that the running operator has written; None outside of one that tidies up.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if (written := _written.get()) is not None:
+        written.append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -52,12 +59,47 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of work files, in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(stored: DataFrame, *parts: str) -> None:
     """Deletes what ``cut`` has written, or folders of it, once all that reads it is itself stored."""
-    spark = stored.sparkSession
     for part in parts or ("",):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{stored.stored_at}/{part}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(stored.sparkSession, f"{stored.stored_at}/{part}")
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Inside, ``cut`` lists the paths that it writes."""
+    own: list[str] = []
+    token = _written.set(own)
+    try:
+        yield own
+    finally:
+        _written.reset(token)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is stored and whose work tables are deleted before it returns."""
+
+    @wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        out, spark = None, SparkSession.getActiveSession()
+        with scratch() as own:
+            try:
+                out = cut(operator(*args, **kwargs), operator.__name__)
+            finally:
+                for path in own:
+                    if out is None or path != out.stored_at:
+                        delete(spark, path)
+        if (outer := _written.get()) is not None:
+            outer.append(out.stored_at)
+        return out
+
+    return run
 
 
 #: Rows of a few numbers each that may be broadcast.
@@ -120,17 +162,22 @@ def lane(view: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) -> np.
     return view[starts + k] & _MASKS[np.minimum(sizes - k, 8)]
 
 
+def cut_runs(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and size of every run of bytes without ASCII white space."""
+    solid = np.zeros(len(buffer) + 2, np.int8)
+    solid[1:-1] = ~_SPACE[buffer]
+    change = np.diff(solid)
+    starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    return starts, ends, ends - starts
+
+
 def cut_words(buffer: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, end and 64-bit hash of every run of bytes without ASCII white space.
 
     A hash starts from the length and takes in eight bytes at a time through a bijective mixer, so words
     of up to eight bytes and one length never share one; no Python object is made for a word of usual length.
     """
-    solid = np.zeros(len(buffer) + 2, np.int8)
-    solid[1:-1] = ~_SPACE[buffer]
-    change = np.diff(solid)
-    starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
-    sizes, view = ends - starts, lanes(buffer)
+    (starts, ends, sizes), view = cut_runs(buffer), lanes(buffer)
     value = mix(sizes.astype(np.uint64), seed)
     for i in np.flatnonzero(sizes > LONG_WORD).tolist():
         value[i] = xxhash.xxh3_64_intdigest(buffer[starts[i] : ends[i]].tobytes(), seed + 1)

@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
         # the edge set does not grow: its stored parts are as many as its last size asks for
-        links = common.cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct().coalesce(8 + before[0] // PART_ROWS), "links")
+        old, links = links, common.cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct().coalesce(8 + before[0] // PART_ROWS), "links")
+        common.discard(old)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -12,7 +12,8 @@ Training reads a bounded sample of labelled rows outside the held-out fold, feat
 executors, and runs AdaGrad here. The model has a fixed size and is broadcast.
 
 Defined results: null and empty texts have statistics of 0 and get a score like any other; a null
-length has a range of its own; rows of a repeated id are scored one by one, and conflicting labels
+length has a range of its own; very long texts are read whole; rows without an id are scored but not
+learned from; an empty table gives no rows; rows of a repeated id are scored one by one, and conflicting labels
 of an id count as the lowest; without usable labels every score is 0.5; other columns pass through.
 """
 

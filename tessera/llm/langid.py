@@ -1,18 +1,20 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 Two GRUs read a text's bytes, one from each end. Every byte gets a distribution over the languages
-from both states there; a document's probabilities are the mean over the bytes of its letters'
-words. The network is trained here in numpy by backpropagation through time on windows of a bounded
-sample. Gates use the piecewise linear sigmoid and candidates the clipped identity, which numpy
+from both states there; a document's probabilities are the mean over the bytes of its words with a
+letter, or with any character beyond ASCII. The network is trained here in numpy by backpropagation through time on windows that are
+drawn evenly over the whole texts of a bounded sample of labelled rows. Gates use the piecewise linear sigmoid and candidates the clipped identity, which numpy
 evaluates fast and whose derivatives are exact.
 
 Whole texts are read: a text is cut into spans of ``SPAN`` bytes that overlap by ``OVERLAP``; the
 overlap warms up the states and is labelled once, so each byte is labelled exactly once, and spans
 of many texts go through the network side by side.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; repeated rows are
-scored one by one; ties go to the first language in alphabetical order; without any labelled row
-every text is ``und``; other columns pass through.
+Defined results: a null text, or one without a letter, is ``und`` with score 0; very long texts are
+read whole; repeated rows, also of null or repeated ids, are scored one by one and equal texts score
+alike; ties go to the first language in alphabetical order; without any labelled row every text is
+``und``; an empty table gives no rows; other columns pass through, but for ``lang_pred`` and ``score``,
+which are replaced. Rows without an id are in no held-out fold.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ from . import common
 HIDDEN = 8
 SPAN = 256
 OVERLAP = 16
-#: Bound on the labelled documents of each language that training reads, and on languages.
+#: Bound on the labelled documents of each language that training reads.
 SAMPLE_PER_LANG = 1500
-MAX_LANGS = 64
 TRAIN_SPAN = 64
+#: Windows drawn from each of them, wherever they lie in its text.
+TRAIN_WINDOWS = 32
 TRAIN_STEPS = 500
 TRAIN_BATCH = 256
 #: Documents below this score, and ``und``, are rejected by the filter.
@@ -156,12 +159,18 @@ def _gradients(model: Model, data: np.ndarray, label: np.ndarray) -> tuple[float
     return loss, [*tables, *recs, grads["out"], grads["bias"]]
 
 
-def train(texts: list[tuple[bytes, str]], steps: int = TRAIN_STEPS, seed: int = 8) -> Model | None:
-    """Fits the network to labelled texts by Adam on random windows; every language is drawn equally often."""
-    by_lang: dict[str, list[np.ndarray]] = {}
-    for raw, lang in texts:
+def windows(raw: bytes, n: int = TRAIN_WINDOWS, seed: int = 0) -> list[bytes]:
+    """``n`` windows that start evenly drawn over a whole text."""
+    at = np.random.default_rng([seed, len(raw)]).integers(max(1, len(raw) - TRAIN_SPAN // 2), size=n)
+    return [raw[i : i + TRAIN_SPAN] for i in at.tolist()]
+
+
+def train(drawn: list[tuple[bytes, str]], steps: int = TRAIN_STEPS, seed: int = 8) -> Model | None:
+    """Fits the network to labelled windows by Adam; every language is drawn equally often."""
+    by_lang: dict[str, list[bytes]] = {}
+    for raw, lang in drawn:
         if raw:
-            by_lang.setdefault(lang, []).append(np.frombuffer(raw, np.uint8))
+            by_lang.setdefault(lang, []).append(raw)
     langs = sorted(by_lang)
     if not langs:
         return None
@@ -172,9 +181,7 @@ def train(texts: list[tuple[bytes, str]], steps: int = TRAIN_STEPS, seed: int =
         data = np.full((TRAIN_SPAN, TRAIN_BATCH), 32, np.uint8)
         for lane, k in enumerate(label.tolist()):
             own = by_lang[langs[k]]
-            text = own[rng.integers(len(own))]
-            at = int(rng.integers(max(1, len(text) - TRAIN_SPAN // 2)))
-            part = text[at : at + TRAIN_SPAN]
+            part = np.frombuffer(own[rng.integers(len(own))], np.uint8)
             data[: len(part), lane] = part
         _, grads = _gradients(model, data, label)
         rate = 0.02 * min(1.0, step / 20) * (1 - 0.9 * step / steps)
@@ -189,8 +196,24 @@ def train(texts: list[tuple[bytes, str]], steps: int = TRAIN_STEPS, seed: int =
 # -- scoring ------------------------------------------------------------------------------------
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def pooled(raw: bytes) -> np.ndarray:
+    """Mask over the bytes of the words that hold a letter, or any byte beyond ASCII; all bytes where no word does."""
+    data = np.frombuffer(raw, np.uint8)
+    starts, ends, _ = common.cut_runs(data)
+    letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+    has = letters[ends] > letters[starts]
+    change = np.zeros(len(data) + 1, np.int8)
+    change[starts[has]], change[ends[has]] = 1, -1
+    mask = np.cumsum(change[:-1], dtype=np.int8) > 0
+    return mask if mask.any() else np.ones(len(data), bool)
+
+
 def score(model: Model, texts: list[bytes]) -> np.ndarray:
-    """Mean probabilities over all bytes of each non-empty text."""
+    """Mean probabilities over the pooled bytes of each non-empty text."""
     step = SPAN - 2 * OVERLAP
     total = np.zeros((len(texts), len(model.langs)))
     spans: list[tuple[int, int, int, int, int]] = []  # text, from, to, first labelled, end of labelled
@@ -200,20 +223,18 @@ def score(model: Model, texts: list[bytes]) -> np.ndarray:
             low, high = max(0, at - OVERLAP), min(n, at + step + OVERLAP)
             spans.append((i, low, high, at - low, min(at + step, n) - low))
     spans.sort(key=lambda s: s[2] - s[1])
-    arrays = [np.frombuffer(t, np.uint8) for t in texts]
+    arrays, masks = [np.frombuffer(t, np.uint8) for t in texts], [pooled(t) for t in texts]
     for first in range(0, len(spans), LANES):
         own = spans[first : first + LANES]
         length = own[-1][2] - own[-1][1]
-        data = np.full((len(own), length), 32, np.uint8)
-        for lane, (i, low, high, _, _) in enumerate(own):
+        data, weight = np.full((len(own), length), 32, np.uint8), np.zeros((len(own), length), bool)
+        for lane, (i, low, high, start, end) in enumerate(own):
             data[lane, : high - low] = arrays[i][low:high]
+            weight[lane, start:end] = masks[i][low + start : low + end]
         prob = _label(model, np.ascontiguousarray(data.T))
-        place = np.arange(length)[:, None]
-        start, end = np.array([s[3] for s in own]), np.array([s[4] for s in own])
-        prob *= ((place >= start) & (place < end))[:, :, None]
+        prob *= weight.T[:, :, None]
         np.add.at(total, np.array([s[0] for s in own]), prob.sum(axis=0))
-    sizes = np.array([max(1, len(t)) for t in texts])
-    return total / sizes[:, None]
+    return total / np.array([max(1, int(m.sum())) for m in masks])[:, None]
 
 
 def has_letter(raw: bytes | None) -> bool:
@@ -223,17 +244,19 @@ def has_letter(raw: bytes | None) -> bool:
 
 
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = SAMPLE_PER_LANG) -> list[tuple[bytes, str]]:
-    """At most about ``per_lang`` labelled rows of each language outside the held-out fold, drawn by a hash of their id."""
+    """Windows of at most about ``per_lang`` labelled rows of each language outside the held-out fold, drawn by a hash of their id."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~common.held_out(key))
-    counts = {r[lang]: r["count"] for r in labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGS).collect()}
+    counts = {r[lang]: r["count"] for r in labelled.groupBy(lang).count().collect()}  # a row for each language
     if not counts:
         return []
-    share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))]), F.col(lang)), F.lit(0.0))
-    drawn = labelled.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1_000_000)) < share * 1_000_000)
-    # a text's whole length may be drawn from, by a few spans of it
-    spans = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.substring(F.col(text), F.lit(1) + (F.length(text) * i / 4).cast("int"), F.lit(400)))
-    rows = drawn.orderBy(F.xxhash64(F.col(key), F.lit(17)), key).select(F.col(lang).alias("lang"), F.concat_ws(" ", spans).alias("text")).limit(per_lang * len(counts)).collect()
-    return [(r["text"].encode(), r["lang"]) for r in rows]
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_lang / n))]), F.col(lang))
+    order = F.xxhash64(F.col(key), F.lit(17))
+    drawn = labelled.where(F.pmod(order, F.lit(1_000_000)) < share * 1_000_000)
+    raw = F.col(text).cast("binary")
+    starts = F.greatest(F.lit(1), F.octet_length(raw) - TRAIN_SPAN // 2)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_WINDOWS - 1)), lambda i: F.substring(raw, (F.pmod(F.xxhash64(order, i), starts) + 1).cast("int"), F.lit(TRAIN_SPAN)))
+    rows = drawn.orderBy(order, key).select(F.col(lang).alias("lang"), parts.alias("parts")).limit(per_lang * len(counts)).collect()  # bounded rows of 2 KB
+    return [(bytes(part), r["lang"]) for r in rows for part in r["parts"]]
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

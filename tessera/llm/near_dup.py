@@ -426,6 +426,7 @@ def _sets(docs: DataFrame, members: DataFrame, text: str, key: str) -> DataFrame
     return rows.mapInArrow(common.trimmed(run), "cluster bigint, n bigint, total bigint, key bigint, set binary")
 
 
+@common.tidy
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", cluster_limit: int = CLUSTER) -> DataFrame:
     """One row per document: key, n_shingles, component_id, kept (the document stands for its group)."""
     found = common.cut(features(docs, text, key), "features")

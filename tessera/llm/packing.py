@@ -6,12 +6,15 @@ some open bin has. A piece goes to the fullest bin that still holds it, found by
 lowest-bit step; if none does, a bin is opened, and when all are open the fullest closes first.
 
 Tokenising and packing are two passes: the first turns texts into piece rows of a few dozen bytes,
-the second deals those rows into shards of bounded size (a hash of the piece, so a hot source is
-spread) and packs each shard in the order of that hash, in windows whose longest pieces arrive first,
-so short ones fill what the long ones leave. A shard loses at most its open bins.
-
-Defined results: a null or empty text is one piece, the end token alone; repeated rows are packed
-once each; extra columns are ignored.
+the second deals those rows into shards of bounded size (a hash of the piece and its stored row, so
+neither a hot source nor repeated rows meet in one shard) and packs each shard in the order of that
+hash. The packer is online: it never looks ahead. Who feeds it may choose the order, and here pieces
+arrive in windows whose longest come first, so short ones fill what the long ones leave. A shard
+loses at most its open bins.
+
+Defined results: a null or empty text is one piece, the end token alone; a very long text is cut into
+full pieces and a rest; repeated rows, also of null or repeated ids, are packed once each under the id
+they have; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,7 +116,7 @@ def pack(rows: DataFrame, key: str = "doc_id", size: int = SEQUENCE, n_open: int
     rows = common.cut(rows, "pieces")
     n = max(1, -(-rows.count() // shard_pieces))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", sequence_id bigint, offset bigint"
-    order = [F.xxhash64(key, "piece", "ids_crc32"), F.col(key), F.col("piece"), F.col("ids_crc32")]
+    order = F.xxhash64(key, "piece", "ids_crc32", F.monotonically_increasing_id())  # of a stored row, so a repeated task gives the same
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         packer, base = BestFit(size, n_open), int(shard["__shard"].iloc[0]) << 40
@@ -128,7 +131,7 @@ def pack(rows: DataFrame, key: str = "doc_id", size: int = SEQUENCE, n_open: int
         window = np.arange(len(shard)) // (WINDOW * n_open)
         return run(shard.iloc[np.lexsort((-shard["length"].to_numpy(), window))])
 
-    dealt = rows.withColumn("__order", order[0]).withColumn("__shard", F.pmod(F.col("__order"), F.lit(n)))
+    dealt = rows.withColumn("__order", order).withColumn("__shard", F.pmod(F.col("__order"), F.lit(n)))
     return dealt.groupBy("__shard").applyInPandas(ordered, schema)
 
 

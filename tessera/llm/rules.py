@@ -5,7 +5,8 @@ each failed rule; a policy is a named, versioned bit mask, so applying a policy,
 policies and leave-one-out ablations read the ledger only, never the texts.
 
 Defined results: a null or empty text has all measurements 0 (and fails ``few_words``); repeated
-rows are judged one by one; extra columns are left out of the ledger unless named in ``keep``.
+rows, also of null ids, are judged one by one; very long texts are measured whole; an empty table gives
+an empty ledger; extra columns are left out of the ledger unless named in ``keep``.
 """
 
 from __future__ import annotations

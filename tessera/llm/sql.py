@@ -96,8 +96,8 @@ WITH a AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html
 b AS (
   SELECT page_id, url, CASE WHEN page_id % 211 = 7 THEN '~' || substr(html, 2) WHEN page_id % 1009 = 11 THEN left(html, 10) ELSE html END AS html
   FROM a WHERE page_id % 2003 <> 13),
-la AS (SELECT *, (48 + strlen(url) + 18 + strlen(strlen(html)::VARCHAR) + 4 + strlen(html) + 4)::BIGINT AS n FROM a),
-lb AS (SELECT *, (48 + strlen(url) + 18 + strlen(strlen(html)::VARCHAR) + 4 + strlen(html) + 4)::BIGINT AS n FROM b),
+la AS (SELECT *, (146 + strlen(url) + 43 + strlen(strlen(html)::VARCHAR) + 4 + strlen(html) + 4)::BIGINT AS n FROM a),
+lb AS (SELECT *, (146 + strlen(url) + 43 + strlen(strlen(html)::VARCHAR) + 4 + strlen(html) + 4)::BIGINT AS n FROM b),
 pa AS (SELECT *, (sum(n) OVER (PARTITION BY page_id // 512 ORDER BY page_id) - n)::BIGINT AS o FROM la),
 pb AS (SELECT *, (sum(n) OVER (PARTITION BY page_id // 512 ORDER BY page_id) - n)::BIGINT AS o FROM lb),
 r AS (

@@ -4,8 +4,9 @@ Queries are taken in blocks of bounded size. Every candidate is scored against a
 scores are counted in a histogram for each query, summed over all tasks; the bin that holds a
 query's k-th score becomes the next, finer range, until only a few scores lie at or above its lower
 edge or the bin is a single value. A last pass keeps the scores at or above the edge, at most k of
-each task, and ranks them by score, then smaller id. No task sees more than its own candidates and
-a block, and what meets is a histogram or k rows a task.
+each task, ranks them by score, then smaller id, and stores the block's rows. No task sees more than its
+own candidates and a block, and what meets is a histogram or k rows a task. A round reads all candidates
+for a whole block, so the scans are as many as the blocks, times the few rounds of a block.
 
 Components become floor(scale * x) and scores are integers: products are exact in doubles below
 2^53, and above in Python integers (clipped to 64 bits).
@@ -26,10 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import common
+
 SCALE = 1024.0
 BINS = 512
 #: Bytes of a block of queries, as it is broadcast, and queries in it at most.
-BLOCK_BYTES, BLOCK = 8_000_000, 1024
+BLOCK_BYTES, BLOCK = 16_000_000, 8192
+#: Queries of a block that are scored at once.
+LANES = 1024
 #: The selection ends when so many times k scores remain.
 SLACK = 4
 #: Candidates that are scored at once.
@@ -86,10 +91,13 @@ def _block_top(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k: i
             own, lo, sh, most = queries[todo], low[todo][:, None], shift[todo][:, None], width[todo][:, None]
             total = np.zeros(len(todo) * BINS, np.int64)
             for vec_ids, tile in _tiles(batches, queries.shape[1], scale):
-                score = _scores(own, tile)
-                place = (score.view(np.uint64) - lo.view(np.uint64)) >> sh  # the distance may take all 64 bits
-                inside = (score >= lo) & (place < most) & (vec_ids[None, :] != ids[todo][:, None])
-                total += np.bincount((place.astype(np.int64) + np.arange(len(todo))[:, None] * BINS)[inside], minlength=len(total))
+                for a in range(0, len(todo), LANES):
+                    part = slice(a, a + LANES)
+                    score = _scores(own[part], tile)
+                    place = (score.view(np.uint64) - lo[part].view(np.uint64)) >> sh[part]  # the distance may take all 64 bits
+                    inside = (score >= lo[part]) & (place < most[part]) & (vec_ids[None, :] != ids[todo[part]][:, None])
+                    counts = total[a * BINS : (a + LANES) * BINS]
+                    counts += np.bincount((place.astype(np.int64) + np.arange(len(score))[:, None] * BINS)[inside], minlength=len(counts))
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(todo[some // BINS].astype(np.int32)), pa.array((some % BINS).astype(np.int32)), pa.array(total[some])], ["q", "bin", "n"])
 
@@ -100,6 +108,7 @@ def _block_top(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k: i
         # the first bin from the top with enough scores, or the lowest of all
         first = reached.join(F.broadcast(need), "q").groupBy("q").agg(F.max(F.when(F.col("upto") >= F.col("need"), F.struct("bin", "n", "upto"))).alias("hit"))
         found = {r["q"]: r["hit"] for r in first.collect()}  # a row for each query of the block
+        state.destroy()
         for q in np.flatnonzero(open_).tolist():
             hit = found.get(q)
             if hit is None:  # fewer than k candidates: all of them
@@ -118,21 +127,25 @@ def _block_top(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k: i
         ids, queries, low = state.value
         best: dict[int, list[tuple[int, int]]] = {}
         for vec_ids, tile in _tiles(batches, queries.shape[1], scale):
-            score = _scores(queries, tile)
-            at, col = np.nonzero((score >= low[:, None]) & (vec_ids[None, :] != ids[:, None]))
-            for q in np.unique(at).tolist():
-                own = col[at == q]
-                mine = best.setdefault(q, [])
-                mine += [(-int(s), int(v)) for s, v in zip(score[q, own], vec_ids[own], strict=True)]
-                mine.sort()
-                del mine[k:]
+            for a in range(0, len(queries), LANES):
+                part = slice(a, a + LANES)
+                score = _scores(queries[part], tile)
+                at, col = np.nonzero((score >= low[part, None]) & (vec_ids[None, :] != ids[part, None]))
+                for q in np.unique(at).tolist():
+                    own = col[at == q]
+                    mine = best.setdefault(a + q, [])
+                    mine += [(-int(s), int(v)) for s, v in zip(score[q, own], vec_ids[own], strict=True)]
+                    mine.sort()
+                    del mine[k:]
         rows = [(int(ids[q]), v, -s) for q, mine in best.items() for s, v in mine]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], ["query_id", "vec_id", "score"])
 
     kept = candidates.select("vec_id", "vec").mapInArrow(keep, "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return kept.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = common.cut(kept.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top")
+    state.destroy()
+    return out
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: float = SCALE) -> DataFrame:

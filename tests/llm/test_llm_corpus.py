@@ -241,6 +241,16 @@ def test_merkle_nulls_copies_and_empty_tables(spark):
     assert {r["status"] for r in found} == {"missing"} and sum(r["n"] for r in found) == 6
 
 
+def test_merkle_tells_copies_of_an_id_apart(spark):
+    rows = [(1, "u", "x")] * 500 + [(1, "u", "y"), (1, "u", "z" * 100_000), (2, "u", "w")]
+    kind = "page_id bigint, url string, html string"
+    pages, worse = spark.createDataFrame(rows, kind), spark.createDataFrame([*rows[1:-2], (1, "u", "Z" * 100_000), rows[-1]], kind)
+    found = merkle.audit(merkle.manifest(pages), merkle.manifest(worse))
+    assert [(r["status"], r["id"], r["n"]) for r in found.where("status <> 'moved'").collect()] == [("changed", 1, 502)]
+    got = merkle.copies(merkle.records(pages), merkle.records(worse), found).collect()
+    assert sorted((r["id"], r["copies_a"], r["copies_b"]) for r in got) == [(1, 0, 1), (1, 1, 0), (1, 500, 499)]
+
+
 # -- trained models ------------------------------------------------------------------------------------
 
 
@@ -270,7 +280,8 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_language_edges(spark):
-    model = langid.train([(b"the cat and the dog " * 20, "en"), ("der hund und die katze für ".encode() * 20, "de")], steps=60)
+    texts = [(b"the cat and the dog " * 20, "en"), ("der hund und die katze für ".encode() * 20, "de")]
+    model = langid.train([(w, lang) for raw, lang in texts for w in langid.windows(raw)], steps=60)
     texts = [None, "", "123 !?", "é", "the cat " * 20_000, "the dog and the cat"]
     rows = langid.identify(table(spark, texts).withColumn("score", F.lit("x")), model).orderBy("doc_id").collect()
     assert [r["lang_pred"] == "und" for r in rows] == [True, True, True, False, False, False]
@@ -279,6 +290,45 @@ def test_language_edges(spark):
     assert langid.fit(spark.createDataFrame([(1, "a", None)], "doc_id bigint, text string, lang string")) is None
 
 
+def test_network_equals_a_loop_over_bytes():
+    """The whole score against one text, one byte and one gate at a time."""
+    rng = np.random.default_rng(2)
+    model = langid.new_model(["a", "b", "c"], hidden=4)
+    model.bias += rng.standard_normal(3).astype(np.float32)
+    raw = b"two words, 12 -- and more"
+
+    def states(d, order):
+        table, rec, state, out = model.tables[d].astype(float), model.recurrent[d].astype(float), np.zeros(4), {}
+        for t in order:
+            x, gate = table[raw[t]], lambda v: min(1.0, max(0.0, 0.25 * v + 0.5))
+            z = [gate(x[i] + sum(state[j] * rec[j, i] for j in range(4))) for i in range(4)]
+            r = [gate(x[4 + i] + sum(state[j] * rec[j, 4 + i] for j in range(4))) for i in range(4)]
+            cand = [min(1.0, max(-1.0, x[8 + i] + sum(r[j] * state[j] * rec[j, 8 + i] for j in range(4)))) for i in range(4)]
+            state = np.array([(1 - z[i]) * state[i] + z[i] * cand[i] for i in range(4)])
+            out[t] = state
+        return out
+
+    ahead, back = states(0, range(len(raw))), states(1, range(len(raw) - 1, -1, -1))
+    lettered = [i for w in (b"two", b"words,", b"and", b"more") for i in range(raw.index(w), raw.index(w) + len(w))]
+    each = []
+    for t in lettered:
+        logit = np.concatenate([ahead[t], back[t]]) @ model.out.astype(float) + model.bias
+        each.append(np.exp(logit) / np.exp(logit).sum())
+    assert langid.score(model, [raw])[0] == pytest.approx(np.mean(each, axis=0), abs=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any fixed bound, repeated rows, null ids, ties."""
+    letters = [chr(0x4E00 + 40 * i) * 3 for i in range(70)]
+    rows = [(7 * i + j if j < 6 else None, f"{x} {x}", f"l{i:02}") for i, x in enumerate(letters) for j in range(8)]
+    drawn = langid.sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert {lang for _, lang in drawn} == {f"l{i:02}" for i in range(70)}
+    model = langid.train(drawn, steps=3)
+    assert len(model.langs) == 70
+    scored = langid.identify(table(spark, ["same text", "same text", None], [None, 5, 5]), model).collect()
+    assert len(scored) == 3 and scored[0]["score"] == scored[1]["score"] and scored[0]["lang_pred"] == scored[1]["lang_pred"]
+
+
 def test_spans_label_each_byte_once():
     model = langid.new_model(["a", "b"], hidden=4)
     for n in (1, 100, 223, 224, 225, 1000):
@@ -298,6 +348,32 @@ def test_machine_equals_sum_over_pairs():
         at += n
 
 
+def test_registered_quality_query_equals_a_plain_machine(spark):
+    """Every score of the query from features counted word by word and all pairs summed."""
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    model = fm_quality.fit(docs, labels)
+    rows = {r["doc_id"]: r for r in QUERIES["op1_fm_quality"](spark, FOLDER).collect()}
+    v, w = model.factors.astype(float), model.weights.astype(float)
+    given = docs.collect()
+    assert len(rows) == len(given)
+    for d in given[::4]:
+        _, index, value = fm_quality.featurise([(d["text"] or "").encode()], np.array([float(d["n_chars"])]))
+        x = value.astype(float)
+        pairs = (v[index] * x[:, None]) @ (v[index] * x[:, None]).T
+        margin = model.bias + w[index] @ x + np.triu(pairs, 1).sum()
+        assert rows[d["doc_id"]]["score"] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-3)
+        assert rows[d["doc_id"]]["predicted"] == int(rows[d["doc_id"]]["score"] >= 0.3)
+
+
+def test_quality_of_repeated_rows_null_ids_and_conflicting_labels(spark):
+    docs = table(spark, ["good words here", "good words here", "bad", "bad"], [1, 1, None, 2])
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    drawn = fm_quality.sample(docs, labels)
+    assert {y for _, _, y in drawn} <= {0}  # of conflicting labels the least holds; an id that is null has none
+    rows = fm_quality.classify(docs, None).collect()
+    assert len(rows) == 4 and {r["score"] for r in rows} == {0.5}
+
+
 def test_quality_held_out(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
@@ -361,3 +437,46 @@ def test_pipeline_keeps_one_row_of_null_and_repeated_ids(spark):
     assert sum(not t for _, t in got) == 2 and len(got) == 6
     passages = {r["text"] for r in corpus_pipeline.repeated_passages(spark, spark.createDataFrame(got, docs.schema), FOLDER).collect()}
     assert {" ".join(near), " ".join(other), " ".join(alone)} <= passages  # no text is lost with its copies
+
+
+def test_pipeline_run_equals_brute_force(spark, tmp_path):
+    """``run`` over documents with null texts and ids, repeated rows, an empty and a very long text, against plain Python."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    some = docs.where("lang = 'en'").orderBy("doc_id").limit(3).collect()
+    odd = [(None, some[0]["text"]), (some[1]["doc_id"], some[1]["text"]), (90_001, None), (90_002, ""), (90_003, " ".join(r["text"] for r in some) * 40), (None, "12 34")]
+    whole = docs.unionByName(spark.createDataFrame([(i, t, "en", "extra", len(t or "")) for i, t in odd], docs.schema))
+    whole.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{FOLDER}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    stored = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.quality(spark, corpus_pipeline.language(spark, stored, str(tmp_path)), str(tmp_path)).select("doc_id", "text").collect()
+    kept = sorted(kept, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    assert {90_001, 90_002} & {r["doc_id"] for r in kept} == set() and 90_003 in {r["doc_id"] for r in kept}
+    first = [kept[i] for i, (_, root) in brute_groups([r["text"] for r in kept]).items() if i == root]
+    left = brute_removed([r["text"] for r in first], 35)
+    library, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {}
+    for r, (_, n_removed, _words) in zip(first, left, strict=True):
+        if not n_removed:
+            n = len(library.encode(r["text"], add_special_tokens=False).ids) + 1
+            want[r["doc_id"]] = n
+    total = {}
+    for r in got:
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
+    assert set(total) == {r["doc_id"] for r in first} and {k: total[k] for k in want} == want
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in s) <= 2048 and sorted(s)[0][0] == 0 for s in sequences.values())
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

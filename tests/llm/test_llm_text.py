@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import json
 import random
@@ -83,7 +84,7 @@ def test_best_fit_takes_the_fullest_and_closes_the_fullest():
 
 def test_pack_documents_round_trip(spark, library):
     texts = [*ODD, "the cat sat", "the cat sat", "a b c " * 3000]
-    rows = packing.pack_documents(docs(spark, texts).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))), VOCABULARY).collect()
+    rows = packing.pack_documents(docs(spark, texts), VOCABULARY).collect()
     sequences = {}
     for r in rows:
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -103,12 +104,53 @@ def test_pack_documents_round_trip(spark, library):
     assert packing.pack_documents(docs(spark, texts).limit(0), VOCABULARY).count() == 0
 
 
+def test_best_fit_equals_a_plain_search():
+    """Each piece goes to the open bin with the least room that holds it; else the fullest closes for a new one."""
+    rng, packer = random.Random(7), packing.BestFit(64, 6)
+    open_, made = {}, 0
+    for _ in range(4000):
+        n = rng.randint(1, 64)
+        bin_id, offset = packer.place(n)
+        fitting = [free for free in open_.values() if free >= n]
+        if fitting:
+            assert open_[bin_id] == min(fitting)
+        else:
+            assert bin_id == made
+            made += 1
+            if n < 64 and len(open_) == 6:
+                fullest = min(open_.values())
+                gone = next(b for b, free in open_.items() if free == fullest and b not in {x for bins in packer.by_free.values() for x in bins})
+                del open_[gone]
+            open_[bin_id] = 64
+        assert offset == 64 - open_[bin_id]
+        open_[bin_id] -= n
+        if not open_[bin_id]:
+            del open_[bin_id]
+
+
+def test_repeated_rows_are_dealt_over_shards(spark):
+    rows = spark.createDataFrame([(None, 0, 0, 700, 5)] * 400, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    packed = packing.pack(rows, shard_pieces=40).collect()
+    shards = {}
+    for r in packed:
+        shards[r["sequence_id"] >> 40] = shards.get(r["sequence_id"] >> 40, 0) + 1
+    assert len(packed) == 400 and len(shards) == 10 and max(shards.values()) < 80
+
+
+def test_packing_is_close_to_the_bound(spark):
+    """At most 1 % more sequences than the tokens need, on the test documents."""
+    rows = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), VOCABULARY)
+    got = rows.agg(F.countDistinct("sequence_id").alias("n"), F.sum("length").alias("tokens")).first()
+    assert got["n"] <= 1.01 * -(-got["tokens"] // 2048) + 1
+
+
 def brute_measures(text):
     words = (text or "").encode().split()
     hit = [False] * len(words)
     grams = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    seen = collections.Counter(grams)
     for i, g in enumerate(grams):
-        if grams.count(g) > 1:
+        if seen[g] > 1:
             hit[i : i + 8] = [True] * 8
     lines = [x for x in (text or "").encode().split(b"\n") if x.split()]
     return len(words), sum(len(w.decode()) for w in words), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), sum(hit)
@@ -116,7 +158,7 @@ def brute_measures(text):
 
 def test_ledger_against_brute_force(spark):
     rng = random.Random(3)
-    texts = [t for t in ODD if len(t or "") < 1000] + [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(30)] + ["x\nx\n\ny\nx", "a#b <|> $"]
+    texts = ODD + ["same words again " * 9] * 3 + [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(30)] + ["x\nx\n\ny\nx", "a#b <|> $"]
     rows = rules.ledger(docs(spark, texts), keep=("doc_id", "score")).collect()
     assert [(r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in rows] == [brute_measures(t) for t in texts]
     assert rules.ledger(docs(spark, texts).limit(0)).count() == 0
