@@ -1,7 +1,15 @@
 """A corpus pipeline over ``documents``: language, quality, near-duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run`` writes
-every stage's result as Parquet in the shared folder and reads it back as the next one's input.
+every stage's result as Parquet in the shared folder and reads it back as the next one's input, whereupon
+the stage's work files and its own input are deleted.
+
+Defined results, stage by stage: the language stage rejects null texts and texts without a letter; the
+quality stage judges every text it gets; for near-duplicates every row is a document of its own,
+whatever its id, and texts without a word are kept; the passage stage keeps rows whose words all go, with
+an empty text; packing gives a piece to each row, also to an empty one. Repeated rows are near-duplicates
+of each other. Very long texts are handled whole in every stage, extra columns are kept up to the last,
+and an empty table goes through all stages.
 """
 
 from __future__ import annotations
@@ -13,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import fm_quality, langid, near_dup, packing, substring
-from tessera.llm.common import broadcast_if_small, cut, table, work_dir
+from tessera.llm.common import broadcast_if_small, cut, delete, scratch, table, work_dir
 from tessera.llm.queries import VOCABULARY
 
 #: The stages train models and confirm links on full sets, which SQL cannot express; tests compare them with brute force.
@@ -71,9 +79,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch() as written:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        for old in [*written, *([before] if before else [])]:
+            delete(spark, old)
+        docs, before = spark.read.parquet(path), path
     return docs
