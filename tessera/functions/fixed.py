@@ -113,3 +113,20 @@ GENERATED_NOTES = ("MEMORY.md", "memory_summary.md")
 STORE_MARKERS = {".deepseek-harness": "dsh", ".workbuddy": "workbuddy", ".codebuddy": "codebuddy"}
 SCAFFOLD_LINES = (r"^[ \t]*>[ \t]*last updated[ \t]*:", r"^[ \t]*>[ \t]*version[ \t]*:", r"^[ \t]*#{1,6}[ \t]+user memory profile[ \t]*$", r"^[ \t]*#{1,6}[ \t]+memory block[ \t]*$")
 LABEL_TITLE_CHARS, LABEL_CHARS = 40, 60
+
+# Fixed values of note and memory files: patterns that decide which lines are headers, marks and fill-in text.
+NOTE_HEADER = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
+NOTE_FIELD = r"(?m)^([ \t]*)([A-Za-z0-9_-]+)[ \t]*:[ \t]*(.*?)[ \t]*$"
+NOTE_INLINE_TYPE = r"(?:^|[,{]\s*)type\s*:\s*([^,}]+)"
+NOTE_PROJECT = r"^(.+?)-[0-9a-fA-F]{16}$"
+RAW_BLOCK = r"(?s)<!--[ \t]*RAW_JSON_START.*?RAW_JSON_END[ \t]*-->"
+RAW_OPEN = r"(?s)(?:\A|\n)[^\n]*RAW_JSON_START.*\z"
+SECTION_HEADING = r"^#{1,3}[ \t]+(.+?)[ \t]*$"
+SECTION_BOLD = r"^\*\*(.+?)\*\*$"
+ANY_HEADING = r"^#{1,6}[ \t]+(.+?)[ \t]*$"
+BULLET = r"^([ \t]*)(?:[-*+]|\d+[.)])[ \t]+(.*)$"
+RULE_LINE = r"^[ \t]*([-*_])[ \t]*(?:\1[ \t]*){2,}$"
+SECTIONED_NAME, DAY_NAME = r"(?i)^(?:memory|.+_memory)\.md$", r"^\d{4}-\d{2}-\d{2}\.md$"
+EMPHASIS, EMPHASISED_HINT = r"\*\*|__|`|~~", r"[_*]{1,2}\([^)]*\)[_*]{1,2}"
+FIELD_NAME = r"(?U)\A[-*>#\s]*[^:：\n]{0,40}[:：]\s*"
+FILL_IN = r"(?i)^\(?\s*(?:optional|required|todo|tbd|n/a|待定|可选)\s*\)?$"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
@@ -56,8 +57,10 @@ def run(items: DataFrame, memories: DataFrame, ledger: DataFrame, now: Column, r
     has_project = request.project_key is not None
     made = distill.judge(candidates_for(sized.where("layer <> 'daily'")), has_project)
     carry = sized.select("ord", "hash", F.col("layer"), F.coalesce("title", F.lit("")).alias("title"), F.concat(F.array(*[F.lit(t) for t in request.tags]).cast("array<string>"), F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"))
-    judged = stored(made.drop("scope").join(carry, "ord").withColumn("cand_id", F.col("ord") * V.MESSAGE_CANDIDATES + F.least("pos", F.lit(V.MESSAGE_CANDIDATES - 1)) + 1), "judged")
-    accepted = judged.where("accepted").select("cand_id", "hash", "title", "text", F.col("layer").alias("scope"), F.when(F.col("layer") == "project", F.lit(request.project_key)).alias("project_key"), "tags", "importance", F.lit("import").alias("source"), F.lit(request.platform).alias("source_platform"), F.lit(request.project_path).alias("project_path"))
+    # an item has at most MESSAGE_CANDIDATES candidates, wherever in it they stand
+    rank = F.row_number().over(W.partitionBy("ord").orderBy("pos"))
+    judged = stored(made.drop("scope").join(carry, "ord").withColumn("cand_id", F.col("ord") * V.MESSAGE_CANDIDATES + rank), "judged")
+    accepted = judged.where("accepted").select("cand_id", "hash", "kind", "title", "text", F.col("layer").alias("scope"), F.when(F.col("layer") == "project", F.lit(request.project_key)).alias("project_key"), "tags", "importance", F.lit("import").alias("source"), F.lit(request.platform).alias("source_platform"), F.lit(request.project_path).alias("project_path"))
     folded = stored(merge.sequential(accepted, memories), "folded")
     decided = judged.select("cand_id", "hash", "accepted").join(folded, "cand_id", "left").withColumn("decision", F.coalesce("decision", F.lit("rejected")))
     counters = [F.count_if(F.col("decision") == d).alias(n) for n, d in (("written", "new"), ("merged", "merge"), ("updated", "update"), ("ignored", "ignore"), ("rejected", "rejected"))]
@@ -69,19 +72,25 @@ def run(items: DataFrame, memories: DataFrame, ledger: DataFrame, now: Column, r
         return memories, ledger, report
     entries = journal.where("logged").select("day", F.lit(request.project_key).alias("project_key"), "ord", F.lit(None).cast("string").alias("label"), "text")
     after = daily.append(memories, entries, now)
-    after = stored(apply_fold(after, accepted, folded, now), "memories")
-    ids = after.select("id", "text", "scope", "project_key")
-    placed = accepted.join(folded.where("decision <> 'rejected'"), "cand_id")
-    own = placed.where("target > 0").select("hash", F.col("target").alias("memory_id"), F.col("cand_id").alias("ord"))
-    named = placed.where("target IS NULL OR target <= 0").join(ids.groupBy("text", "scope").agg(F.max("id").alias("memory_id")), ["text", "scope"], "left").select("hash", "memory_id", F.col("cand_id").alias("ord"))
+    after, made = apply_fold(after, accepted, folded, now)
+    after = stored(after, "memories")
+    placed = accepted.select("cand_id", "hash").join(folded.where("decision <> 'rejected'"), "cand_id")
+    # the row that the candidate made, the one made by an earlier candidate, or the stored one
+    maker = F.when(F.col("decision").isin("new", "update"), F.col("cand_id")).when(F.col("target") < 0, -F.col("target"))
+    made = made.select(F.col("cand_id").alias("maker"), "id")
+    named = placed.withColumn("maker", maker).join(made, "maker", "left").select("hash", F.coalesce("id", "target").alias("memory_id"), F.col("cand_id").alias("ord"))
     days = daily.days(after).where(F.col("project_key").eqNullSafe(F.lit(request.project_key))).groupBy("date").agg(F.max("id").alias("memory_id"))
     logged_rows = journal.where("logged").join(days, F.col("day") == F.col("date")).select("hash", "memory_id", "ord")
-    entries = own.unionByName(named).unionByName(logged_rows).withColumn("imported_at", now)
+    entries = named.unionByName(logged_rows).withColumn("imported_at", now)
     return after, relational.record_imports(ledger, entries), report
 
 
-def apply_fold(memories: DataFrame, accepted: DataFrame, folded: DataFrame, now: Column) -> DataFrame:
-    """Applies a sequential fold: targets that were themselves made in the fold are resolved to the row that started them."""
+def apply_fold(memories: DataFrame, accepted: DataFrame, folded: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Applies a sequential fold: targets that were themselves made in the fold are resolved to the row that started them.
+
+    Gives the next memories, and the id of the row that each candidate made.
+    """
+    accepted = accepted.withColumn("scope", merge.written_scope(F.col("scope")))
     rows = accepted.join(folded, "cand_id")
     made = rows.where("decision IN ('new', 'update')").select("cand_id", "text", "title", "tags", "scope", "project_key", "importance", "source", "source_platform", "project_path", "target", "decision")
     into = rows.where("decision = 'merge' AND target < 0").groupBy((-F.col("target")).alias("cand_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("cand_id").alias("c"), "text"))).alias("__in"))
@@ -93,7 +102,32 @@ def apply_fold(memories: DataFrame, accepted: DataFrame, folded: DataFrame, now:
     merges = plans.where("decision = 'merge'").select("cand_id", "text", "tags", F.col("target"), "decision")
     retire = plans.where("decision = 'update'").select("target").distinct().select(F.col("target").alias("id"), F.lit("outdated").alias("status"))
     kept = merge.apply_plan(memories, merges.drop("decision", "target"), merges.select("cand_id", "decision", "target"), now)
-    return relational.insert(relational.update(kept, retire, now), fresh.drop("__in", "__old", "target", "decision", "cand_id"), now)
+    fresh = stored(relational.with_ids(memories, fresh.drop("__in", "__old", "target", "decision")), "fresh")
+    return relational.insert(relational.update(kept, retire, now), fresh.drop("cand_id"), now), fresh.select("cand_id", "id")
+
+
+def distill_messages(messages: DataFrame, memories: DataFrame, now: Column, project_key: str | None = None, scope: str | None = None, seed: DataFrame | None = None, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(next memories, one row of counters) for a session's user messages (ord, message).
+
+    The candidates of ``seed`` (pos, text, kind, vouched) come first, then those of the messages, oldest
+    first; each goes through the gate, then through the merge against what the ones before left. A
+    ``scope`` given by the caller wins over the guessed layer, but for a project that has no key.
+    """
+    batch = messages.select(F.lit(1).alias("batch"), "ord", "message")
+    mined = distill.extract_from_messages(batch, "batch", "ord").select("ord", "pos", "text", "kind", "vouched")
+    if seed is not None:
+        mined = seed.select(F.lit(None).cast(mined.schema["ord"].dataType).alias("ord"), "pos", "text", "kind", "vouched").unionByName(mined)
+    judged = distill.judge(mined, project_key is not None)
+    numbered = stored(judged.withColumn("cand_id", F.row_number().over(W.orderBy("ord", "pos")).cast("long")), "judged")  # at most a batch's candidates
+    wanted = F.col("scope") if scope is None else F.lit("global" if scope == "project" and project_key is None else scope)
+    accepted = numbered.where("accepted").select(
+        "cand_id", "kind", F.lit("").alias("title"), "text", merge.written_scope(wanted).alias("scope"), F.when(wanted.isin("project", "daily"), F.lit(project_key)).alias("project_key"),
+        F.array().cast("array<string>").alias("tags"), "importance", F.lit("auto").alias("source"), F.lit(None).cast("string").alias("source_platform"), F.lit(None).cast("string").alias("project_path"),
+    )
+    folded = stored(merge.sequential(accepted, memories), "folded")
+    outcomes = numbered.select("cand_id").join(folded, "cand_id", "left").select(F.coalesce("decision", F.lit("rejected")).alias("decision"))
+    after = memories if dry_run else apply_fold(memories, accepted, folded, now)[0]
+    return after, distill.report(outcomes)
 
 
 def samples(rows: DataFrame, limit: int = V.IMPORT_SAMPLES) -> DataFrame:

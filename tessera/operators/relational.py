@@ -131,15 +131,21 @@ def checked_text(text: Column, limit: int = V.BODY_CAP) -> Column:
     return F.when(body == "", F.raise_error(F.lit("a memory needs text"))).when(F.length(body) > limit, F.raise_error(F.lit("the text is too long"))).otherwise(body)
 
 
-def insert(memories: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """Appends rows (any subset of the columns; text required) with the next ids in their ``ord`` order, defaults filled in."""
+def with_ids(memories: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` with the next ids, in the order of its ``ord``."""
     top = memories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
+    numbered = number_rows(new, "ord" if "ord" in new.columns else "text").join(F.broadcast(top))
+    return numbered.withColumn("id", F.col("__top") + F.col("__n")).drop("__top", "__n")
+
+
+def insert(memories: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """Appends rows (any subset of the columns; text required), defaults filled in; rows without an ``id`` column get the next ids."""
     defaults = {
         "title": F.lit(""), "scope": F.lit("global"), "source": F.lit("auto"), "pinned": F.lit(False), "importance": F.lit(0), "status": F.lit("active"),
         "tags": F.array().cast("array<string>"), "created_at": now, "updated_at": now,
     }
     types = dict(memories.dtypes)
-    numbered = number_rows(new, "ord" if "ord" in new.columns else "text").join(F.broadcast(top)).withColumn("id", F.col("__top") + F.col("__n"))
+    numbered = new if "id" in new.columns else with_ids(memories, new)
     columns = []
     for name in MEMORY_COLUMNS:
         given = F.col(name) if name in numbered.columns else F.lit(None)

@@ -93,20 +93,19 @@ class Memory:
         if not judged["accepted"]:
             return {"decision": "rejected", "reason": judged["reason"], "id": None}
         layer = scope or judged["scope"]
+        layer = "global" if layer == "identity" else layer
         weight = judged["importance"] if importance is None else importance
         key = session.project_key if layer in ("project", "daily") else None
         cand = self.spark.createDataFrame(
-            [(1, title, text.strip(), layer, key, session.project_path, session.sub_id, list(tags), source, pinned, weight)],
-            "cand_id bigint, title string, text string, scope string, project_key string, project_path string, sub_id string, tags array<string>, source string, pinned boolean, importance int",
+            [(1, judged["kind"], title, text.strip(), layer, key, session.project_path, session.sub_id, list(tags), source, pinned, weight)],
+            "cand_id bigint, kind string, title string, text string, scope string, project_key string, project_path string, sub_id string, tags array<string>, source string, pinned boolean, importance int",
         )
         before = self.memories()
         folded = stored(merge.sequential(cand, before), "folded")
-        after = importing.apply_fold(before, _full(cand), folded, self.now())
+        after, made = importing.apply_fold(before, _full(cand), folded, self.now())
         self.store.publish(memories=after)
-        row = folded.first()
-        target = row["target"]
-        if row["decision"] in ("new", "update"):
-            target = self.memories().agg(F.max("id")).first()[0]
+        row, own = folded.first(), made.first()
+        target = own["id"] if own else row["target"]
         return {"decision": row["decision"], "reason": None, "id": target}
 
     def forget(self, session: Session, memory_id: int) -> str:

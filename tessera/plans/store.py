@@ -7,6 +7,8 @@ store as it was. One writer at a time.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import fixed as V
@@ -38,8 +40,24 @@ class Store:
             return {name: self.spark.createDataFrame([], schema) for name, schema in _TABLES.items()}
         return {name: self.spark.read.schema(schema).parquet(f"{self.path}/v={version}/{name}") for name, schema in _TABLES.items()}
 
-    def publish(self, **tables: DataFrame) -> int:
-        """Writes the given tables, and the others as they are, as the next version; then publishes it."""
+    def batches(self) -> dict[str, int]:
+        """The last batch of each stream that the published version holds."""
+        version = self.version()
+        if version == 0:
+            return {}
+        jvm, fs = self._fs()
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/published/{version}"))
+        try:
+            return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8") or "{}")
+        finally:
+            stream.close()
+
+    def publish(self, batch: tuple[str, int] | None = None, **tables: DataFrame) -> int:
+        """Writes the given tables, and the others as they are, as the next version; then publishes it.
+
+        ``batch``, a stream and its batch, is published with the version, so a batch that is delivered
+        again after a failure is known.
+        """
         now, nxt = self.read(), self.version() + 1
         for name, schema in _TABLES.items():
             df = tables.get(name, now[name])
@@ -51,7 +69,13 @@ class Store:
             writer.parquet(f"{self.path}/v={nxt}/{name}")
         jvm, fs = self._fs()
         fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{self.path}/published"))
-        fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/published/{nxt}"), False).close()
+        known = json.dumps({**self.batches(), **dict([batch] if batch else [])})
+        hidden, shown = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/published/{name}") for name in (f"_{nxt}", nxt))
+        out = fs.create(hidden, True)
+        out.write(bytearray(known.encode()))
+        out.close()
+        if not fs.rename(hidden, shown):
+            raise RuntimeError(f"version {nxt} is already published")
         return nxt
 
     def migrate(self) -> int:

@@ -12,9 +12,11 @@ _local: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (one machine), a temporary folder."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder serves a session on one machine, and a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _local:
             _local.append(f"file://{tempfile.mkdtemp(prefix='tessera-work-')}")
         folder = _local[0]

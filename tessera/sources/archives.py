@@ -6,6 +6,7 @@ import io
 import json
 import os
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,10 +23,21 @@ def interesting(name: str) -> bool:
     return base == "memories.json" or (base.startswith("conversations") and base.endswith(".json")) or base.endswith(".jsonl")
 
 
+def _read_entries(z: zipfile.ZipFile, archive: str, entry_limit: int) -> list[tuple[str, str, str, int]]:
+    rows = []
+    for i, info in enumerate(z.infolist()):
+        if interesting(info.filename) and info.compress_type in (0, 8):
+            with z.open(info) as entry:  # the size that the header states is not trusted
+                data = entry.read(entry_limit + 1)
+            if len(data) <= entry_limit:
+                rows.append((f"{archive}!{info.filename}", os.path.basename(info.filename), data.decode("utf-8", "replace"), i))
+    return rows
+
+
 def zip_entries(spark: SparkSession, path: str, entry_limit: int = V.IMPORT_BYTES) -> DataFrame:
     """path (archive!entry), name, text, ord of the entries worth reading, under their own names.
 
-    Stored and deflated entries only; archives in the 64-bit form and entries over the limit give no row.
+    Stored and deflated entries only; damaged archives, those in the 64-bit form, and entries over the limit give no row.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -34,10 +46,11 @@ def zip_entries(spark: SparkSession, path: str, entry_limit: int = V.IMPORT_BYTE
             for archive, content in zip(batch["path"], batch["content"], strict=True):
                 if not content.startswith(b"PK") or b"PK\x06\x06" in content[-65_600:]:
                     continue
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for i, info in enumerate(z.infolist()):
-                        if interesting(info.filename) and info.compress_type in (0, 8) and info.file_size <= entry_limit:
-                            rows.append((f"{archive}!{info.filename}", os.path.basename(info.filename), z.read(info).decode("utf-8", "replace"), i))
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        rows += _read_entries(z, archive, entry_limit)
+                except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+                    continue  # a damaged or encrypted archive is refused as a whole
             yield pd.DataFrame(rows, columns=["path", "name", "text", "ord"])
 
     found = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")

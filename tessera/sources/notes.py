@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
-import re
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions import text as X
-from ..operators.model import ITEMS
-
-_ITEM_NAMES = [p.strip().split(" ")[0] for p in ITEMS.split(",")]
 
 
 # -- plain Markdown and text ----------------------------------------------------------------------
@@ -49,187 +42,145 @@ def markdown(files: DataFrame) -> DataFrame:
 
 # -- notes with a header block ---------------------------------------------------------------------
 
-_HEADER = re.compile(r"\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\Z)", re.S)
-
-
-def _unquoted(value: str) -> str:
-    value = value.strip()
-    if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'":
-        return value[1:-1].replace('\\"', '"').replace("\\\\", "\\")
-    return value
-
-
-def parse_header(text: str) -> tuple[dict[str, str], dict[str, str], str]:
-    """Top fields, fields under ``metadata`` (or indented), and the text below the header."""
-    found = _HEADER.match(text)
-    if not found:
-        return {}, {}, text.strip()
-    top: dict[str, str] = {}
-    under: dict[str, str] = {}
-    inside = False
-    for line in re.split(r"\r?\n", found[1]):
-        pair = re.match(r"([ \t]*)([A-Za-z0-9_-]+)[ \t]*:[ \t]*(.*)\Z", line)
-        if not pair:
-            continue
-        indent, key, value = pair[1], pair[2], _unquoted(pair[3])
-        if not indent and key == "metadata":
-            if value == "":
-                inside = True
-            elif inline := re.search(r"(?:^|[,{]\s*)type\s*:\s*([^,}]+)", value):
-                under["type"] = _unquoted(inline[1])
-        else:
-            (under if indent or inside else top)[key] = value
-    return top, under, text[found.end() :].strip()
-
-
-def note_item(path: str, text: str) -> dict | None:
-    """One note file of a project store as an item; None for generated files and empty notes."""
-    name = os.path.basename(path)
-    if name in V.GENERATED_NOTES:
-        return None
-    top, under, body = parse_header(text)
-    if not body:
-        return None
-    parts = re.split(r"[\\/]+", path)
-    bucket, project = (parts[-2], parts[-3]) if len(parts) > 2 and parts[-2] in ("memory", "topics") else (re.sub(r"(?i)\.md\Z", "", name), "root")
-    label = re.sub(r"\A(.+?)-[0-9a-fA-F]{16}\Z", r"\1", project)
-    kind = (top.get("type") or under.get("type") or "other").strip()
-    stamp = (top.get("updatedAt") or top.get("createdAt") or "").strip()
-    title = top.get("name", "").strip() or re.sub(r"(?i)\.md\Z", "", name)
-    return {
-        "text": body, "uri": f"{path}#{bucket}", "item_id": f"zcode|{label}|{title}", "title": title, "scope": None, "kind": "entry",
-        "tags": ["zcode", label, kind if kind in V.NOTE_TYPES else "other"], "at": stamp if re.match(r"\d{4}-\d{2}-\d{2}T", stamp) else None,
-    }
+
+def _file_name(path: Column) -> Column:
+    return F.regexp_extract(path, r"[^\\/]*$", 0)
+
+
+def _stem(name: Column) -> Column:
+    return F.regexp_replace(name, r"(?i)\.md$", "")
+
+
+def _unquoted(value: Column) -> Column:
+    inner = F.substring(value, F.lit(2), F.length(value) - 2)
+    bare = F.replace(F.replace(inner, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    return F.when(value.rlike(r"(?s)^([\"']).*\1$") & (F.length(value) > 1), bare).otherwise(value)
+
+
+def _fields(header: Column) -> Column:
+    """The header's lines ``key: value`` as structs of place, nested (indented), key and value."""
+    found = [F.regexp_extract_all(header, F.lit(V.NOTE_FIELD), F.lit(i)) for i in (1, 2, 3)]
+    return F.transform(F.arrays_zip(*found), lambda x, i: F.struct(i.alias("at"), (x["0"] != "").alias("nested"), x["1"].alias("key"), _unquoted(X.strip(x["2"])).alias("value")))
+
+
+def _value(fields: Column, key: str) -> Column:
+    """The last value of a key; empty if there is none."""
+    own = F.filter(fields, lambda f: f["key"] == key)
+    return X.strip(F.coalesce(F.get(own, F.size(own) - 1)["value"], F.lit("")))
 
 
 def project_notes(files: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [{**item, "ord": int(o) << 40} for p, t, o in zip(batch["path"], batch["text"], batch["ord"], strict=True) if (item := note_item(p, t))]
-            yield pd.DataFrame(made, columns=_ITEM_NAMES)
+    """The note files of project stores as items; generated files and notes without a body give none.
 
-    return files.select("path", "text", "ord").mapInPandas(run, ITEMS)
+    Fields that are indented, or follow an empty ``metadata``, belong to it; a type given inline there counts too.
+    """
+    rows = files.withColumn("name", _file_name(F.col("path"))).where(~F.col("name").isin(*V.GENERATED_NOTES))
+    rows = rows.withColumn("f", _fields(F.regexp_extract("text", V.NOTE_HEADER, 1))).withColumn("body", X.strip(F.regexp_replace("text", V.NOTE_HEADER, ""))).where("body <> ''")
+    opened = F.coalesce(F.array_min(F.transform(F.filter("f", lambda f: ~f["nested"] & (f["key"] == "metadata") & (f["value"] == "")), lambda f: f["at"])), F.lit(1 << 30))
+    rows = rows.withColumn("opened", opened)
+    top = F.filter("f", lambda f: ~f["nested"] & (f["at"] <= F.col("opened")))
+    under = F.filter("f", lambda f: f["nested"] | (f["at"] > F.col("opened")))
+    inline = X.strip(F.regexp_extract(_value(top, "metadata"), V.NOTE_INLINE_TYPE, 1))
+    first = lambda *c: F.coalesce(*[F.nullif(x, F.lit("")) for x in c])
+    parts, n = F.split("path", r"[\\/]+"), F.size(F.split("path", r"[\\/]+"))
+    placed = (n > 2) & F.get(parts, n - 2).isin("memory", "topics")
+    bucket = F.when(placed, F.get(parts, n - 2)).otherwise(_stem(F.col("name")))
+    label = F.when(placed, F.regexp_replace(F.get(parts, n - 3), V.NOTE_PROJECT, "$1")).otherwise("root")
+    kind, stamp = first(_value(top, "type"), _value(under, "type"), _unquoted(inline)), first(_value(top, "updatedAt"), _value(top, "createdAt"))
+    title = F.coalesce(first(_value(top, "name")), _stem(F.col("name")))
+    return rows.select(
+        F.col("body").alias("text"), F.concat("path", F.lit("#"), bucket).alias("uri"), F.concat_ws("|", F.lit("zcode"), label, title).alias("item_id"), title.alias("title"),
+        F.array(F.lit("zcode"), label, F.when(kind.isin(*V.NOTE_TYPES), kind).otherwise("other")).alias("tags"), F.lit(None).cast("string").alias("scope"),
+        F.when(stamp.rlike(r"^\d{4}-\d{2}-\d{2}T"), stamp).alias("at"), F.lit("entry").alias("kind"), (F.col("ord") * (1 << 40)).alias("ord"),
+    )
 
 
 # -- sectioned memory files ------------------------------------------------------------------------
 
-_HEADING = re.compile(r"#{1,3}[ \t]+(.+?)[ \t]*\Z")
-_BOLD = re.compile(r"\*\*(.+?)\*\*\Z")
-_BULLET = re.compile(r"([ \t]*)(?:[-*+]|\d+[.)])[ \t]+(.*)\Z")
-_RULE = re.compile(r"[ \t]*([-*_])[ \t]*(?:\1[ \t]*){2,}\Z")
-_SCAFFOLD = [re.compile(p.replace("$", r"\Z"), re.I) for p in V.SCAFFOLD_LINES]
-_SECTIONED = re.compile(r"(?:memory|.+_memory)\.md\Z", re.I)
-_DAY_FILE = re.compile(r"\d{4}-\d{2}-\d{2}\.md\Z")
-
 
-def strip_raw_trailer(text: str) -> str:
+def without_raw(text: Column) -> Column:
     """Without raw JSON blocks; from the line of a start mark that has no end, nothing is kept."""
-    text = re.sub(r"<!--[ \t]*RAW_JSON_START.*?RAW_JSON_END[ \t]*-->", "", text, flags=re.S)
-    head, mark, _ = text.partition("RAW_JSON_START")
-    return (head.rpartition("\n")[0]) if mark else text
-
-
-def strip_scaffold(text: str, sectioned: bool) -> str:
-    lines = [x for x in text.split("\n") if not any(p.search(x) for p in _SCAFFOLD)]
-    return "\n".join(x for x in lines if not (sectioned and _RULE.match(x)))
-
-
-def is_placeholder(text: str) -> bool:
-    body = re.sub(r"\*\*|__|`|~~", "", text)
-    body = re.sub(r"[_*]{1,2}\([^)]*\)[_*]{1,2}", "", body)
-    body = re.sub(r"\A[-*>#\s]*[^:：\n]{0,40}[:：][\s]*", "", body).strip()
-    return body == "" or re.match(r"\(?\s*(?:optional|required|todo|tbd|n/a|待定|可选)\s*\)?\Z", body, re.I) is not None
-
-
-def _first_line(body: str) -> str:
-    for line in body.split("\n"):
-        line = re.sub(r"\A[-*>#\s]+", "", line).strip()
-        if line:
-            return re.split(r"[。.!?！？]", line, maxsplit=1)[0].strip()
-    return ""
-
-
-def _label(title: str, body: str) -> str:
-    summary = _first_line(body)
-    merged = title[: V.LABEL_TITLE_CHARS] + (f" · {summary}" if summary else "")
-    return merged if len(merged) <= V.LABEL_CHARS else merged[: V.LABEL_CHARS] + "…"
-
-
-def _sections(text: str) -> Iterator[tuple[str | None, str]]:
-    label: str | None = None
-    held: list[str] = []
-    for line in [*text.split("\n"), None]:
-        head = None if line is None else (_HEADING.match(line) or _BOLD.match(line.strip()))
-        if line is None or head:
-            if body := "\n".join(held).strip():
-                yield label, body
-            held = []
-            label = head[1] if head else label
-        else:
-            held.append(line)
-
-
-def _bullets(label: str | None, body: str, fallback: str) -> Iterator[tuple[str, str]]:
-    """(text, title) of a section: each bullet of the outermost level with what is nested in it, or the whole."""
-    lines = [(line, _BULLET.match(line)) for line in body.split("\n")]
-    depths = [len(m[1]) for _, m in lines if m]
-    if not depths:
-        if not is_placeholder(body):
-            yield body, label or fallback
-        return
-    groups: list[list[str]] = []
-    lead: list[str] = []
-    for line, m in lines:
-        if m and len(m[1]) == min(depths):
-            groups.append([*lead, m[2]])
-            lead = []
-        elif groups:
-            groups[-1].append(line)
-        elif line.strip():
-            lead.append(line)
-    for group in groups:
-        text = "\n".join(group).strip()
-        if text and not is_placeholder(text):
-            yield text, _label(label, text) if label is not None else _first_line(text) or fallback
-
-
-def memory_file_items(path: str, text: str, extra_tags: tuple[str, ...] = ()) -> list[dict]:
-    """The entries of one sectioned memory file or day file."""
-    name = os.path.basename(path)
-    parts = re.split(r"[\\/]+", path)
-    kind = next((V.STORE_MARKERS[m] for m in (".codebuddy", ".workbuddy") if m in parts), "dsh")
-    sectioned, day = _SECTIONED.match(name) is not None, _DAY_FILE.match(name) is not None
-    if header := _HEADER.match(text):
-        text = text[header.end() :]
-    text = strip_scaffold(strip_raw_trailer(text), sectioned).strip()
-    if not text:
-        return []
-    heading = next((m[1] for line in text.split("\n") if (m := re.match(r"#{1,6}[ \t]+(.+?)[ \t]*\Z", line.strip()))), None)
-    fallback = heading or re.sub(r"(?i)\.md\Z", "", name)
-    tags = [kind, *extra_tags, *(["daily-log"] if day else [])]
-    sections = _sections(text) if sectioned else [(None, text)]
-    made = [(t, title) for label, body in sections for t, title in _bullets(label, body, fallback)]
-    return [
-        {"text": t, "uri": f"{path}#{i}", "item_id": f"{kind}|{path}|{i}", "title": name[:-3] if day else title, "tags": tags, "scope": None, "at": None, "kind": "entry"}
-        for i, (t, title) in enumerate(made)
-    ]
+    return F.regexp_replace(F.regexp_replace(text, V.RAW_BLOCK, ""), V.RAW_OPEN, "")
 
 
-def memory_files(files: DataFrame) -> DataFrame:
-    """Entries of a store's files; of entries with the same text the first by file order stays."""
+def fill_in(text: Column) -> Column:
+    """Whether a text is a form's field that nobody has filled in."""
+    bare = F.regexp_replace(F.regexp_replace(text, V.EMPHASIS, ""), V.EMPHASISED_HINT, "")
+    rest = X.strip(F.regexp_replace(bare, V.FIELD_NAME, ""))
+    return (rest == "") | rest.rlike(V.FILL_IN)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [{**item, "ord": (int(o) << 40) + i} for p, t, o in zip(batch["path"], batch["text"], batch["ord"], strict=True) for i, item in enumerate(memory_file_items(p, t))]
-            yield pd.DataFrame(made, columns=_ITEM_NAMES)
 
-    items = files.select("path", "text", "ord").mapInPandas(run, ITEMS)
+def _joined(line: Column, at: str = "n") -> Column:
+    return X.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at), line.alias("line")))), lambda x: x["line"]), "\n"))
+
+
+def memory_files(files: DataFrame) -> DataFrame:
+    """Entries of a store's files; of entries with the same text the first by file order stays.
+
+    Files named as sectioned are cut at headings and bold lines. In a section, the bullets of its
+    outermost level are an entry each, with what follows them; lines before the first go with it; a
+    section without bullets is one entry.
+    """
+    name = _file_name(F.col("path"))
+    parts = F.split("path", r"[\\/]+")
+    store = F.coalesce(*[F.when(F.array_contains(parts, m), F.lit(V.STORE_MARKERS[m])) for m in (".codebuddy", ".workbuddy")], F.lit("dsh"))
+    rows = files.select("path", "ord", name.alias("name"), store.alias("store"), name.rlike(V.SECTIONED_NAME).alias("sectioned"), name.rlike(V.DAY_NAME).alias("day"), without_raw(F.regexp_replace("text", V.NOTE_HEADER, "")).alias("raw"))
+    scaffold = lambda x: reduce(lambda a, p: a | x.rlike("(?i)" + p), V.SCAFFOLD_LINES, F.lit(False))
+    kept = F.filter(F.split("raw", "\n"), lambda x: ~scaffold(x) & ~(F.col("sectioned") & x.rlike(V.RULE_LINE)))
+    rows = rows.withColumn("body", X.strip(F.array_join(kept, "\n"))).where("body <> ''")
+    headings = F.filter(F.transform(F.split("body", "\n"), lambda x: F.regexp_extract(X.strip(x), V.ANY_HEADING, 1)), lambda x: x != "")
+    rows = rows.withColumn("fallback", F.coalesce(F.get(headings, F.lit(0)), _stem(F.col("name"))))
+    about = ["path", "ord", "name", "store", "day", "fallback"]
+    # sections: a running number of headings
+    lines = rows.select(*about, "sectioned", F.posexplode(F.split("body", "\n")).alias("n", "line"))
+    head = F.coalesce(F.nullif(F.regexp_extract("line", V.SECTION_HEADING, 1), F.lit("")), F.nullif(F.regexp_extract(X.strip(F.col("line")), V.SECTION_BOLD, 1), F.lit("")))
+    lines = lines.withColumn("head", F.when(F.col("sectioned"), head))
+    lines = lines.withColumn("section", F.sum(F.col("head").isNotNull().cast("int")).over(W.partitionBy("path", "ord").orderBy("n")))
+    sections = lines.groupBy(*about, "section").agg(F.max("head").alias("label"), _joined(F.when(F.col("head").isNull(), F.col("line"))).alias("body")).where("body <> ''")
+    # entries: a running number of bullets of the outermost level
+    lines = sections.select(*about, "section", "label", F.posexplode(F.split("body", "\n")).alias("n", "line"))
+    inside = W.partitionBy("path", "ord", "section")
+    lines = lines.withColumn("indent", F.when(F.col("line").rlike(V.BULLET), F.length(F.regexp_extract("line", V.BULLET, 1)))).withColumn("outer", F.min("indent").over(inside))
+    starts = F.coalesce(F.col("indent") == F.col("outer"), F.lit(False))
+    lines = lines.withColumn("starts", starts).withColumn("entry", F.sum(starts.cast("int")).over(inside.orderBy("n"))).where("entry > 0 OR outer IS NULL OR trim(line) <> ''")
+    said = F.when(F.col("starts"), F.regexp_extract("line", V.BULLET, 2)).otherwise(F.col("line"))
+    entries = lines.groupBy(*about, "section", "label", F.greatest("entry", F.lit(1)).alias("entry")).agg(_joined(said).alias("text"), F.first("outer").alias("outer"))
+    entries = entries.where((F.col("text") != "") & ~fill_in(F.col("text")))
+    bulleted = F.when(F.col("label").isNotNull(), X.label_of(F.col("label"), F.col("text"))).otherwise(F.coalesce(F.nullif(X.first_line_of(F.col("text")), F.lit("")), F.col("fallback")))
+    title = F.when(F.col("day"), _stem(F.col("name"))).when(F.col("outer").isNull(), F.coalesce("label", "fallback")).otherwise(bulleted)
+    number = (F.row_number().over(W.partitionBy("path", "ord").orderBy("section", "entry")) - 1).cast("string")
+    items = entries.withColumn("i", number).select(
+        "text", F.concat("path", F.lit("#"), "i").alias("uri"), F.concat_ws("|", "store", "path", "i").alias("item_id"), title.alias("title"),
+        F.when(F.col("day"), F.array("store", F.lit("daily-log"))).otherwise(F.array("store")).alias("tags"), F.lit(None).cast("string").alias("scope"), F.lit(None).cast("string").alias("at"),
+        F.lit("entry").alias("kind"), (F.col("ord") * (1 << 40) + F.col("i").cast("long")).alias("ord"),
+    )
     same = F.sha2(X.collapse(F.col("text")), 256)
     return items.withColumn("__r", F.row_number().over(W.partitionBy(same).orderBy("ord"))).where("__r = 1").drop("__r")
 
 
-def compare_key(text: str) -> str:
-    return hashlib.sha256(" ".join(text.split()).encode()).hexdigest()[:32]
+def plan_store(files: DataFrame) -> DataFrame:
+    """The files of a folder that a store's import reads, with ``ord`` by precedence.
+
+    First the stores of each generation: their ``MEMORY.md``, then what is in their ``memory`` folder. Then,
+    as a fallback, folders that are a memory folder, by name or because a memory file lies in them: of the
+    latter only memory files and day files, not the persona files beside them.
+    """
+    parts = F.split("path", r"[\\/]+")
+    n, name = F.size(parts), _file_name(F.col("path"))
+    folder, above = F.get(parts, n - 2), F.get(parts, n - 3)
+    markers = list(V.STORE_MARKERS)
+    generation = lambda c: F.coalesce(*[F.when(c == m, F.lit(i)) for i, m in enumerate(markers)], F.lit(len(markers)))
+    memory = name.rlike(V.SECTIONED_NAME)
+    rows = files.withColumn("__at", F.regexp_replace("path", r"[\\/][^\\/]*$", "")).withColumn("__memory", memory)
+    holds = F.max("__memory").over(W.partitionBy("__at"))
+    rank = (
+        F.when(folder.isin(*markers) & (name == "MEMORY.md"), F.struct(generation(folder).alias("g"), F.lit(0).alias("r")))
+        .when((folder == "memory") & above.isin(*markers), F.struct(generation(above).alias("g"), F.lit(1).alias("r")))
+        .when((F.lower(folder) == "memory") | (holds & (memory | name.rlike(V.DAY_NAME))), F.struct(F.lit(len(markers)).alias("g"), F.lit(2).alias("r")))
+    )
+    ranked = rows.withColumn("__rank", rank).where("__rank IS NOT NULL")
+    order = F.row_number().over(W.orderBy("__rank.g", "__rank.r", "ord", "path"))  # a row for each file of one store
+    return ranked.withColumn("ord", (order - 1).cast("long")).drop("__at", "__memory", "__rank")
 
 
 # -- rule files --------------------------------------------------------------------------------------

@@ -205,3 +205,59 @@ def test_panel_validation_and_identity(tmp_path):
     (tmp_path / "p" / "q").mkdir(parents=True)
     (tmp_path / "p" / "package.json").write_text("{}")
     assert resolve_identity(str(tmp_path / "p" / "q")).project_path == str(tmp_path / "p")
+
+
+def test_candidates_far_into_a_message_stay_apart(spark):
+    """Cues in clauses 16 and 17 of an item are two candidates, stored once each under their own ledger ids."""
+    text = ". ".join([*[f"plain remark number {i}" for i in range(15)], "always use pnpm for installing packages", "never commit generated files to the repo"])
+    items = spark.createDataFrame([(text, "u", "i1", None, ["t"], None, None, "utterance", 1)], ITEMS)
+    after, ledger, report = importing.run(items, memories(spark, {"text": "unrelated words"}), spark.createDataFrame([], LEDGER), NOW())
+    assert report.first()["written"] == 2 and after.count() == 3
+    stored = {r["id"]: r["text"] for r in after.collect()}
+    assert [r["memory_id"] in stored and r["memory_id"] > 1 for r in ledger.collect()] == [True]
+
+
+def test_import_ledger_points_to_the_own_project(spark):
+    """The same text in two projects: the ledger holds the row that this run made."""
+    items = spark.createDataFrame([("use pnpm in this repo", "u", "i", None, None, "project", None, "entry", 1)], ITEMS)
+    m = memories(spark, {"text": "use pnpm in this repo", "scope": "project", "project_key": "other", "id": 90})
+    after, ledger, _ = importing.run(items, m, spark.createDataFrame([], LEDGER), NOW(), importing.Request(project_key="mine"))
+    own = after.where("project_key = 'mine'").first()["id"]
+    assert own != 90 and [r["memory_id"] for r in ledger.collect()] == [own]
+
+
+@pytest.mark.parametrize("scope, key, target", [("global", None, 1), ("project", "k", 2), ("project", "z", None)])
+def test_corrections_look_beyond_their_layer(spark, scope, key, target):
+    """A correction that plans as new retires the newest row it contradicts; with a project key only rows of that key."""
+    m = memories(spark, {"text": "deploys run with docker on fridays", "scope": "project", "project_key": "p"}, {"text": "deploys run with docker on fridays", "scope": "daily", "project_key": "k", "created_at": datetime(2023, 1, 1)})
+    c = candidates(spark, {"text": "never deploys run with docker on fridays", "scope": scope, "project_key": key})
+    for kind, want in (("correction", target), ("preference", None)):
+        given = c.withColumn("kind", F.lit(kind))
+        for rows in (merge.plan(given, m), merge.sequential(given, m)):
+            row = rows.first()
+            assert (row["decision"], row["target"]) == (("update", want) if want else ("new", None))
+
+
+def test_identity_is_written_to_global(spark, tmp_path):
+    m = memories(spark, {"text": "I'm a backend engineer"})
+    c = candidates(spark, {"text": "I'm a backend engineer", "scope": "identity"}, {"text": "call me Lee from now on", "scope": "identity"})
+    assert [r["decision"] for r in merge.plan(c, m).orderBy("cand_id").collect()] == ["ignore", "new"]
+    assert [r["decision"] for r in merge.sequential(c, m).orderBy("cand_id").collect()] == ["ignore", "new"]
+    assert {r["scope"] for r in merge.apply_plan(m, c, merge.plan(c, m), NOW()).collect()} == {"global"}
+    api = Memory(Store(spark, f"file://{tmp_path}/store"), AT)
+    first = api.remember(Session("p", "/w"), "I'm a backend engineer")
+    again = api.remember(Session("p", "/w"), "I'm a backend engineer")
+    assert first["decision"] == "new" and (again["decision"], again["id"]) == ("ignore", first["id"])
+    assert api.memories().first()["scope"] == "global"
+
+
+def test_distill_messages(spark):
+    messages = spark.createDataFrame([(1, "we always use tabs in go files. how are you"), (2, "never use tabs in go files"), (3, "call me Lee, I'm a backend engineer")], "ord bigint, message string")
+    after, report = importing.distill_messages(messages, memories(spark), NOW(), "k")
+    counts = report.first().asDict()
+    assert counts["written"] >= 2 and counts["updated"] == 1
+    rows = after.collect()
+    assert len(rows) == counts["written"] + counts["updated"] and {r["scope"] for r in rows} <= {"global", "project"}
+    assert sum(r["status"] == "outdated" for r in rows) == 1
+    assert importing.distill_messages(messages, memories(spark), NOW(), dry_run=True)[0].count() == 0
+    assert importing.distill_messages(messages.limit(0), memories(spark), NOW())[1].first()["written"] == 0

@@ -3,6 +3,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import fixed as V
 from tessera.plans.api import Memory, Session
@@ -66,19 +67,36 @@ def test_markdown_by_headings_or_paragraphs(spark):
     assert [i["text"] for i in paras] == ["# only", "first\nline", "- second"]
 
 
-def test_note_headers():
-    item = notes.note_item("p/projects/shop-0123456789abcdef/memory/a.md", _NOTE)
-    assert (item["title"], item["tags"], item["text"], item["at"]) == ("Build rules", ["zcode", "shop", "feedback"], "Use pnpm.", None)  # fields after metadata are its own
-    assert notes.note_item("a.md", "---\ncreatedAt: 2024-01-02T00:00:00Z\n---\nx")["at"] == "2024-01-02T00:00:00Z"
-    assert notes.note_item("x/MEMORY.md", "x") is None and notes.note_item("x/a.md", "---\nname: n\n---\n") is None
-    assert notes.note_item("solo.md", "text")["tags"] == ["zcode", "root", "other"]
+def test_note_headers(spark):
+    quoted = '---\nname: "say \\"hi\\""\ntype: project\nmetadata: {type: user}\nkey no colon\n---\nbody'
+    rows = [("p/projects/shop-0123456789abcdef/memory/a.md", _NOTE), ("b.md", "---\ncreatedAt: 2024-01-02T00:00:00Z\n---\nx"), ("x/MEMORY.md", "x"), ("x/c.md", "---\nname: n\n---\n"), ("solo.md", "text"),
+            ("q/topics/d.md", quoted), ("e.md", "---\r\nmetadata: {a: 1, type: reference}\r\n---\r\nbody\r\n")]
+    files = spark.createDataFrame([(p, t, i) for i, (p, t) in enumerate(rows)], "path string, text string, ord long")
+    items = {i["uri"].split("#")[0]: i for i in notes.project_notes(files).collect()}
+    a = items.pop(rows[0][0])
+    assert (a["title"], a["tags"], a["text"], a["at"]) == ("Build rules", ["zcode", "shop", "feedback"], "Use pnpm.", None)  # fields after metadata are its own
+    assert items["b.md"]["at"] == "2024-01-02T00:00:00Z" and items["b.md"]["title"] == "b"
+    assert items["solo.md"]["tags"] == ["zcode", "root", "other"] and "x/MEMORY.md" not in items and "x/c.md" not in items
+    assert (items["q/topics/d.md"]["title"], items["q/topics/d.md"]["tags"]) == ('say "hi"', ["zcode", "q", "project"])
+    assert items["e.md"]["tags"][2] == "reference" and items["e.md"]["text"] == "body"
+    assert notes.project_notes(files.limit(0)).count() == 0
+
+
+def test_store_plan(spark):
+    paths = ["h/.codebuddy/memory/b_memory.md", "h/.workbuddy/SOUL.md", "h/.workbuddy/MEMORY.md", "h/.workbuddy/memory/2024-01-01.md", "h/.deepseek-harness/MEMORY.md", "h/notes/MEMORY.md", "h/notes/USER.md", "h/notes/2024-01-02.md", "h/other/x.md"]
+    files = spark.createDataFrame([(p, "t", i) for i, p in enumerate(paths)], "path string, text string, ord long")
+    got = [r["path"] for r in notes.plan_store(files).orderBy("ord").collect()]
+    assert got == [paths[4], paths[2], paths[3], paths[0], paths[5], paths[7]]
 
 
 def test_memory_files_sections_and_duplicates(spark):
     rows = spark.createDataFrame([("w/.workbuddy/memory/x_memory.md", _STORE, 0), ("w/.codebuddy/memory/y_memory.md", "## T\nBuilds  with vite.", 1), ("w/d/2024-01-02.md", "- did it", 2)], "path string, text string, ord long")
     items = notes.memory_files(rows).orderBy("ord").collect()
     assert [(i["title"], i["text"]) for i in items] == [("Style · Prefers **short** answers", "Prefers **short** answers\n  with examples"), ("Work", "Builds with vite."), ("2024-01-02", "did it")]
-    assert notes.strip_raw_trailer("keep\nx RAW_JSON_START y") == "keep" and notes.is_placeholder("**Tone**: (optional)") and not notes.is_placeholder("Tone: calm")
+    said = spark.createDataFrame([("keep\nx RAW_JSON_START y",), ("**Tone**: (optional)",), ("Tone: calm",)], "t string")
+    assert [tuple(r) for r in said.select(notes.without_raw(F.col("t")), notes.fill_in(F.col("t"))).collect()] == [("keep", False), ("**Tone**: (optional)", True), ("Tone: calm", False)]
+    rows = spark.createDataFrame([("a_memory.md", "lead\n\n  - one\n    - deep\n  - two\n# S\n\nplain\n***\nrest\n## Empty\n", 0)], "path string, text string, ord long")
+    assert [(i["title"], i["text"]) for i in notes.memory_files(rows).orderBy("ord").collect()] == [("lead", "lead\none\n    - deep"), ("two", "two"), ("S", "plain\nrest")]
 
 
 def test_json_array_streams_over_block_ends():
@@ -148,3 +166,40 @@ def test_streaming_cards_and_ingest(spark, folder):
     spark.createDataFrame([("2024-01-01", None, 1, None, "x")], days).write.parquet(f"{folder}/days")
     incremental.journal(spark.readStream.schema(days).parquet(f"{folder}/days"), store, f"{folder}/c4").awaitTermination()
     assert store.read()["memories"].where("scope = 'daily'").first()["text"] == "- x"
+
+
+def test_a_batch_that_comes_again_is_left_out(spark, folder):
+    """The store remembers the last batch of a stream, so a batch published before its commit is not appended twice."""
+    days = "day string, project_key string, ord bigint, label string, text string"
+    spark.createDataFrame([("2024-01-01", None, 1, None, "x")], days).write.parquet(f"{folder}/days")
+    store, stream = Store(spark, f"file://{folder}/store"), spark.readStream.schema(days).parquet(f"{folder}/days")
+    incremental.journal(stream, store, f"{folder}/c").awaitTermination()
+    for name in (folder / "c" / "commits").iterdir():  # as if the writer had died between publishing and committing
+        name.unlink()
+    incremental.journal(stream, store, f"{folder}/c").awaitTermination()
+    assert [r["text"] for r in store.read()["memories"].collect()] == ["- x"] and store.version() == 1
+
+
+def test_ingest_refuses_bad_rows_and_knows_trimmed_ones(spark, folder):
+    schema = "hash string, text string, title string, tags array<string>, ord bigint"
+    spark.createDataFrame([("h1", "  padded text \n", None, None, 1), ("h2", " ", None, None, 2), ("h3", "x" * (V.BODY_CAP + 1), None, None, 3), ("h4", "padded text", None, None, 4)], schema).write.parquet(f"{folder}/items")
+    store = Store(spark, f"file://{folder}/store")
+    for run in ("c1", "c2"):
+        incremental.ingest(spark.readStream.schema(schema).parquet(f"{folder}/items"), store, f"{folder}/{run}").awaitTermination()
+    tables = store.read()
+    assert tables["memories"].count() == 2 and sorted(r["hash"] for r in tables["ledger"].collect()) == ["h1", "h4"]
+    assert {r["memory_id"] for r in tables["ledger"].collect()} == {1, 2}
+
+
+def test_damaged_archives_are_refused(spark, folder):
+    whole = io.BytesIO()
+    with zipfile.ZipFile(whole, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("conversations.json", "[" + "1," * 5000 + "1]")
+        z.writestr("b.jsonl", "{}")
+    data = whole.getvalue()
+    (folder / "cut.zip").write_bytes(data[: len(data) // 2])
+    (folder / "hurt.zip").write_bytes(data[:60] + b"\0\1\2\3" + data[64:])
+    assert archives.zip_entries(spark, f"{folder}/cut.zip").count() == 0 and archives.zip_entries(spark, f"{folder}/hurt.zip").count() == 0
+    (folder / "whole.zip").write_bytes(data)
+    assert sorted(r["name"] for r in archives.zip_entries(spark, f"{folder}/whole.zip").collect()) == ["b.jsonl", "conversations.json"]
+    assert [r["name"] for r in archives.zip_entries(spark, f"{folder}/whole.zip", 100).collect()] == ["b.jsonl"]
