@@ -23,7 +23,7 @@ mem AS (
          CASE WHEN doc_id % 4 IN (0, 2) THEN source END AS project_key, '/work/' || source AS project_path, [lang, source] AS tags, CASE WHEN doc_id % 3 = 0 THEN 'import' ELSE 'auto' END AS source,
          doc_id % 5 = 0 AS pinned, (doc_id % 11)::INT AS importance, CASE WHEN doc_id % 3 <> 0 THEN TIMESTAMP '2024-01-01' + to_minutes((doc_id * 37 % 43200)::INT) END AS last_used_at,
          TIMESTAMP '2024-01-01' + to_minutes(doc_id::INT) AS created_at, CASE doc_id % 7 WHEN 0 THEN 'archived' WHEN 1 THEN 'outdated' WHEN 2 THEN 'pending' ELSE 'active' END AS status
-  FROM documents WHERE n_chars <= {V.BODY_CAP})"""
+  FROM documents)"""
 _CANDS = """
 cands AS (
   SELECT item_id + 1 AS cand_id, text, CASE WHEN item_id % 2 = 0 THEN 'global' ELSE 'project' END AS scope, CASE WHEN item_id % 2 = 1 THEN 'src' || (item_id % 20) END AS project_key FROM benchmark)"""
@@ -194,11 +194,12 @@ so AS (SELECT *, 0.6 * rel + 0.25 * pow(2, -greatest((epoch_us({_NOW}) - epoch_u
 hy AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, used DESC, id)::INT AS pos FROM so) WHERE pos <= {limit})"""
 
 
-def _merge_plan(cands: str = _CANDS) -> str:
+def _merge_plan(cands: str = _CANDS, kind: str = "''") -> str:
+    """``kind``: SQL for a candidate's kind; corrections look beyond their layer."""
     marker_a, rest_a = _statement("text")
     return f"""{_MEM},{cands},
-layer AS (SELECT id, title, text, scope, CASE WHEN scope = 'project' THEN coalesce(project_key, '-') ELSE '*' END AS k, created_at, {_norm('text')} AS nrm, {marker_a} IS NOT NULL AS neg, {rest_a} AS aff FROM mem WHERE status = 'active'),
-ca AS (SELECT cand_id, text, scope, CASE WHEN scope = 'project' THEN coalesce(project_key, '-') ELSE '*' END AS k, {_norm('text')} AS nrm, {marker_a} IS NOT NULL AS neg, {rest_a} AS aff FROM cands),
+layer AS (SELECT id, title, text, scope, CASE WHEN scope = 'project' THEN coalesce(project_key, '-') ELSE '*' END AS k, created_at, project_key, {_norm('text')} AS nrm, {marker_a} IS NOT NULL AS neg, {rest_a} AS aff FROM mem WHERE status = 'active'),
+ca AS (SELECT cand_id, text, scope, {kind} = 'correction' AS corrects, CASE WHEN scope = 'project' THEN project_key END AS own_key, CASE WHEN scope = 'project' THEN coalesce(project_key, '-') ELSE '*' END AS k, {_norm('text')} AS nrm, {marker_a} IS NOT NULL AS neg, {rest_a} AS aff FROM cands),
 ga AS (SELECT cand_id, scope, k, unnest({_grams('nrm')}) AS g FROM ca),
 gb AS (SELECT id, scope, k, unnest({_grams('nrm')}) AS g FROM layer),
 na AS (SELECT cand_id, count(*) AS n FROM ga GROUP BY 1),
@@ -207,22 +208,28 @@ sh AS (SELECT cand_id, id, count(*) AS c FROM ga JOIN gb USING (scope, k, g) GRO
 sim AS (SELECT cand_id, id, c / (na.n + nb.n - c) AS score, c / na.n AS share FROM sh JOIN na USING (cand_id) JOIN nb USING (id) WHERE c / (na.n + nb.n - c) >= {V.MERGE_SIMILARITY}),
 best AS (SELECT * FROM (SELECT cand_id, id, score, share, length(text) AS len, row_number() OVER (PARTITION BY cand_id ORDER BY score DESC, created_at DESC, id DESC) AS r FROM sim JOIN layer USING (id)) WHERE r = 1),
 exact AS (SELECT cand_id, arg_max(id, (created_at, id)) AS id FROM ca JOIN layer USING (scope, k, nrm) GROUP BY 1),
-ag AS (SELECT cand_id, scope, k, neg, aff, {_grams(_norm('aff'))} AS g FROM ca),
-bg AS (SELECT id, scope, k, neg, created_at, aff, {_grams(_norm('aff'))} AS g FROM layer),
-pr AS (SELECT cand_id, id, created_at, ag.aff AS x, bg.aff AS y, ag.g AS gx, bg.g AS gy, length(ag.aff) <= length(bg.aff) AS first FROM ag JOIN bg ON ag.scope = bg.scope AND ag.k = bg.k AND ag.neg <> bg.neg),
-clash AS (
-  SELECT cand_id, arg_max(id, (created_at, id)) AS id FROM pr
+ag AS (SELECT cand_id, scope, k, corrects, own_key, neg, aff, {_grams(_norm('aff'))} AS g FROM ca),
+bg AS (SELECT id, scope, k, project_key, neg, created_at, aff, {_grams(_norm('aff'))} AS g FROM layer),
+pr AS (
+  SELECT cand_id, id, created_at, ag.aff AS x, bg.aff AS y, ag.g AS gx, bg.g AS gy, length(ag.aff) <= length(bg.aff) AS first, ag.scope = bg.scope AND ag.k = bg.k AS near,
+         corrects AND (own_key IS NULL OR own_key = project_key) AS far
+  FROM ag JOIN bg ON ag.neg <> bg.neg AND (ag.scope = bg.scope AND ag.k = bg.k OR corrects AND (own_key IS NULL OR own_key = project_key))),
+clashes AS (
+  SELECT cand_id, id, created_at, near, far FROM pr
   WHERE CASE WHEN first THEN length(x) > 0 AND (contains(y, x) OR (len(gx) > 0 AND len(list_intersect(gx, gy)) / len(gx) >= {V.CONTRADICTION_OVERLAP}))
-             ELSE length(y) > 0 AND (contains(x, y) OR (len(gy) > 0 AND len(list_intersect(gx, gy)) / len(gy) >= {V.CONTRADICTION_OVERLAP})) END GROUP BY 1),
+             ELSE length(y) > 0 AND (contains(x, y) OR (len(gy) > 0 AND len(list_intersect(gx, gy)) / len(gy) >= {V.CONTRADICTION_OVERLAP})) END),
+clash AS (SELECT cand_id, arg_max(id, (created_at, id)) AS id FROM clashes WHERE near GROUP BY 1),
+wide AS (SELECT cand_id, arg_max(id, (created_at, id)) AS id FROM clashes WHERE far GROUP BY 1),
 pool AS (SELECT DISTINCT scope, k, true AS has FROM layer),
 joined AS (
-  SELECT ca.cand_id, exact.id AS e, clash.id AS x, best.id AS b, best.score, pool.has, best.share >= {V.CONTAINMENT_THRESHOLD} AND length(ca.text) < best.len AS covered
-  FROM ca LEFT JOIN exact USING (cand_id) LEFT JOIN clash USING (cand_id) LEFT JOIN best USING (cand_id) LEFT JOIN pool ON pool.scope = ca.scope AND pool.k = ca.k),
+  SELECT ca.cand_id, exact.id AS e, clash.id AS x, best.id AS b, best.score, pool.has, wide.id AS w, best.share >= {V.CONTAINMENT_THRESHOLD} AND length(ca.text) < best.len AS covered
+  FROM ca LEFT JOIN exact USING (cand_id) LEFT JOIN clash USING (cand_id) LEFT JOIN best USING (cand_id) LEFT JOIN wide USING (cand_id) LEFT JOIN pool ON pool.scope = ca.scope AND pool.k = ca.k),
 plan AS (
-  SELECT cand_id, CASE WHEN e IS NOT NULL THEN 'ignore' WHEN has IS NULL THEN 'new' WHEN x IS NOT NULL THEN 'update' WHEN covered THEN 'ignore' WHEN b IS NOT NULL THEN 'merge' ELSE 'new' END AS decision,
-         CASE WHEN e IS NOT NULL THEN e WHEN has IS NULL THEN NULL WHEN x IS NOT NULL THEN x ELSE b END AS target,
-         CASE WHEN e IS NOT NULL THEN 'identical to memory #' || e WHEN has IS NULL THEN 'no comparable entry in this scope' WHEN x IS NOT NULL THEN 'appears to revise memory #' || x
-              WHEN covered THEN 'already covered by memory #' || b WHEN b IS NOT NULL THEN 'restates memory #' || b ELSE 'no entry close enough to restate' END AS reason
+  SELECT cand_id, CASE WHEN e IS NOT NULL THEN 'ignore' WHEN has IS NULL THEN CASE WHEN w IS NULL THEN 'new' ELSE 'update' END WHEN x IS NOT NULL THEN 'update' WHEN covered THEN 'ignore' WHEN b IS NOT NULL THEN 'merge'
+              WHEN w IS NOT NULL THEN 'update' ELSE 'new' END AS decision,
+         CASE WHEN e IS NOT NULL THEN e WHEN has IS NULL THEN w WHEN x IS NOT NULL THEN x ELSE coalesce(b, w) END AS target,
+         CASE WHEN e IS NOT NULL THEN 'identical to memory #' || e WHEN has IS NULL AND w IS NOT NULL THEN 'appears to revise memory #' || w WHEN has IS NULL THEN 'no comparable entry in this scope' WHEN x IS NOT NULL THEN 'appears to revise memory #' || x
+              WHEN covered THEN 'already covered by memory #' || b WHEN b IS NOT NULL THEN 'restates memory #' || b WHEN w IS NOT NULL THEN 'appears to revise memory #' || w ELSE 'no entry close enough to restate' END AS reason
   FROM joined)"""
 
 
@@ -261,7 +268,7 @@ _GATED = f"""{_extracted()},
 jd AS (SELECT *, {_reason('text', 'vouched', 'true')} AS reason FROM ex),
 sd AS (SELECT *, {_scope('kind', 'text')} AS decided FROM jd WHERE reason IS NULL)"""
 _FROM_STATEMENTS = """
-cands AS (SELECT msg_id * 100 + pos AS cand_id, text, decided AS scope, CASE WHEN decided = 'project' THEN 'src1' END AS project_key FROM sd)"""
+cands AS (SELECT msg_id * 100 + pos AS cand_id, kind, text, CASE decided WHEN 'identity' THEN 'global' ELSE decided END AS scope, CASE WHEN decided = 'project' THEN 'src1' END AS project_key FROM sd)"""
 
 
 def _chatgpt() -> str:
@@ -292,7 +299,8 @@ SELECT n * 1048576 + node AS ord, said || CASE WHEN blob <> '' THEN chr(10) || c
 
 
 ORACLE_SQL: dict[str, str] = {
-    "distill_report": f"""WITH {_GATED},{_merge_plan(_FROM_STATEMENTS)}
+    "merge_widened": f"WITH {_merge_plan(kind="'correction'")} SELECT cand_id, decision, target, reason FROM plan",
+    "distill_report": f"""WITH {_GATED},{_merge_plan(_FROM_STATEMENTS, 'kind')}
         SELECT count(*) FILTER (WHERE decision = 'new') AS written, count(*) FILTER (WHERE decision = 'merge') AS merged, count(*) FILTER (WHERE decision = 'update') AS updated,
                count(*) FILTER (WHERE decision = 'ignore') AS ignored, (SELECT count(*) FROM jd WHERE reason IS NOT NULL) AS rejected FROM plan""",
     "chatgpt_flatten": _chatgpt(),

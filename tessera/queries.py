@@ -192,6 +192,13 @@ def merge_plan_snapshot(spark, sf_dir):
     return merge.plan(views.candidates(spark, sf_dir), views.mem(spark, sf_dir)).select("cand_id", "decision", "target", "reason")
 
 
+@query
+def merge_widened(spark, sf_dir):
+    """All candidates as corrections: one that is new in its layer retires the newest row of another that it contradicts."""
+    cands = views.candidates(spark, sf_dir).withColumn("kind", F.lit("correction"))
+    return merge.plan(cands, views.mem(spark, sf_dir)).select("cand_id", "decision", "target", "reason")
+
+
 @query
 def merge_apply_snapshot(spark, sf_dir):
     m, c = views.mem(spark, sf_dir), views.candidates(spark, sf_dir)
@@ -282,7 +289,7 @@ def judge_corpus(spark, sf_dir):
 def distill_report(spark, sf_dir):
     m = views.mem(spark, sf_dir)
     judged = distill.judge(distill.extract_candidates(views.statements(spark)), True)
-    cands = judged.where("accepted").select((F.col("msg_id") * 100 + F.col("pos")).cast("long").alias("cand_id"), F.lit("").alias("title"), "text", "scope", F.when(F.col("scope") == "project", F.lit("src1")).alias("project_key"))
+    cands = judged.where("accepted").select((F.col("msg_id") * 100 + F.col("pos")).cast("long").alias("cand_id"), "kind", F.lit("").alias("title"), "text", "scope", F.when(F.col("scope") == "project", F.lit("src1")).alias("project_key"))
     plans = merge.plan(cands, m).select("decision").unionByName(judged.where("NOT accepted").select(F.lit("rejected").alias("decision")))
     return distill.report(plans)
 

@@ -131,6 +131,8 @@ def scan(spark: SparkSession, path: str, limits: files_.Limits | None = None) ->
     globs = {"chatgpt": "conversations*.json", "claude-web": "conversations*.json", "claude-memories": "memories.json", "claude-code": "*.jsonl", "zcode": "*.md", "workbuddy": "*.md", "generic": "*.{md,txt,markdown}"}
     deep = kind in ("claude-code", "zcode", "workbuddy", "claude-memories")
     rows = files_.whole_files(spark, path, limits, globs[kind] if folder else None, recursive=folder and deep)
+    if kind == "workbuddy" and folder:
+        rows = notes.plan_store(rows)
     if kind == "generic" and not folder:
         name = path.lower()
         reader = json_exports.json_lines if name.endswith((".jsonl", ".ndjson")) else json_exports.json_items if name.endswith(".json") else notes.markdown

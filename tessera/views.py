@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import fixed as V
-
 NOW = "2024-02-01 00:00:00"
 
 #: Statements for the extraction operators: id, text.
@@ -43,7 +41,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as memories."""
-    d = documents(spark, sf_dir).where(f"n_chars <= {V.BODY_CAP}")
+    d = documents(spark, sf_dir)
     scope = F.when(F.col("doc_id") % 4 == 0, "project").when(F.col("doc_id") % 4 == 2, "daily").otherwise("global")
     status = F.when(F.col("doc_id") % 7 == 0, "archived").when(F.col("doc_id") % 7 == 1, "outdated").when(F.col("doc_id") % 7 == 2, "pending").otherwise("active")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
