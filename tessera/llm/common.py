@@ -45,15 +45,36 @@ def work_dir(spark: SparkSession) -> str:
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
+#: With this set, a query's shuffle files go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Nothing reads the shuffle files behind it any more, so they go with the write.
+    """
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     if (written := _written.get()) is not None:
         written.append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    with _shuffles_cleaned(df.sparkSession):
+        writer.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

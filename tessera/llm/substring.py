@@ -18,7 +18,7 @@ blocks may be taken for one, which only costs a count in step 3. The windows of
 way with 64 bits and 32 more of an independent hash that starts from the words' bytes anew. A passage
 that a third of all texts share is thus one hash per chunk. The number of buckets follows the size of
 the corpus, and so does a chunk's size where buckets would get more hashes than a task should hold.
-Work tables are deleted as soon as the next one is stored.
+Every step is stored on its own, so the shuffle files and work tables of the one before can go.
 
 Defined results: a null text has no words and stays null; texts under 35 words lose nothing; very long
 texts are one chunk of their own; repeated rows are copies like any other and lose their long
@@ -204,6 +204,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, di
     schema = kept + ", n_words bigint, n_removed bigint"
     planned = plan(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
     n_buckets, limit = buckets or planned[0], chunk_bytes or planned[1]
+    columns, reply = ["chunk", "bucket", "data", "more"], "chunk bigint, bucket int, data binary, more binary"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.claim("substring")
@@ -217,15 +218,22 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, di
                 plain = np.flatnonzero(~long)
                 rows.append(("done", chunk, -1, _pack(_result(own.take(pa.array(plain)), text, None, counts[plain], digests)), b""))
             if long.any():
-                _, aligned, distinct, inverse = _probes(hashes[np.repeat(long, counts)], counts[long], block)
+                rows.append(("text", chunk, -1, _pack(own.take(pa.array(np.flatnonzero(long)))), b""))
+            yield from _rows(rows).combine_chunks().to_batches()
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.claim("substring")
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = _unpack(data.as_py())
+                _, aligned, distinct, inverse = _probes(*common.word_arrays(own.column(own.schema.get_field_index(text)).cast(pa.binary()).to_pylist()), block)
                 blocks = np.bincount(inverse[aligned], minlength=len(distinct))
-                low, a = distinct.astype(np.uint32), 0
+                low, a, rows = distinct.astype(np.uint32), 0, []
                 for b, e in enumerate(_dealt(distinct, n_buckets).tolist()):
                     if e > a:
                         rows.append(("probe", chunk, b, low[a:e].tobytes(), np.packbits(np.concatenate([blocks[a:e] > 0, blocks[a:e] > 1])).tobytes()))
                     a = e
-                rows.append(("text", chunk, -1, _pack(own.take(pa.array(np.flatnonzero(long)))), b""))
-            yield from _rows(rows).combine_chunks().to_batches()
+                yield from _rows(rows).select(columns).combine_chunks().to_batches()
 
     def extend(group: pa.Table) -> pa.Table:
         common.claim("substring")
@@ -289,12 +297,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, di
             for data in batch.column(0):
                 yield _unpack(data.as_py())
 
-    reply = "chunk bigint, bucket int, data binary, more binary"
-    columns = ["chunk", "bucket", "data", "more"]
-    first = common.cut(common.small_batches(docs).mapInArrow(common.trimmed(scan), _ROWS), "blocks", "kind")
-    looked_up = first.where("kind = 'probe'").groupBy("bucket").applyInPandas(_look_up, reply)
-    second = common.cut(first.where("kind = 'text'").select(*columns).unionByName(looked_up).groupBy("chunk").applyInArrow(extend, _ROWS), "windows", "kind")
-    common.discard(first, "kind=probe", "kind=text")
-    counted = second.where("kind = 'keys'").groupBy("bucket").applyInPandas(_count, reply)
+    first = common.cut(common.small_batches(docs).mapInArrow(common.trimmed(scan), _ROWS), "chunks", "kind")
+    chunks = first.where("kind = 'text'").select(*columns)
+    looked_up = common.cut(chunks.select("chunk", "data").mapInArrow(common.trimmed(probe), reply).groupBy("bucket").applyInPandas(_look_up, reply), "hits")
+    second = common.cut(chunks.unionByName(looked_up).groupBy("chunk").applyInArrow(extend, _ROWS), "windows", "kind")
+    common.discard(first, "kind=text")
+    common.discard(looked_up)
+    counted = second.where("kind = 'keys'").select(*columns).groupBy("bucket").applyInPandas(_count, reply)
     rest = second.where("kind = 'layout'").select(*columns).unionByName(counted).groupBy("chunk").applyInArrow(finish, schema)
     return reduce(DataFrame.unionByName, [rest, *[t.where("kind = 'done'").select("data").mapInArrow(plain, schema) for t in (first, second)]])
