@@ -56,7 +56,7 @@ def final_score(relevance: Column, recent: Column, importance: Column, weights:
 
 
 def clamp(value: Column, low: int, high: int) -> Column:
-    return F.least(F.greatest(value.cast("int"), F.lit(low)), F.lit(high))
+    return F.when(value.isNotNull(), F.least(F.greatest(value.cast("int"), F.lit(low)), F.lit(high)))
 
 
 def used_at(last_used: Column, created: Column) -> Column:

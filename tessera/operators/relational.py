@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
+from ..functions import scalar as S
 from ..functions import text as X
 from ..plans.work import number_rows
 from .model import MEMORY_COLUMNS, Query, order
@@ -103,6 +104,16 @@ def panel_filter(scope: str | None = None, status: str | None = None, tag: str |
     )
 
 
+def panel_input(requests: DataFrame) -> DataFrame:
+    """Clamps of panel input for a table of requests (limit, offset, importance, entries, tags, title, scope); null keeps a default. ``valid``: the scope is null or known."""
+    return requests.select(
+        *[c for c in requests.columns if c not in ("limit", "offset", "importance", "entries", "tags", "title")],
+        S.clamp(F.coalesce("limit", F.lit(30)), 1, 200).alias("limit"), S.clamp(F.coalesce("offset", F.lit(0)), 0, 1_000_000).alias("offset"), S.clamp(F.col("importance"), 0, 5).alias("importance"),
+        S.clamp(F.coalesce("entries", F.lit(200)), 1, 200).alias("entries"), F.slice(F.transform("tags", lambda t: F.substring(t, 1, 40)), 1, 32).alias("tags"), F.substring("title", 1, 200).alias("title"),
+        (F.col("scope").isNull() | F.col("scope").isin(*V.SCOPES)).alias("valid"),
+    )
+
+
 def panel_view(memories: DataFrame, limit: int = V.PANEL_TEXT_CHARS) -> DataFrame:
     return memories.withColumn("text_truncated", F.length("text") > limit).withColumn("text", F.substring("text", 1, limit))
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions import scalar as S
+from ..functions import text as X
 from .relational import retrievable
 
 _CJK = regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Hangul}]+")
@@ -105,10 +106,11 @@ def fts_search(corpus: DataFrame, parts: DataFrame, project_key: str | None, lim
     wanted = parts.where("kind = 'fts'").groupBy("query_id").agg(F.count("*").alias("n_phrases"))
     shown = corpus.where(retrievable(project_key)).select("id")
     found = bm25(corpus, parts).join(shown, "id").join(F.broadcast(wanted), "query_id")
-    whole = F.max(F.col("n_matched") == F.col("n_phrases")).over(W.partitionBy("query_id"))
-    kept = found.withColumn("whole", whole).where(~F.col("whole") | (F.col("n_matched") == F.col("n_phrases")))
-    ranked = kept.withColumn("fts_pos", F.row_number().over(W.partitionBy("query_id").orderBy("rank", "id")))
-    return ranked.where(F.col("fts_pos") <= limit).select("query_id", "id", "rank", "n_matched")
+    # rows with all phrases come first, so a query's first ``limit`` rows tell whether it has one; only those are in a window's frame
+    whole = F.col("n_matched") == F.col("n_phrases")
+    ranked = found.withColumn("fts_pos", F.row_number().over(W.partitionBy("query_id").orderBy(whole.desc(), "rank", "id"))).where(F.col("fts_pos") <= limit)
+    kept = ranked.withColumn("any_whole", F.max(whole).over(W.partitionBy("query_id"))).where(~F.col("any_whole") | whole)
+    return kept.select("query_id", "id", "rank", "n_matched")
 
 
 def like_search(corpus: DataFrame, parts: DataFrame, project_key: str | None, limit: int) -> DataFrame:
@@ -173,3 +175,9 @@ def step_query(messages: Sequence[dict]) -> str:
             if text:
                 return text[-V.STEP_QUERY_CHARS :]
     return ""
+
+
+def step_queries(turns: DataFrame) -> DataFrame:
+    """session, query of all sessions at once: the last text that a user wrote (by ``ord``), its last characters. turns: session, ord, role, text."""
+    said = turns.select("session", "ord", "role", X.strip(F.col("text")).alias("said")).where("role = 'user' AND said <> ''")
+    return said.groupBy("session").agg(F.max_by("said", "ord").alias("said")).select("session", F.right("said", F.lit(V.STEP_QUERY_CHARS)).alias("query"))

@@ -107,8 +107,8 @@ def _importance(kind: str, c: str) -> str:
     return f"least(10, greatest(0, {' + '.join(parts)}))::INT"
 
 
-def _extracted() -> str:
-    """CTEs that end in ``ex``: the candidates of the literal statements."""
+def _extracted(messages: str = _values(views.STATEMENTS, "msg_id, message"), limit: int = V.MESSAGE_CANDIDATES) -> str:
+    """CTEs that end in ``ex``: the candidates of messages (msg_id, message), by default of the literal statements."""
     cues = []
     for q in P.CUES:
         p = _text(P.re2(q.pattern, q.fold_case))
@@ -119,7 +119,7 @@ def _extracted() -> str:
         cues.append(f"CASE WHEN regexp_matches(clause, {p}) AND {body} <> '' THEN {{'kind': {_text(q.kind)}, 'text': {body}, 'marker': {marker}}} END")
     base = f"string_split({_unfenced('split_part(message, ' + _text(V.ATTACHMENT_MARKER) + ', 1)')}, chr(0))[1]"
     return f"""
-st AS {_values(views.STATEMENTS, 'msg_id, message')},
+st AS {messages},
 bo AS (SELECT msg_id, {base} AS body FROM st),
 cl AS (SELECT msg_id, {_clauses('body')} AS cs FROM bo WHERE NOT {_paste('body')}),
 un AS (SELECT msg_id, cs, unnest(cs) AS clause, generate_subscripts(cs, 1) - 1 AS pos FROM cl),
@@ -129,7 +129,7 @@ tx AS (
   FROM cu WHERE c IS NOT NULL),
 ra AS (SELECT *, row_number() OVER (PARTITION BY msg_id, lower(text) ORDER BY pos) AS r FROM tx WHERE text <> ''),
 rb AS (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY pos) AS k FROM ra WHERE r = 1),
-ex AS (SELECT msg_id, pos::INT AS pos, text, kind, marker, {_matches('text', *P.EXPLICIT)} OR {_matches('clause', *P.EXPLICIT)} AS explicit, false AS vouched FROM rb WHERE k <= {V.MESSAGE_CANDIDATES})"""
+ex AS (SELECT msg_id, pos::INT AS pos, text, kind, marker, {_matches('text', *P.EXPLICIT)} OR {_matches('clause', *P.EXPLICIT)} AS explicit, false AS vouched FROM rb WHERE k <= {limit})"""
 
 
 _ORDERS = {"created": "created_at DESC, id DESC", "used": "coalesce(last_used_at, created_at) DESC, id DESC", "importance": "importance DESC, created_at DESC, id DESC"}
@@ -298,7 +298,105 @@ SELECT n * 1048576 + node AS ord, said || CASE WHEN blob <> '' THEN chr(10) || c
        left(sha256('claude-web|' || conv || '|' || mid), 24) AS item_id, strftime(replace(seen, 'Z', '')::TIMESTAMP, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS at FROM t WHERE sender = 'human'"""
 
 
+def _merged(a: str, b: str) -> str:
+    a, b = _strip(a), _strip(b)
+    return f"CASE WHEN {a} = '' OR {a} = {b} OR contains({b}, {a}) THEN {b} WHEN contains({a}, {b}) THEN {a} ELSE {a} || chr(10) || {b} END"
+
+
+def _label(title: str, body: str) -> str:
+    lines = rf"list_filter(list_transform(string_split({body}, chr(10)), lambda x: {_strip("regexp_replace(x, '^[-*>#\\s]+', '')")}), lambda x: x <> '')"
+    first = _strip(f"regexp_extract(coalesce({lines}[1], ''), '^[^。.!?！？]*')")
+    merged = f"left({title}, {V.LABEL_TITLE_CHARS}) || CASE WHEN {first} = '' THEN '' ELSE ' · ' || {first} END"
+    return f"CASE WHEN length({merged}) <= {V.LABEL_CHARS} THEN {merged} ELSE left({merged}, {V.LABEL_CHARS}) || '…' END"
+
+
+def _budget() -> str:
+    """The fold of 50 groups, a section a step."""
+    marker = V.TRUNCATION_MARKER
+    head = f"left(t, (room - {len(marker)})::INT)"
+    last = f"CASE WHEN contains({head}, chr(10)) THEN length(regexp_extract({head}, '(?s)^(.*)\\n', 1)) ELSE -1 END"
+    cut = rf"CASE WHEN room <= {len(marker)} THEN left({_text(marker)}, greatest(room, 0)::INT) ELSE regexp_replace(CASE WHEN {last} > (room - {len(marker)}) / 2 THEN left({head}, {last}) ELSE {head} END, '\s+$', '') || {_text(marker)} END"
+    return f"""WITH RECURSIVE {_MEM},
+s AS (SELECT id % 50 AS g, row_number() OVER (PARTITION BY id % 50 ORDER BY id) AS n, title, {_strip('text')} AS t, pinned FROM mem WHERE status = 'active'),
+f AS (
+  SELECT DISTINCT g, 0::BIGINT AS n, {V.TURN_BUDGET}::BIGINT AS remaining, 0::BIGINT AS kept, 0::BIGINT AS used, ''::VARCHAR AS summary FROM s
+  UNION ALL
+  SELECT g, n, CASE WHEN fits OR partly THEN room - size ELSE remaining END, kept + (fits OR partly)::INT, used + CASE WHEN fits OR partly THEN size + gap ELSE 0 END,
+         summary || CASE WHEN t = '' THEN '' ELSE CASE WHEN summary = '' THEN '' ELSE ', ' END || title || CASE WHEN fits THEN ': ' || size || ' chars' WHEN partly THEN ': ' || size || ' chars (truncated)' ELSE ': dropped' END END
+  FROM (SELECT *, CASE WHEN fits THEN length(t) ELSE length(cut) END AS size, NOT fits AND t <> '' AND pinned AND room > 0 AND cut <> '' AND contains(cut, chr(10)) AS partly
+        FROM (SELECT *, t <> '' AND length(t) <= room AS fits, {cut} AS cut
+              FROM (SELECT f.g, s.n, f.remaining, f.kept, f.used, f.summary, s.title, s.t, s.pinned, CASE WHEN f.kept > 0 THEN 2 ELSE 0 END AS gap, f.remaining - CASE WHEN f.kept > 0 THEN 2 ELSE 0 END AS room
+                    FROM f JOIN s ON s.g = f.g AND s.n = f.n + 1))))
+SELECT g, arg_max(used, n)::INT AS used, CASE WHEN arg_max(summary, n) = '' THEN 'nothing injected' ELSE arg_max(summary, n) END AS summary FROM f GROUP BY g"""
+
+
+def _export() -> str:
+    nl = "chr(10)"
+    meta = f"concat_ws(' · ', '状态 ' || status, '重要度 ' || importance, CASE WHEN pinned THEN '已固定' END, '项目 ' || project_key, '标签 ' || array_to_string(tags, ', '), '来源 ' || source, '更新 ' || strftime(created_at, '%Y-%m-%d %H:%M:%S.%g'))"
+    entry = f"'### ' || title || {nl} || {nl} || '- ' || {meta} || {nl} || {nl} || {_strip('text')} || {nl} || {nl} || '---' || {nl}"
+    named = " UNION ALL ".join(f"SELECT {i} AS sec, {_text(scope)} AS scope, {_text(V.SCOPE_TITLES[scope])} AS shown" for i, scope in enumerate(V.SCOPES))
+    return f"""WITH {_MEM}, sec AS ({named}),
+r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY CASE WHEN scope = 'daily' THEN 0 ELSE importance END DESC, created_at DESC, id DESC) AS n FROM mem WHERE status IN ('active', 'pending') OR scope = 'identity'),
+k AS (SELECT *, CASE WHEN scope = 'project' THEN min(n) OVER (PARTITION BY scope, project_key) ELSE 0 END AS grp FROM r JOIN sec USING (scope) WHERE n <= {V.EXPORT_LIMIT}),
+b AS (
+  SELECT sec, -1 AS grp, 0 AS n, '## ' || any_value(shown) || {nl} AS block FROM k GROUP BY sec
+  UNION ALL SELECT sec, grp, 0, '### 项目 ' || coalesce(project_key, {_text(V.UNNAMED_PROJECT)}) || {nl} FROM k WHERE scope = 'project' AND n = grp
+  UNION ALL SELECT sec, grp, n, {entry} FROM k),
+d AS (SELECT '# 记忆导出' || {nl} || {nl} || '- 导出时间：2024-02-01 00:00' || {nl} || '- 条目：' || (SELECT count(*) FROM k) || {nl} || '- 层级：{' / '.join(V.SCOPES)}' || {nl} || '- 状态：active / pending' || {nl} || {nl}
+      || string_agg(block, {nl} ORDER BY sec, grp, n) AS t FROM b),
+o AS (SELECT regexp_replace(t, '\\s+$', '') || {nl} AS t FROM d)
+SELECT length(t)::INT AS chars, sha256(t) AS digest FROM o"""
+
+
+_SAID = ", ".join(_text(message) for _, message in views.STATEMENTS)
+_TURNS = f"(SELECT conv_id * 1000 + turn AS msg_id, text || chr(10) || [{_SAID}][(conv_id + turn) % {len(views.STATEMENTS)} + 1] AS message FROM conversations WHERE text IS NOT NULL)"
+_TAGGED = f"list_filter(list_transform(string_split(text, ' ')[1:30], lambda x: left({_strip('x')}, {V.TAG_CHARS})), lambda x: x <> '')"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "merge_apply_snapshot": f"""WITH {_merge_plan()},
+        inn AS (SELECT target AS id, list(text ORDER BY cand_id) AS parts FROM plan JOIN cands USING (cand_id) WHERE decision = 'merge' GROUP BY 1),
+        kept AS (SELECT scope, CASE WHEN id IN (SELECT target FROM plan WHERE decision = 'update') THEN 'outdated' ELSE status END AS status,
+                        CASE WHEN parts IS NULL THEN text ELSE list_reduce(parts, lambda a, b: {_merged('a', 'b')}, text) END AS text FROM mem LEFT JOIN inn USING (id)),
+        al AS (SELECT * FROM kept UNION ALL SELECT scope, 'active', {_strip('text')} FROM cands JOIN plan USING (cand_id) WHERE decision IN ('new', 'update'))
+        SELECT scope, status, count(*) AS n, sum(length(text))::BIGINT AS chars FROM al GROUP BY 1, 2""",
+    "budget_fold": _budget(),
+    "export_document": _export(),
+    "daily_document": f"""WITH {_MEM}, d AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS r FROM mem WHERE scope = 'daily' AND status IN ('active', 'pending', 'archived') AND project_key = 'src6'),
+        o AS (SELECT regexp_replace('# Daily log' || chr(10) || chr(10) || coalesce(string_agg('## ' || strftime(created_at, '%Y-%m-%d') || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY r), ''), '\\s+$', '') || chr(10) AS t FROM d WHERE r <= {V.DAILY_LIMIT})
+        SELECT length(t)::INT AS chars, sha256(t) AS digest FROM o""",
+    "mem_any_project": f"WITH {_MEM} SELECT id, project_key FROM mem WHERE project_key IS NOT NULL AND status = 'active'",
+    "panel_rows": f"""WITH {_MEM} SELECT 'layer' AS ask, id, scope FROM mem WHERE scope = 'global' AND status = 'active' AND list_contains(tags, 'fr') AND project_key IS NULL
+        UNION ALL SELECT 'project', id, scope FROM mem WHERE list_contains(tags, 'en') AND project_key = 'src2'""",
+    "mem_listed_scopes": f"""WITH {_MEM} SELECT 'keyless' AS ask, id, scope FROM mem WHERE scope = 'global' OR scope = 'daily' AND project_key IS NULL
+        UNION ALL SELECT 'keyed', id, scope FROM mem WHERE scope = 'global' OR scope = 'project' AND project_key = 'src4'""",
+    "panel_clamps": f"""SELECT doc_id AS id, CASE WHEN doc_id % 5 > 0 THEN greatest(1, least(200, doc_id * 37 % 400 - 50)) ELSE 30 END::INT AS "limit", greatest(0, least(1000000, (doc_id - 20) * 9973))::INT AS "offset",
+        CASE WHEN doc_id % 4 > 0 THEN greatest(0, least(5, doc_id % 11 - 3)) END::INT AS importance, CASE WHEN doc_id % 3 > 0 THEN greatest(1, least(200, doc_id % 300 - 10)) ELSE 200 END::INT AS entries,
+        least(32, len(string_split(text, ' ')))::INT AS n_tags, array_to_string(list_transform(string_split(text, ' ')[1:32], lambda x: left(x, 40)), '|') AS tags, left(text, 200) AS title, doc_id % 5 <> {len(V.SCOPES)} AS valid FROM documents""",
+    "attachments_cut": f"WITH {_MEM} SELECT id, sha256(text) AS digest FROM mem",
+    "project_keys": f"WITH {_MEM} SELECT id, left(sha1('git' || chr(0) || lower(project_path || '/Repo' || id)), 16) AS key FROM mem",
+    "joined_sections": f"WITH {_MEM} SELECT id, sha256({_strip('title')} || chr(10) || chr(10) || CASE WHEN id % 2 = 0 AND {_strip('text')} <> '' THEN {_strip('text')} || chr(10) || chr(10) ELSE '' END || 'end') AS digest FROM mem",
+    "tag_lists": f"WITH {_MEM}, t AS (SELECT id, {_TAGGED} AS l FROM mem) SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:{V.TAG_CAP}], '|') AS tags FROM t",
+    "like_escapes": f"""WITH {_MEM}, h AS (SELECT id, left(text, 60) || '100%_!' AS head FROM mem)
+        SELECT id, replace(replace(replace(head, '!', '!!'), '%', '!%'), '_', '!_') AS pattern, true AS own, substr(head, 2) || 'x' = head AS other FROM h""",
+    "natural_order": f"WITH {_MEM} SELECT id, project_path, row_number() OVER (PARTITION BY project_path ORDER BY id)::INT AS pos FROM mem",
+    "day_keys": f"WITH {_MEM} SELECT id, strftime(created_at + INTERVAL 8 HOUR, '%Y-%m-%d') AS day FROM mem",
+    "neighbour_pairs": f"""WITH {_MEM}, t AS MATERIALIZED (SELECT id, {_norm('text')} AS n, {_MARK_T} IS NOT NULL AS neg, {_REST_T} AS aff FROM mem),
+        g AS MATERIALIZED (SELECT id, neg, aff, {_grams('n')} AS g, {_norm('aff')} AS an FROM t), h AS MATERIALIZED (SELECT id, neg, aff, g, {_grams('an')} AS ag FROM g),
+        p AS MATERIALIZED (SELECT l.id, l.g AS ga, r.g AS gb, len(list_intersect(l.g, r.g)) AS c, l.neg <> r.neg AS differ, length(l.aff) <= length(r.aff) AS first, l.aff AS x, r.aff AS y, l.ag AS gx, r.ag AS gy, len(list_intersect(l.ag, r.ag)) AS ac FROM h l JOIN h r ON r.id = l.id + 1)
+        SELECT id, round(CASE WHEN len(ga) + len(gb) = 0 THEN 1 ELSE c / (len(ga) + len(gb) - c) END, 6) AS sim, round(CASE WHEN len(ga) = 0 THEN 0 ELSE c / len(ga) END, 6) AS share,
+               differ AND CASE WHEN first THEN length(x) > 0 AND (contains(y, x) OR len(gx) > 0 AND ac / len(gx) >= {V.CONTRADICTION_OVERLAP}) ELSE length(y) > 0 AND (contains(x, y) OR len(gy) > 0 AND ac / len(gy) >= {V.CONTRADICTION_OVERLAP}) END AS clash FROM p""",
+    "extract_turns": f"WITH {_extracted(_TURNS)} SELECT * FROM ex",
+    "extract_batches": f"""WITH {_extracted(_TURNS, V.BATCH_CANDIDATES)}, f AS (SELECT *, msg_id // 1000 AS conv_id, row_number() OVER (PARTITION BY msg_id // 1000, lower(text) ORDER BY msg_id, pos) AS n FROM ex),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY msg_id, pos) AS i FROM f WHERE n = 1)
+        SELECT conv_id, msg_id % 1000 AS turn, pos, text, kind FROM o WHERE i <= {V.BATCH_CANDIDATES}""",
+    "step_queries": f"""SELECT conv_id AS session, right(arg_max({_strip('text')}, turn), {V.STEP_QUERY_CHARS}) AS query FROM conversations WHERE role = 'user' AND {_strip('text')} <> '' GROUP BY 1""",
+    "memory_file_items": f"""WITH {_MEM}, b AS (SELECT id, title, {_strip('text')} AS body, 'key-' || id AS key FROM mem)
+        SELECT 'm' || id || '#conversations_memory/1' AS uri, 'claude-memory|conversations|Topic ' || id AS item_id, {_label("('Topic ' || id)", 'title')} AS title, 'claude,memory' AS tags, sha256(title) AS digest FROM b
+        UNION ALL SELECT 'm' || id || '#project/' || left(key, 8), 'claude-memory|project|' || key, {_label("('Claude project memory · ' || left(key, 8))", 'body')}, 'claude,memory,project:' || left(key, 8), sha256(body) FROM b WHERE body <> ''
+        UNION ALL SELECT 'm' || id || '#file/notes/' || id || '.md', 'claude-memory|file|notes/' || id || '.md', {_label("('Claude memory file · ' || id || '.md')", 'body')}, 'claude,memory,memory-file', sha256(body) FROM b WHERE body <> ''""",
+    "json_wrapped": f"""WITH {_MEM}, b AS (SELECT *, {_body('text')} AS body FROM mem)
+        SELECT 'x' || id || '.json' AS uri, 'file|' || id AS item_id, title, CASE WHEN id % 4 <> 1 THEN scope END AS scope, strftime(created_at, '%Y-%m-%d') AS at, sha256(body) AS digest FROM b WHERE body <> ''""",
     "merge_widened": f"WITH {_merge_plan(kind="'correction'")} SELECT cand_id, decision, target, reason FROM plan",
     "distill_report": f"""WITH {_GATED},{_merge_plan(_FROM_STATEMENTS, 'kind')}
         SELECT count(*) FILTER (WHERE decision = 'new') AS written, count(*) FILTER (WHERE decision = 'merge') AS merged, count(*) FILTER (WHERE decision = 'update') AS updated,
@@ -403,3 +501,4 @@ ORACLE_SQL: dict[str, str] = {
         left(sha256('claude-code|s' || conv_id || '|' || n || '|user|' || {_strip('text')}), 24) AS item_id, 'claude,claude-code,/work/x' AS tags
         FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations) WHERE role = 'user' AND {_strip('text')} <> ''""",
 }
+ORACLE_SQL["distill_summary"] = f"SELECT written || ' written, ' || merged || ' merged, ' || updated || ' updated, ' || ignored || ' ignored, ' || rejected || ' rejected' AS summary FROM ({ORACLE_SQL['distill_report']})"

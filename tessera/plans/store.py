@@ -92,12 +92,14 @@ class Store:
 
 
 def validate_panel(value: dict) -> dict:
-    """Clamps and checks of panel input: limit, offset, importance, tags, title."""
+    """Clamps and checks of panel input: limit, offset, importance, log entries, tags, title."""
     out = dict(value)
     out["limit"] = min(max(int(value.get("limit", 30)), 1), 200)
     out["offset"] = min(max(int(value.get("offset", 0)), 0), 1_000_000)
     if value.get("importance") is not None:
         out["importance"] = min(max(int(value["importance"]), 0), 5)
+    if value.get("entries") is not None:
+        out["entries"] = min(max(int(value["entries"]), 1), 200)
     if value.get("tags") is not None:
         out["tags"] = [str(t)[:40] for t in value["tags"]][:32]
     if value.get("title") is not None:

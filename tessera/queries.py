@@ -14,7 +14,7 @@ from .functions import scalar as S
 from .functions import text as X
 from .operators import assemble, daily, distill, importing, merge, relational, retrieval
 from .operators.model import Query
-from .sources import json_exports, metrics, notes
+from .sources import export, json_exports, metrics, notes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _NOW = datetime(2024, 2, 1)
@@ -483,3 +483,145 @@ def zcode_frontmatter(spark, sf_dir):
 def workbuddy_items(spark, sf_dir):
     files = spark.createDataFrame([("w/.workbuddy/memory/x_memory.md", _STORE, 0), ("w/.workbuddy/memory/2024-01-02.md", "- did a thing\n- did another", 1)], "path string, text string, ord long")
     return notes.memory_files(files)
+
+
+# -- filters, functions and documents over whole tables ------------------------------------------
+
+
+@query
+def mem_any_project(spark, sf_dir):
+    return relational.list_memories(views.mem(spark, sf_dir), Query(status=("active",), project_key="src1", by_project=True, any_project=True)).select("id", "project_key")
+
+
+@query
+def panel_rows(spark, sf_dir):
+    m = views.mem(spark, sf_dir)
+    asked = {"layer": relational.panel_filter("global", "active", "fr", global_only=True), "project": relational.panel_filter(tag="en", project="src2")}
+    layer, project = (m.where(q.condition()).select(F.lit(name).alias("ask"), "id", "scope") for name, q in asked.items())
+    return layer.unionByName(project)
+
+
+@query
+def mem_listed_scopes(spark, sf_dir):
+    m = views.mem(spark, sf_dir)
+    asked = {"keyless": (("global", "project", "daily"), None), "keyed": (("project", "global"), "src4"), "none": (("project",), None)}
+    keyless, keyed, none = (m.where(relational.list_scopes(*a)).select(F.lit(name).alias("ask"), "id", "scope") for name, a in asked.items())
+    return keyless.unionByName(keyed).unionByName(none)
+
+
+@query
+def panel_clamps(spark, sf_dir):
+    d = views.documents(spark, sf_dir)
+    n = F.col("doc_id")
+    asked = d.select(
+        n.alias("id"), F.when(n % 5 > 0, n * 37 % 400 - 50).alias("limit"), ((n - 20) * 9973).alias("offset"), F.when(n % 4 > 0, n % 11 - 3).alias("importance"), F.when(n % 3 > 0, n % 300 - 10).alias("entries"),
+        F.split("text", " ").alias("tags"), F.col("text").alias("title"), F.element_at(F.array(*[F.lit(s) for s in (*V.SCOPES, "other")]), (n % 5 + 1).cast("int")).alias("scope"),
+    )
+    return relational.panel_input(asked).select("id", "limit", "offset", "importance", "entries", F.size("tags").alias("n_tags"), F.array_join("tags", "|").alias("tags"), "title", "valid")
+
+
+@query
+def attachments_cut(spark, sf_dir):
+    marked = F.concat("text", F.when(F.col("id") % 3 == 0, F.concat(F.lit(V.ATTACHMENT_MARKER + "\n"), "title", F.lit(V.ATTACHMENT_MARKER))).otherwise(""))
+    return views.mem(spark, sf_dir).select("id", F.sha2(X.strip_attachment(marked), 256).alias("digest"))
+
+
+@query
+def project_keys(spark, sf_dir):
+    return views.mem(spark, sf_dir).select("id", X.key_for(F.lit("git"), F.concat("project_path", F.lit("/Repo"), F.col("id").cast("string"))).alias("key"))
+
+
+@query
+def joined_sections(spark, sf_dir):
+    parts = F.array(F.concat(F.lit(" "), "title", F.lit("\n")), F.when(F.col("id") % 2 == 0, F.col("text")).otherwise("  "), F.lit("end"))
+    return views.mem(spark, sf_dir).select("id", F.sha2(X.join_sections(parts), 256).alias("digest"))
+
+
+@query
+def tag_lists(spark, sf_dir):
+    return views.mem(spark, sf_dir).select("id", F.array_join(X.normalize_tags(F.slice(F.split("text", " "), 1, 30)), "|").alias("tags"))
+
+
+@query
+def like_escapes(spark, sf_dir):
+    """Every escaped head of a text finds its own row by LIKE; one with its wildcards left open may find more."""
+    head = F.concat(F.substring("text", 1, 60), F.lit("100%_!"))
+    rows = views.mem(spark, sf_dir).select("id", head.alias("head"), X.escape_like(head).alias("pattern"))
+    return rows.select("id", "pattern", F.expr("head LIKE pattern ESCAPE '!'").alias("own"), F.expr("concat(substring(head, 2), 'x') LIKE pattern ESCAPE '!'").alias("other"))
+
+
+@query
+def natural_order(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    names = views.mem(spark, sf_dir).select("id", "project_path", X.natural_key(F.concat(F.lit("Rule-"), F.col("id").cast("string"), F.lit("b.md"))).alias("k"))
+    return names.select("id", "project_path", F.row_number().over(W.partitionBy("project_path").orderBy("k")).alias("pos"))
+
+
+@query
+def day_keys(spark, sf_dir):
+    return views.mem(spark, sf_dir).select("id", S.day_key(F.col("created_at"), "Asia/Shanghai").alias("day"))
+
+
+@query
+def neighbour_pairs(spark, sf_dir):
+    """Similarity, containment and contradiction of each text and the next one by id."""
+    m = views.mem(spark, sf_dir).select("id", F.col("text").alias("a"))
+    pairs = m.join(m.select((F.col("id") - 1).alias("id"), F.col("a").alias("b")), "id")
+    clash = X.contradict(X.read_statement(F.col("a")), X.read_statement(F.col("b")))
+    return pairs.select("id", F.round(X.similarity(F.col("a"), F.col("b")), 6).alias("sim"), F.round(X.containment(F.col("a"), F.col("b")), 6).alias("share"), clash.alias("clash"))
+
+
+@query
+def extract_turns(spark, sf_dir):
+    return distill.extract_candidates(views.spoken(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "message"))
+
+
+@query
+def extract_batches(spark, sf_dir):
+    rows = views.spoken(spark, sf_dir).select("conv_id", "turn", "message")
+    return distill.extract_from_messages(rows, "conv_id", "turn").select("conv_id", "turn", "pos", "text", "kind")
+
+
+@query
+def step_queries(spark, sf_dir):
+    return retrieval.step_queries(views.spoken(spark, sf_dir).select(F.col("conv_id").alias("session"), F.col("turn").alias("ord"), "role", "text"))
+
+
+@query
+def distill_summary(spark, sf_dir):
+    return distill.describe_report(distill_report(spark, sf_dir))
+
+
+@query
+def memory_file_items(spark, sf_dir):
+    """A memories file for each document: a bold section, a project's text and a memory file."""
+    number = F.col("id").cast("string")
+    fields = F.struct(
+        F.concat(F.lit("**Topic "), number, F.lit("**\n"), "title").alias("conversations_memory"), F.create_map(F.concat(F.lit("key-"), number), F.col("text")).alias("project_memories"),
+        F.array(F.struct(F.concat(F.lit("notes/"), number, F.lit(".md")).alias("path"), F.col("text").alias("content"))).alias("memory_files"),
+    )
+    files = views.mem(spark, sf_dir).select(F.concat(F.lit("m"), number).alias("path"), F.col("id").alias("ord"), F.to_json(fields).alias("text"))
+    return json_exports.claude_memories(files).select("uri", "item_id", "title", F.array_join("tags", ",").alias("tags"), F.sha2("text", 256).alias("digest"))
+
+
+@query
+def json_wrapped(spark, sf_dir):
+    """A JSON file for each document, its one item under a wrapper key."""
+    m = views.mem(spark, sf_dir)
+    item = F.struct(F.col("text").alias("note"), F.col("title").alias("subject"), F.when(F.col("id") % 4 == 1, "elsewhere").otherwise(F.col("scope")).alias("scope"), "id", F.date_format("created_at", "yyyy-MM-dd").alias("createdAt"))
+    files = m.select(F.concat(F.lit("x"), F.col("id").cast("string"), F.lit(".json")).alias("path"), F.col("id").alias("ord"), F.to_json(F.struct(F.array(item).alias("items"))).alias("text"))
+    return json_exports.json_items(files).select("uri", "item_id", "title", "scope", "at", F.sha2("text", 256).alias("digest"))
+
+
+@query
+def export_document(spark, sf_dir):
+    """The export, a document of at most ``EXPORT_LIMIT`` rows a layer."""
+    text = export.export_markdown(views.mem(spark, sf_dir), now=_NOW)
+    return spark.createDataFrame([(text,)], "text string").select(F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"))
+
+
+@query
+def daily_document(spark, sf_dir):
+    text = daily.to_markdown(daily.list_days(views.mem(spark, sf_dir), "src6"))
+    return spark.createDataFrame([(text,)], "text string").select(F.length("text").alias("chars"), F.sha2("text", 256).alias("digest"))

@@ -84,6 +84,13 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of ``conversations``, each message followed by one of the statements in turn, as the tables' own prose holds no cues."""
+    said = F.array(*[F.lit(message) for _, message in STATEMENTS])
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text IS NOT NULL")
+    return c.withColumn("message", F.concat("text", F.lit("\n"), F.get(said, ((F.col("conv_id") + F.col("turn")) % len(STATEMENTS)).cast("int"))))
+
+
 def statements(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(STATEMENTS), "msg_id int, message string")
 
