@@ -26,8 +26,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = links.unionByName(links.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct()
-        # every edge now points down, from a to b < a
+        large = both.where(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b")).where(a != b)
+        # every edge now points down, from a to b < a; they are as many as the links, and made distinct below
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
         # the edge set does not grow: its stored parts are as many as its last size asks for

@@ -177,7 +177,7 @@ def _leaf_edges(nodes: DataFrame) -> DataFrame:
         if made:
             yield _edge_batch(made)
 
-    return nodes.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint").distinct()
+    return nodes.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint")
 
 
 def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
