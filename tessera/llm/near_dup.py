@@ -191,8 +191,9 @@ def _sketches(column: pa.Array, n: int) -> np.ndarray:
 def _pivots(members: DataFrame) -> DataFrame:
     """node, keys, sketches and labels of a few members of each node; pivots whose sketches agree share a label."""
     spread = F.xxhash64("key")
-    drawn = members.groupBy("node", F.pmod(spread, F.lit(NODE_PIVOTS)).alias("p")).agg(F.min_by(F.struct("key", "sketch"), spread).alias("m"))
-    listed = drawn.groupBy("node").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    place = F.pmod(spread, F.lit(NODE_PIVOTS))
+    drawn = members.groupBy("node").agg(*[F.min_by(F.struct("key", "sketch"), F.when(place == i, spread)).alias(f"m{i}") for i in range(NODE_PIVOTS)])
+    listed = drawn.select("node", F.array_sort(F.filter(F.array(*[f"m{i}" for i in range(NODE_PIVOTS)]), lambda m: m.isNotNull())).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,8 +259,8 @@ def _rest_edges(rows: DataFrame) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint")
 
 
-def _settle(members: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """Edges found in large nodes (node, key, n, used, sketch), and the rows of nodes that have to branch."""
+def _settle(members: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of large nodes (node, key, n, used, sketch): edges to pivots, cells for ``_rest_edges``, and the rows of nodes that have to branch."""
     marked = common.cut(_against_pivots(members), "marked")
     star = marked.select(F.col("key").alias("a"), F.explode("joined").alias("b")).where("a != b")
     groups = marked.groupBy("node", "label").agg(F.count("*").alias("c"), F.first("n").alias("n"))
@@ -270,7 +271,7 @@ def _settle(members: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
     few = judged.where(f"outside BETWEEN 1 AND {leaf}").withColumn("out", F.col("label") != F.col("top"))
     block = F.when(F.col("out"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), blocks)))
     cells = few.select("node", "key", "out", "sketch", F.explode(block).alias("block")).select(F.xxhash64("node", "block").alias("cell"), "key", "out", "sketch")
-    return star.unionByName(_rest_edges(cells)), judged.where(f"outside > {leaf}").select("node", "key", "used", "sketch")
+    return star, cells, judged.where(f"outside > {leaf}").select("node", "key", "used", "sketch")
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
@@ -301,23 +302,29 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.array(np.tile(batch.column("key").to_numpy(), BRANCHES)), pa.array(np.concatenate(paths).view(np.int64))], ["node", "key", "used"])
 
     sketches = classes.select("key", "sketch")
+    leaves, cells = [], []
     rows = classes.select("key", "roots").mapInArrow(grow, "node bigint, key bigint, used bigint")
     edges = []
     for depth in range(1, MAX_DEPTH + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1")
         live = common.cut(rows.join(sizes, "node"), "nodes")
-        edges.append(_leaf_edges(live.where(F.col("n") <= LEAF).select("node", "key").join(sketches, "key")))
+        leaves.append(live.where(F.col("n") <= LEAF).select("node", "key"))
         large = live.where(F.col("n") > LEAF)
         if large.isEmpty():
             break
         if depth == MAX_DEPTH:
             edges.append(large.select(F.col("key").alias("a"), F.col("least").alias("b")).where("a != b"))
             break
-        found, mixed = _settle(large.select("node", "key", "n", "used").join(sketches, "key").select("node", "key", "n", "used", "sketch"), LEAF)
+        found, rest, mixed = _settle(large.select("node", "key", "n", "used").join(sketches, "key").select("node", "key", "n", "used", "sketch"), LEAF)
         edges.append(found)
+        cells.append(rest)
         if mixed.isEmpty():
             break
         rows = mixed.mapInArrow(branch, "node bigint, key bigint, used bigint")
+    # nodes and cells of all depths are dealt once: their names are 64-bit hashes of the path
+    edges.append(_leaf_edges(reduce(DataFrame.unionByName, leaves).join(sketches, "key")))
+    if cells:
+        edges.append(_rest_edges(reduce(DataFrame.unionByName, cells)))
     return reduce(DataFrame.unionByName, edges)
 
 
