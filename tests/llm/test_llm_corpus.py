@@ -115,10 +115,11 @@ def test_near_duplicates_null_and_repeated_ids(spark):
     assert near_dup.near_duplicates(table(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("part_rows", [components.PART_ROWS, 40])
+def test_components_of_a_long_path(spark, part_rows):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (1001, 1002), (5000, 5000)]
     random.Random(1).shuffle(edges)
-    got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), part_rows=part_rows).collect()}
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000, 1002: 1000}
 
 
