@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, components
 from .components import connected_components
 
 SHINGLE = 5
@@ -188,40 +188,43 @@ def _sketches(column: pa.Array, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(n, -1, TOKENS)
 
 
+def _node_parts(rows: int) -> int:
+    """Files for a table with one row for each of the large nodes that ``rows`` rows can make up."""
+    return 1 + rows // LEAF // components.PART_ROWS
+
+
 def _pivots(members: DataFrame) -> DataFrame:
-    """node, keys, sketches and labels of a few members of each node; pivots whose sketches agree share a label."""
+    """node, keys and joined sketches of a few members of each node, in one aggregation."""
     spread = F.xxhash64("key")
-    drawn = members.groupBy("node", F.pmod(spread, F.lit(NODE_PIVOTS)).alias("p")).agg(F.min_by(F.struct("key", "sketch"), spread).alias("m"))
-    listed = drawn.groupBy("node").agg(F.array_sort(F.collect_list("m")).alias("m"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for node, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                m += m[:1] * (NODE_PIVOTS - len(m))
-                sketch = np.frombuffer(b"".join(x["sketch"] for x in m), np.uint16).reshape(-1, TOKENS)
-                union = _Union(len(m))
-                for i in range(len(m)):
-                    for j in np.flatnonzero((sketch[i + 1 :] == sketch[i]).sum(axis=1) >= CANDIDATE).tolist():
-                        union.join(i, i + 1 + j)
-                rows.append((node, [x["key"] for x in m], sketch.tobytes(), [union.find(i) for i in range(len(m))]))
-            if rows:
-                node, keys, sketches, labels = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(labels, pa.list_(pa.int32()))], ["node", "pivots", "pivot_sketches", "pivot_labels"])
-
-    return listed.mapInArrow(run, "node bigint, pivots array<bigint>, pivot_sketches binary, pivot_labels array<int>")
-
-
-def _against_pivots(members: DataFrame) -> DataFrame:
+    drawn = [F.min_by(F.struct("key", "sketch"), F.when(F.pmod(spread, F.lit(NODE_PIVOTS)) == p, spread)) for p in range(NODE_PIVOTS)]
+    found = members.groupBy("node").agg(*[m.alias(f"m{p}") for p, m in enumerate(drawn)])
+    names = [f"m{p}" for p in range(NODE_PIVOTS)]
+    filled = [F.coalesce(name, *names) for name in names]
+    return found.select("node", F.array(*[m["key"] for m in filled]).alias("pivots"), F.concat(*[m["sketch"] for m in filled]).alias("pivot_sketches"))
+
+
+def _pivot_labels(sketches: np.ndarray) -> np.ndarray:
+    """For each row of pivots, the first pivot of the group that each one belongs to; those that agree share a group."""
+    labels = np.tile(np.arange(NODE_PIVOTS, dtype=np.int32), (len(sketches), 1))
+    pairs = [(i, j) for i in range(NODE_PIVOTS) for j in range(i)]
+    same = {(i, j): (sketches[:, i] == sketches[:, j]).sum(axis=1) >= CANDIDATE for i, j in pairs}
+    for _ in range(NODE_PIVOTS - 1):  # the longest path between pivots
+        for i, j in pairs:
+            least = np.minimum(labels[:, i], labels[:, j])
+            labels[:, i], labels[:, j] = np.where(same[i, j], least, labels[:, i]), np.where(same[i, j], least, labels[:, j])
+    return labels
+
+
+def _against_pivots(members: DataFrame, pivots: DataFrame) -> DataFrame:
     """node, key, n, used, sketch, label (the group of pivots that the member agrees with, -1: none) and the pivots it is joined to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not (n := batch.num_rows):
                 continue
-            own = batch.column("sketch")
-            agree = (_sketches(own, n) == _sketches(batch.column("pivot_sketches"), n)).sum(axis=2) >= CANDIDATE
-            labels = np.array(batch.column("pivot_labels").to_pylist(), np.int32)
+            own, around = batch.column("sketch"), _sketches(batch.column("pivot_sketches"), n)
+            agree = (_sketches(own, n) == around).sum(axis=2) >= CANDIDATE
+            labels = _pivot_labels(around)
             keys = np.array(batch.column("pivots").to_pylist(), np.int64)
             label = np.where(agree, labels, NODE_PIVOTS).min(axis=1)
             # one pivot of each group that it agrees with
@@ -232,7 +235,6 @@ def _against_pivots(members: DataFrame) -> DataFrame:
                 ["node", "key", "n", "used", "sketch", "label", "joined"],
             )
 
-    pivots = common.cut(_pivots(members), "pivots")
     return members.join(pivots, "node").mapInArrow(run, "node bigint, key bigint, n bigint, used bigint, sketch binary, label int, joined array<bigint>")
 
 
@@ -259,12 +261,15 @@ def _rest_edges(rows: DataFrame) -> DataFrame:
 
 
 def _settle(members: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """Edges found in large nodes (node, key, n, used, sketch), and the rows of nodes that have to branch."""
-    marked = common.cut(_against_pivots(members), "marked")
+    """Edges found in large nodes (node, key, n, used, sketch; stored), and the rows of nodes that have to branch."""
+    parts = _node_parts(members.count())
+    pivots = common.cut(_pivots(members).coalesce(parts), "pivots")
+    marked = common.cut(_against_pivots(members, pivots), "marked")
+    common.discard(members)
     star = marked.select(F.col("key").alias("a"), F.explode("joined").alias("b")).where("a != b")
-    groups = marked.groupBy("node", "label").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    top = groups.groupBy("node").agg(F.max_by("label", F.struct(F.when(F.col("label") >= 0, F.col("c")).otherwise(-1).alias("c"), "label")).alias("top"), F.max(F.when(F.col("label") >= 0, F.col("c"))).alias("most"), F.max("n").alias("all"))
-    nodes = common.cut(top.select("node", "top", (F.col("all") - F.col("most")).alias("outside")), "settled")
+    counts = marked.groupBy("node").agg(F.first("n").alias("all"), *[F.count_if(F.col("label") == p).alias(f"c{p}") for p in range(NODE_PIVOTS)])
+    most = F.array_max(F.array(*[F.struct(F.col(f"c{p}").alias("c"), F.lit(p).alias("label")) for p in range(NODE_PIVOTS)]))
+    nodes = common.cut(counts.select("node", most["label"].alias("top"), (F.col("all") - most["c"]).alias("outside")).coalesce(parts), "settled")
     judged = marked.join(nodes, "node")
     blocks = F.ceil(F.col("n") / leaf)
     few = judged.where(f"outside BETWEEN 1 AND {leaf}").withColumn("out", F.col("label") != F.col("top"))
@@ -313,7 +318,8 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
         if depth == MAX_DEPTH:
             edges.append(large.select(F.col("key").alias("a"), F.col("least").alias("b")).where("a != b"))
             break
-        found, mixed = _settle(large.select("node", "key", "n", "used").join(sketches, "key").select("node", "key", "n", "used", "sketch"), LEAF)
+        members = large.select("node", "key", "n", "used").join(sketches, "key").select("node", "key", "n", "used", "sketch")
+        found, mixed = _settle(common.cut(members, "large"), LEAF)
         edges.append(found)
         if mixed.isEmpty():
             break
