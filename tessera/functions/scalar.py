@@ -56,7 +56,8 @@ def final_score(relevance: Column, recent: Column, importance: Column, weights:
 
 
 def clamp(value: Column, low: int, high: int) -> Column:
-    return F.when(value.isNotNull(), F.least(F.greatest(value.cast("int"), F.lit(low)), F.lit(high)))
+    """Bounded in the value's own type, then made an int: a value past an int's range is clamped like any other."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)).cast("int"))
 
 
 def used_at(last_used: Column, created: Column) -> Column:
