@@ -171,15 +171,15 @@ def insert(memories: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     return memories.select(*MEMORY_COLUMNS).unionByName(numbered.select(*columns))
 
 
-def update(memories: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
-    """Applies patches (id and any columns, null: keep); ``updated_at`` moves only where something changes."""
+def update(memories: DataFrame, patches: DataFrame, now: Column, moved: str | None = None) -> DataFrame:
+    """Applies patches (id and any columns, null: keep); ``updated_at`` moves only where something changes, which a column named ``moved`` can tell."""
     named = [c for c in patches.columns if c != "id"]
     joined = memories.join(patches.select("id", *[F.col(c).alias(f"__{c}") for c in named], F.lit(True).alias("__hit")), "id", "left")
     changed = F.lit(False)
     for c in named:
         changed = changed | (F.col(f"__{c}").isNotNull() & ~F.col(f"__{c}").eqNullSafe(F.col(c)))
-    columns = [F.coalesce(f"__{c}", c).alias(c) if c in named else F.col(c) for c in MEMORY_COLUMNS if c != "updated_at"]
-    return joined.select(*columns, F.when(changed, now).otherwise(F.col("updated_at")).alias("updated_at")).select(*MEMORY_COLUMNS)
+    columns = {c: F.coalesce(f"__{c}", c) if c in named else F.col(c) for c in MEMORY_COLUMNS} | {"updated_at": F.when(changed, now).otherwise(F.col("updated_at"))}
+    return joined.select(*[columns[c].alias(c) for c in MEMORY_COLUMNS], *([changed.alias(moved)] if moved else []))
 
 
 def touch(memories: DataFrame, ids: DataFrame, at: Column) -> DataFrame:

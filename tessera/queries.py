@@ -111,8 +111,7 @@ def mem_forget(spark, sf_dir):
 def mem_update(spark, sf_dir):
     m = views.mem(spark, sf_dir)
     patches = m.where("id % 10 = 3").select("id", F.lit("archived").alias("status"), F.when(F.col("id") % 20 == 3, F.lit(9)).alias("importance"))
-    out = relational.update(m, patches, _now())
-    return out.select("id", "status", "importance", (F.col("updated_at") == _now()).alias("moved"))
+    return relational.update(m, patches, _now(), moved="moved").select("id", "status", "importance", "moved")
 
 
 @query

@@ -28,3 +28,8 @@ def same_as_sql(spark, folder, name):
 
 def test_panel_clamps_takes_offsets_past_an_int(spark, tmp_path):
     same_as_sql(spark, shifted(spark, tmp_path, 256_000), "panel_clamps")
+
+
+def test_mem_update_moves_only_what_changes(spark, tmp_path):
+    """The row of id 44640 was made, and last updated, at the time of the update."""
+    same_as_sql(spark, shifted(spark, tmp_path, 44_600), "mem_update")
