@@ -481,3 +481,23 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{FOLDER}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_unrelated_members_of_a_middling_node_do_not_branch(spark, monkeypatch):
+    """1500 documents with one first token in common, and nothing else: they are compared, not dealt over further nodes."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    roots = rng.integers(0, 2**63, (1500, near_dup._ROOTS), np.uint64)
+    roots[:, 0] = 7
+    sketch = rng.integers(0, 2**16, (1500, near_dup.TOKENS), np.uint16)
+    sketch[1400:1410] = sketch[5]
+    assert (near_dup._in_common(sketch, sketch[5]) == (sketch == sketch[5]).sum(axis=1)).all()
+
+    def settle(*_):
+        raise AssertionError("branches")
+
+    monkeypatch.setattr(near_dup, "_settle", settle)
+    rows = [(i, bytearray(r.tobytes()), bytearray(k.tobytes())) for i, (r, k) in enumerate(zip(roots, sketch, strict=True))]
+    edges = near_dup.candidate_edges(spark.createDataFrame(rows, "key bigint, roots binary, sketch binary")).collect()
+    assert len(edges) == 10 and {x for e in edges for x in e} == {5, *range(1400, 1410)}
