@@ -47,3 +47,9 @@ def timed(query, spark, folder, seconds):
 def test_merge_plan_is_one_pass_over_the_rows(spark):
     """Pairs of a candidate and a row of its layer took more than 260 seconds at this size."""
     assert len(timed(QUERIES["merge_plan_snapshot"], spark, "/root/testdata/sf0.1", 120)) == 200
+
+
+def test_widened_and_applied_merges_compare_once(spark):
+    """Each holds at least one plan as above; the applied one held three."""
+    assert len(timed(QUERIES["merge_widened"], spark, "/root/testdata/sf0.1", 120)) == 200
+    assert timed(QUERIES["merge_apply_snapshot"], spark, "/root/testdata/sf0.1", 120)
