@@ -4,12 +4,15 @@ Similarity, containment and contradiction are shares of bigrams. A task turns it
 bigrams that the block's candidates hold, and one product with the candidates' matrix gives what every row
 shares with every candidate. The pass keeps, for each candidate and test, the first few rows; only those leave
 a task. Its cost is linear in the rows, whatever a layer holds.
+
+Rows of Latin-1 letters, once composed and in lower case, are compared as bytes, all of a step at once; other
+rows as code points. Both count the same grams.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -54,6 +57,46 @@ def _affirmed(low: str) -> tuple[bool, str]:
     return any(w in low for w in V.NEGATIONS), rest
 
 
+#: Stands between rows of bytes: no text in lower case holds it.
+_BETWEEN = b"A"
+
+
+@lru_cache(1)
+def _latin() -> tuple[bytes, bytes, bytes, list[bytes], int]:
+    """For texts of bytes: what ``norm`` drops, white space, the number of each letter (from 1), the negations and how many numbers there are.
+
+    A Latin-1 text that is composed and in lower case stays so whatever is taken out of it, as it has no marks that combine.
+    """
+    points = [chr(c) for c in range(256) if chr(c) != "A"]
+    drop = [c for c in points if not regex.fullmatch(r"[\p{L}\p{N}\p{Script=Han}]", c)]
+    white = [c for c in points if regex.fullmatch(r"\s", c)]
+    kept = [c for c in points if c not in drop and unicodedata.normalize("NFKC", c).lower() == c]
+    number = bytearray(256)
+    for i, c in enumerate(kept):
+        number[ord(c)] = i + 1
+    words = [w.encode("latin-1") for w in V.NEGATIONS if w.isascii()]
+    return "".join(drop).encode("latin-1"), "".join(white).encode("latin-1"), bytes(number), words, len(kept) + 1
+
+
+def _sizes(joined: bytes) -> np.ndarray:
+    """The number of bytes of each row."""
+    return np.diff(np.flatnonzero(np.frombuffer(joined, np.uint8) == _BETWEEN[0]), prepend=-1) - 1
+
+
+def _is_latin(low: str) -> bool:
+    if low.isascii():
+        return True
+    try:
+        low.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _joined(low: list[str]) -> bytes:
+    return b"".join([t.encode("latin-1") + _BETWEEN for t in low])
+
+
 @lru_cache(1)
 def _classes() -> tuple[np.ndarray, np.ndarray]:
     """For each code point, whether ``norm`` keeps it, and whether it is white space."""
@@ -93,6 +136,37 @@ class Grams:
         for c, own in enumerate(sets):
             self.held[[at[g] for g in own], c] = 1
 
+        _, _, number, _, self.letters = _latin()
+        narrow = (self.first < 256) & (self.second < 256)
+        code = np.frombuffer(number, np.uint8).astype(np.int64)
+        a, b = code[np.where(narrow, self.first, 0)], code[np.where(narrow, self.second, 0)]
+        #: The grams that rows of bytes can hold, and their cells.
+        self.narrow = np.flatnonzero(narrow & (b > 0) & ((a > 0) | (self.first == 0)))
+        self.cells = (a * self.letters + b)[self.narrow]
+        self.narrow_held = np.ascontiguousarray(self.held[self.narrow])
+
+    def shared_bytes(self, joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For normalised rows of bytes: the size of each, and as ``shared``."""
+        wide = self.letters
+        codes = np.frombuffer(_BETWEEN + joined, np.uint8)
+        codes = np.frombuffer(_latin()[2], np.uint8)[codes]
+        ends = np.flatnonzero(codes == 0)
+        n, sizes = len(ends) - 1, np.diff(ends) - 1
+        pair = codes[:-1].astype(np.uint16)
+        pair *= wide
+        pair += codes[1:]
+        bits = np.zeros((n, wide * wide), bool)
+        for r, (start, stop) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            bits[r][pair[start:stop].astype(np.int64)] = True
+        bits = bits.reshape(n, wide, wide)
+        bits[:, 0, :] = False
+        bits[:, :, 0] = False
+        alone = np.flatnonzero(sizes == 1)
+        bits[alone, 0, codes[ends[alone] + 1]] = True
+        bits = bits.reshape(n, wide * wide)
+        counts = np.count_nonzero(bits, axis=1)
+        return sizes, counts.astype(np.int64), (bits[:, self.cells].astype(np.float32) @ self.narrow_held).astype(np.int64)
+
     def shared(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For normalised rows: distinct grams of each, and how many it shares with each candidate."""
         n, wide = len(sizes), len(self.first)
@@ -153,6 +227,12 @@ class _First:
         """``columns``: score, created, id, share, len."""
         held = self.rows[c]
         if held is not None:
+            if len(held[0]) == self.depths[c]:
+                keep = columns[0] >= held[0][-1]
+                if not keep.any():
+                    return
+                if not keep.all():
+                    columns = tuple(x[keep] for x in columns)
             columns = tuple(np.concatenate(p) for p in zip(held, columns, strict=True))
         k = self.depths[c]
         if len(columns[0]) > 4 * k + 64:  # rows of a score under the k-th need no sorting
@@ -200,45 +280,91 @@ class Block:
 
     def compare(self, rows: dict, first: dict[str, _First], seen: set[int]) -> None:
         """Takes some rows (columns as lists) into ``first``, and the layers that they are of into ``seen``."""
-        letters, white = _classes()
+        rows = {**rows, "low": [unicodedata.normalize("NFKC", t or "").lower() for t in rows["text"]]}
+        latin = [_is_latin(t) for t in rows["low"]]
+        for kind in (True, False):
+            if kind in latin:
+                at = [r for r, own in enumerate(latin) if own == kind]
+                self._compare(rows if len(at) == len(latin) else {name: [column[r] for r in at] for name, column in rows.items()}, kind, first, seen)
+
+    def _compare(self, rows: dict, latin: bool, first: dict[str, _First], seen: set[int]) -> None:
         layer = np.array([self.layers.get(x, -1) for x in zip(rows["scope"], rows["layer_key"], strict=True)])
         key = np.array([self.keys.get(k, -1) for k in rows["project_key"]])
         near = layer[:, None] == self.layer[None, :]
         seen.update(layer[layer >= 0].tolist())
-        texts = [t if t is not None else "" for t in rows["text"]]
+        far = self.any_key[None, :] | (key[:, None] == self.key[None, :])
         given = np.array([t is not None for t in rows["text"]])[:, None] & self.given[None, :]
         ids, created = np.array(rows["id"], np.int64), np.array([UNDATED if c is None else c for c in rows["created"]], np.int64)
-        low = [unicodedata.normalize("NFKC", t).lower() if not t.isascii() else t.lower() for t in texts]
-        points, sizes = _flat(low)
-        points, sizes = _kept(points, sizes, letters[points])
-        own, shared = self.body.shared(points, sizes)
+        length = np.array([len(t or "") for t in rows["text"]], np.int64)
+        score, share, exact = (np.zeros(near.shape, kind) for kind in (float, float, bool))
+        at = np.flatnonzero(near.any(axis=1))  # other rows are asked for contradictions alone
+        if len(at):
+            score[at], share[at], exact[at] = self._alike([rows["low"][r] for r in at], [rows["title"][r] for r in at], [rows["text"][r] for r in at], given[at], latin)
+        clash = (self._clashes_bytes if latin else self._clashes)(rows["low"], given & (near | far))
+        none = np.zeros(len(ids))
+        tests = (("best", near & (score >= self.threshold), score), ("exact", near & exact & given, None), ("clash", near & clash, None), ("wide", clash & far, None))
+        for name, hit, by in tests:
+            for c in np.flatnonzero(hit.any(axis=0)).tolist():
+                r = np.flatnonzero(hit[:, c])
+                first[name].add(c, (none if by is None else by[:, c])[r], created[r], ids[r], share[r, c], length[r])
+
+    def _alike(self, low: list[str], titles: list, texts: list, given: np.ndarray, latin: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Similarity, share of the candidate's grams, and equality, of each row and candidate."""
+        if latin:
+            joined = _joined(low).translate(None, _latin()[0])
+            sizes, own, shared = self.body.shared_bytes(joined)
+        else:
+            points, sizes = _flat(low)
+            points, sizes = _kept(points, sizes, _classes()[0][points])
+            own, shared = self.body.shared(points, sizes)
         total = own[:, None] + self.body.sizes[None, :] - shared
         score = np.where(given & (total > 0), shared / np.maximum(total, 1), 0.0)
         share = shared / np.maximum(self.body.sizes, 1)[None, :]
         if self.full is not None:
             # a row without a title has no titled form, as null takes all of a concatenation
-            both = [unicodedata.normalize("NFKC", f"{a} {t}").lower() if a is not None else "" for a, t in zip(rows["title"], texts, strict=True)]
-            at, of = _flat(both)
-            titled, shared = self.full.shared(*_kept(at, of, letters[at]))
+            both = [unicodedata.normalize("NFKC", f"{a} {t}").lower() if a is not None and t is not None else "" for a, t in zip(titles, texts, strict=True)]
+            if latin and all(map(_is_latin, both)):
+                _, titled, shared = self.full.shared_bytes(_joined(both).translate(None, _latin()[0]))
+            else:
+                at, of = _flat(both)
+                titled, shared = self.full.shared(*_kept(at, of, _classes()[0][at]))
             total = titled[:, None] + self.full.sizes[None, :] - shared
             score = np.where(given & self.titled[None, :] & (total > 0), np.maximum(score, shared / np.maximum(total, 1)), score)
-        length = np.array([len(t) for t in texts], np.int64)
-        ends = np.cumsum(sizes)
-        exact = np.zeros(near.shape, bool)
+        exact = np.zeros(given.shape, bool)
         wanted = {len(n) for n in self.exact}
+        ends = np.cumsum(sizes + 1 if latin else sizes)
         for r in np.flatnonzero(np.isin(sizes, list(wanted))).tolist():
-            for c in self.exact.get(points[ends[r] - sizes[r] : ends[r]].tobytes().decode("utf-32-le"), ()):
+            said = joined[ends[r] - 1 - sizes[r] : ends[r] - 1].decode("latin-1") if latin else points[ends[r] - sizes[r] : ends[r]].tobytes().decode("utf-32-le")
+            for c in self.exact.get(said, ()):
                 exact[r, c] = True
-        clash = self._clashes(low, given, letters, white)
-        far = self.any_key[None, :] | (key[:, None] == self.key[None, :])
-        none = np.zeros(len(ids))
-        tests = (("best", near & (score >= self.threshold), score), ("exact", near & exact & given, None), ("clash", near & clash, None), ("wide", clash & far, None))
-        for name, hit, by in tests:
-            for c in np.flatnonzero(hit.any(axis=0)).tolist():
-                r = np.flatnonzero(hit[:, c])
-                first[name].add(c, (none if by is None else by[:, c])[r], created[r], ids[r], share[r, c], length[r])
+        return score, share, exact
+
+    def _clashes_bytes(self, low: list[str], asked: np.ndarray) -> np.ndarray:
+        """Which of the ``asked`` pairs contradict each other, for Latin-1 rows."""
+        drop, white, _, words, _ = _latin()
+        out = np.zeros(asked.shape, bool)
+        at = np.flatnonzero(asked.any(axis=1))
+        if not len(at):
+            return out
+        joined = rest = _joined([low[r] for r in at])
+        for word in words:
+            rest = rest.replace(word, b"")
+        negative = _sizes(joined) != _sizes(rest)
+        wanted = asked[at] & (negative[:, None] != self.negative[None, :])
+        some = wanted.any(axis=1)
+        if not some.any():
+            return out
+        said = rest.split(_BETWEEN)
+        said = [said[r].translate(None, white) for r in np.flatnonzero(some)]
+        at, wanted = at[some], wanted[some]
+        length = np.array([len(t) for t in said], np.int64)
+        count, own, shared = self.affirmed.shared_bytes(b"".join([t + _BETWEEN for t in said]).translate(None, drop))
+        out[at] = self._overlapping(wanted, length, own, shared, count <= 1, lambda r: said[r].decode("latin-1"))
+        return out
 
-    def _clashes(self, low: list[str], given: np.ndarray, letters: np.ndarray, white: np.ndarray) -> np.ndarray:
+    def _clashes(self, low: list[str], asked: np.ndarray) -> np.ndarray:
+        """As ``_clashes_bytes``, for any rows."""
+        letters, white = _classes()
         said = [_affirmed(t) for t in low]
         negative, rest = np.array([s[0] for s in said]), [s[1] for s in said]
         points, sizes = _flat(rest)
@@ -255,13 +381,17 @@ class Block:
             points, sizes = _flat(norms)
             kept, count = _kept(points, sizes, letters[points])
         own, shared = self.affirmed.shared(kept, count)
+        return self._overlapping(asked & (negative[:, None] != self.negative[None, :]), length, own, shared, odd, lambda r: regex.sub(r"\s+", "", rest[r]))
+
+    def _overlapping(self, wanted: np.ndarray, length: np.ndarray, own: np.ndarray, shared: np.ndarray, odd: np.ndarray, said: Callable[[int], str]) -> np.ndarray:
+        """Of the ``wanted`` pairs, those where the shorter statement is in the longer one, or most of its grams are. ``odd``: rows whose grams do not tell the first."""
         shorter = self.length[None, :] <= length[:, None]
         size = np.where(shorter, self.affirmed.sizes[None, :], own[:, None])
-        said_twice = given & (negative[:, None] != self.negative[None, :]) & (np.minimum(self.length[None, :], length[:, None]) > 0)
-        out = said_twice & (size > 0) & (shared / np.maximum(size, 1) >= self.overlap)
-        left = said_twice & ~out & (odd[:, None] | self.odd[None, :])
+        wanted = wanted & (np.minimum(self.length[None, :], length[:, None]) > 0)
+        out = wanted & (size > 0) & (shared / np.maximum(size, 1) >= self.overlap)
+        left = wanted & ~out & (odd[:, None] | self.odd[None, :])
         for r in np.flatnonzero(left.any(axis=1)).tolist():
-            text = regex.sub(r"\s+", "", rest[r])
+            text = said(r)
             for c in np.flatnonzero(left[r]).tolist():
                 out[r, c] = _contains(self.rest[c], text)
         return out
