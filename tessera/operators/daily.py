@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as V
 from ..functions import scalar as S
 from ..functions import text as X
+from ..plans.work import stored
 from .model import MEMORY_COLUMNS
 from .relational import insert
 
@@ -40,6 +41,7 @@ def append(memories: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
     fresh = rendered_days(entries).withColumnRenamed("day", "__day").withColumnRenamed("project_key", "__key")
     found = days(memories).groupBy("date", "project_key").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"))
     target = fresh.join(found, (F.col("__day") == F.col("date")) & F.col("__key").eqNullSafe(F.col("project_key")), "left")
+    target = stored(target.select("__day", "__key", "body", "id"), "days")  # of known size: a few days meet the memories where they lie
     more = target.where("id IS NOT NULL").select("id", "body")
     joined = memories.join(more, "id", "left")
     hit = F.col("body").isNotNull()

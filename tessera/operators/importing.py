@@ -91,7 +91,7 @@ def apply_fold(memories: DataFrame, accepted: DataFrame, folded: DataFrame, now:
     Gives the next memories, and the id of the row that each candidate made.
     """
     accepted = accepted.withColumn("scope", merge.written_scope(F.col("scope")))
-    rows = accepted.join(folded, "cand_id")
+    rows = stored(accepted.join(folded, "cand_id"), "placed")  # of known size, as in apply_plan
     made = rows.where("decision IN ('new', 'update')").select("cand_id", "text", "title", "tags", "scope", "project_key", "importance", "source", "source_platform", "project_path", "target", "decision")
     into = rows.where("decision = 'merge' AND target < 0").groupBy((-F.col("target")).alias("cand_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("cand_id").alias("c"), "text"))).alias("__in"))
     gone = rows.where("decision = 'update' AND target < 0").select((-F.col("target")).alias("cand_id")).distinct().withColumn("__old", F.lit(True))
