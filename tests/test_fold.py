@@ -146,3 +146,19 @@ def test_long_latin_rows_take_less_than_half_the_time_of_code_points(monkeypatch
         compared(block, stored)
         took.append(time.process_time() - start)
     assert took[0] < took[1] / 2
+
+
+def test_corrections_measure_only_rows_that_can_contradict_them(monkeypatch):
+    """Rows of another layer are measured where their negation differs from a correction's, and then once; before, every row was, twice."""
+    measured = []
+    shared_bytes = overlap.Grams.shared_bytes
+
+    def counted(self, joined):
+        out = shared_bytes(self, joined)
+        measured.append(len(out[0]))
+        return out
+
+    monkeypatch.setattr(overlap.Grams, "shared_bytes", counted)
+    block = overlap.Block([overlap.Asked(1, "", "use pnpm", ("project", "k"), 1, True)], 0.0, V.CONTRADICTION_OVERLAP)
+    found = compared(block, ["use pnpm", "never use pnpm", "vite builds"] * 4)
+    assert measured == [4] and [i % 3 for i in found["wide"][0][2]] == [1]
