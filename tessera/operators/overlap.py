@@ -7,6 +7,9 @@ a task. Its cost is linear in the rows, whatever a layer holds.
 
 Rows of Latin-1 letters, once composed and in lower case, are compared as bytes, all of a step at once; other
 rows as code points. Both count the same grams.
+
+The newest rows of a batch come first. A contradiction counts by time alone, so a candidate that has found as many as
+it wants asks no older row for one.
 """
 
 from __future__ import annotations
@@ -241,6 +244,10 @@ class _First:
         order = np.lexsort((columns[2], columns[1], columns[0]))[::-1][:k]
         self.rows[c] = [x[order] for x in columns]
 
+    def since(self) -> np.ndarray:
+        """For a test without a score: the time from which on a row can still come in, for each candidate."""
+        return np.array([UNDATED if held is None or len(held[0]) < k else held[1][-1] for held, k in zip(self.rows, self.depths, strict=True)], np.int64)
+
 
 def _contains(asked: str, stored: str) -> bool:
     return asked in stored if len(asked) <= len(stored) else stored in asked
@@ -280,27 +287,33 @@ class Block:
 
     def compare(self, rows: dict, first: dict[str, _First], seen: set[int]) -> None:
         """Takes some rows (columns as lists) into ``first``, and the layers that they are of into ``seen``."""
-        rows = {**rows, "low": [unicodedata.normalize("NFKC", t or "").lower() for t in rows["text"]]}
-        latin = [_is_latin(t) for t in rows["low"]]
-        for kind in (True, False):
-            if kind in latin:
-                at = [r for r, own in enumerate(latin) if own == kind]
-                self._compare(rows if len(at) == len(latin) else {name: [column[r] for r in at] for name, column in rows.items()}, kind, first, seen)
-
-    def _compare(self, rows: dict, latin: bool, first: dict[str, _First], seen: set[int]) -> None:
         layer = np.array([self.layers.get(x, -1) for x in zip(rows["scope"], rows["layer_key"], strict=True)])
         key = np.array([self.keys.get(k, -1) for k in rows["project_key"]])
         near = layer[:, None] == self.layer[None, :]
         seen.update(layer[layer >= 0].tolist())
         far = self.any_key[None, :] | (key[:, None] == self.key[None, :])
         given = np.array([t is not None for t in rows["text"]])[:, None] & self.given[None, :]
-        ids, created = np.array(rows["id"], np.int64), np.array([UNDATED if c is None else c for c in rows["created"]], np.int64)
+        created = _times(rows["created"])
+        late = {test: created[:, None] >= first[test].since()[None, :] for test in ("clash", "wide")}
+        asked = given & (near & late["clash"] | far & late["wide"])
+        at = np.flatnonzero((near | asked).any(axis=1))
+        low = [unicodedata.normalize("NFKC", rows["text"][r] or "").lower() for r in at.tolist()]
+        latin = np.array([_is_latin(t) for t in low], bool)
+        for kind in (True, False):
+            own = np.flatnonzero(latin == kind)
+            if len(own):
+                r = at[own]
+                some = {name: [rows[name][i] for i in r.tolist()] for name in ("id", "title", "text")} | {"created": created[r], "low": [low[i] for i in own.tolist()]}
+                self._compare(some, kind, near[r], far[r], given[r], asked[r], first)
+
+    def _compare(self, rows: dict, latin: bool, near: np.ndarray, far: np.ndarray, given: np.ndarray, asked: np.ndarray, first: dict[str, _First]) -> None:
+        ids, created = np.array(rows["id"], np.int64), rows["created"]
         length = np.array([len(t or "") for t in rows["text"]], np.int64)
         score, share, exact = (np.zeros(near.shape, kind) for kind in (float, float, bool))
         at = np.flatnonzero(near.any(axis=1))  # other rows are asked for contradictions alone
         if len(at):
             score[at], share[at], exact[at] = self._alike([rows["low"][r] for r in at], [rows["title"][r] for r in at], [rows["text"][r] for r in at], given[at], latin)
-        clash = (self._clashes_bytes if latin else self._clashes)(rows["low"], given & (near | far))
+        clash = (self._clashes_bytes if latin else self._clashes)(rows["low"], asked)
         none = np.zeros(len(ids))
         tests = (("best", near & (score >= self.threshold), score), ("exact", near & exact & given, None), ("clash", near & clash, None), ("wide", clash & far, None))
         for name, hit, by in tests:
@@ -365,8 +378,14 @@ class Block:
     def _clashes(self, low: list[str], asked: np.ndarray) -> np.ndarray:
         """As ``_clashes_bytes``, for any rows."""
         letters, white = _classes()
-        said = [_affirmed(t) for t in low]
-        negative, rest = np.array([s[0] for s in said]), [s[1] for s in said]
+        out = np.zeros(asked.shape, bool)
+        at = np.flatnonzero(asked.any(axis=1))
+        said = [_affirmed(low[r]) for r in at.tolist()]
+        wanted = asked[at] & (np.array([s[0] for s in said], bool)[:, None] != self.negative[None, :])
+        some = np.flatnonzero(wanted.any(axis=1))
+        if not len(some):
+            return out
+        at, wanted, rest = at[some], wanted[some], [said[r][1] for r in some.tolist()]
         points, sizes = _flat(rest)
         length = _kept(points, sizes, ~white[points])[1]
         kept, count = _kept(points, sizes, letters[points])
@@ -381,7 +400,8 @@ class Block:
             points, sizes = _flat(norms)
             kept, count = _kept(points, sizes, letters[points])
         own, shared = self.affirmed.shared(kept, count)
-        return self._overlapping(asked & (negative[:, None] != self.negative[None, :]), length, own, shared, odd, lambda r: regex.sub(r"\s+", "", rest[r]))
+        out[at] = self._overlapping(wanted, length, own, shared, odd, lambda r: regex.sub(r"\s+", "", rest[r]))
+        return out
 
     def _overlapping(self, wanted: np.ndarray, length: np.ndarray, own: np.ndarray, shared: np.ndarray, odd: np.ndarray, said: Callable[[int], str]) -> np.ndarray:
         """Of the ``wanted`` pairs, those where the shorter statement is in the longer one, or most of its grams are. ``odd``: rows whose grams do not tell the first."""
@@ -397,9 +417,15 @@ class Block:
         return out
 
 
+def _times(created: list) -> np.ndarray:
+    return np.array([UNDATED if c is None else c for c in created], np.int64)
+
+
 def _steps(batch: pa.RecordBatch) -> Iterator[dict]:
-    """Rows of a batch as lists, of bounded number and text at a time."""
+    """Rows of a batch as lists, of bounded number and text at a time, the newest first."""
     rows = batch.to_pydict()
+    newest = np.argsort(_times(rows["created"]), kind="stable")[::-1].tolist()
+    rows = {name: [column[r] for r in newest] for name, column in rows.items()}
     sizes = np.array([len(t or "") + len(s or "") for t, s in zip(rows["text"], rows["title"], strict=True)], np.int64)
     start = 0
     while start < len(sizes):
@@ -432,20 +458,25 @@ def listed(rows: DataFrame, asked: list[Asked], threshold: float, overlap: float
             for some in _steps(batch):
                 block.compare(some, first, seen)
         for test, found in first.items():
-            for a, held in zip(block.asked, found.rows, strict=True):
-                if held is not None:
-                    score, created, ids, share, length = held
-                    n = len(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(n, a.cand_id), [test] * n, ids, created, score, share, length)], _NAMES)
+            held = [(a.cand_id, *columns) for a, columns in zip(block.asked, found.rows, strict=True) if columns is not None]
+            if held:
+                cands, *columns = zip(*held, strict=True)
+                score, created, ids, share, length = map(np.concatenate, columns)
+                own = np.repeat(np.array(cands, np.int64), [len(x) for x in columns[0]])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own, [test] * len(ids), ids, created, score, share, length)], _NAMES)
         own = [a.cand_id for a, layer in zip(block.asked, block.layer.tolist(), strict=True) if layer in seen]
         if own:
             n = len(own)
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(["pool"] * n), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int64())], _NAMES)
 
     found = rows.mapInArrow(run, LISTED)
-    depths = spark.createDataFrame([(a.cand_id, a.depth) for a in asked], "cand_id bigint, depth int")
     place = F.row_number().over(W.partitionBy("cand_id", "test").orderBy(F.desc("score"), F.desc("created"), F.desc("id")))
-    ranked = found.withColumn("__r", place).join(F.broadcast(depths), "cand_id")
+    ranked = found.withColumn("__r", place)
+    if len({a.depth for a in asked}) == 1:
+        ranked = ranked.withColumn("depth", F.lit(asked[0].depth))
+    else:
+        depths = spark.createDataFrame([(a.cand_id, a.depth) for a in asked], "cand_id bigint, depth int")
+        ranked = ranked.join(F.broadcast(depths), "cand_id")
     return ranked.where(F.col("__r") <= F.when(F.col("test").isin("wide", "pool"), 1).otherwise(F.col("depth"))).drop("depth")
 
 

@@ -4,6 +4,7 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 
 from tests.test_engine import memories
@@ -162,3 +163,45 @@ def test_corrections_measure_only_rows_that_can_contradict_them(monkeypatch):
     block = overlap.Block([overlap.Asked(1, "", "use pnpm", ("project", "k"), 1, True)], 0.0, V.CONTRADICTION_OVERLAP)
     found = compared(block, ["use pnpm", "never use pnpm", "vite builds"] * 4)
     assert measured == [4] and [i % 3 for i in found["wide"][0][2]] == [1]
+
+
+def stepped(monkeypatch, block, rows, step):
+    """The lists of a batch that is compared ``step`` rows at a time."""
+    monkeypatch.setattr(overlap, "ROWS", step)
+    depths = [a.depth for a in block.asked]
+    first = {t: overlap._First(depths) for t in ("best", "exact", "clash")} | {"wide": overlap._First([1] * len(depths))}
+    for some in overlap._steps(pa.RecordBatch.from_pydict(rows)):
+        block.compare(some, first, set())
+    return {t: [row and [x.tolist() for x in row[:3]] for row in found.rows] for t, found in first.items()}
+
+
+def test_older_rows_are_not_asked_for_contradictions_already_found(monkeypatch):
+    """Of 300 rows of another layer that all contradict a correction, the newest ten decide; before, all 300 were measured."""
+    measured = []
+    shared_bytes = overlap.Grams.shared_bytes
+
+    def counted(self, joined):
+        out = shared_bytes(self, joined)
+        measured.append(len(out[0]))
+        return out
+
+    monkeypatch.setattr(overlap.Grams, "shared_bytes", counted)
+    block = overlap.Block([overlap.Asked(1, "", "use pnpm", ("project", "k"), 1, True)], 0.0, V.CONTRADICTION_OVERLAP)
+    n = 300
+    rows = {"id": [*range(n)], "created": [*range(n)], "scope": ["daily"] * n, "layer_key": ["*"] * n, "project_key": [None] * n, "title": [""] * n, "text": ["never use pnpm"] * n}
+    assert stepped(monkeypatch, block, rows, 10)["wide"][0][2] == [n - 1]
+    assert measured == [10]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_small_steps_find_what_one_step_finds(monkeypatch, seed):
+    r = random.Random(seed)
+    n = 300
+    rows = {"id": r.sample(range(1000), n), "created": [r.choice([None, *range(40)]) for _ in range(n)], "scope": [r.choice(["global", "daily", "project"]) for _ in range(n)], "project_key": [r.choice([None, "k", "j"]) for _ in range(n)]}
+    rows["layer_key"] = [(k or "\0") if s == "project" else "*" for s, k in zip(rows["scope"], rows["project_key"], strict=True)]
+    rows |= {"title": [r.choice([None, "", "note"]) for _ in range(n)], "text": [None if r.random() < 0.05 else said(r) for _ in range(n)]}
+    layers = [("global", "*"), ("project", "k"), ("project", "j")]
+    asked = [overlap.Asked(i + 1, r.choice([None, "", "note"]), said(r), r.choice(layers), r.choice([1, 2, 5]), r.random() < 0.7, r.choice([None, "k"])) for i in range(60)]
+    block = overlap.Block(asked, 0.0, V.CONTRADICTION_OVERLAP)
+    found = stepped(monkeypatch, block, rows, n)
+    assert found == stepped(monkeypatch, block, rows, 7) and all(any(lists) for lists in found.values())
