@@ -462,8 +462,8 @@ def listed(rows: DataFrame, asked: list[Asked], threshold: float, overlap: float
             if held:
                 cands, *columns = zip(*held, strict=True)
                 score, created, ids, share, length = map(np.concatenate, columns)
-                own = np.repeat(np.array(cands, np.int64), [len(x) for x in columns[0]])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own, [test] * len(ids), ids, created, score, share, length)], _NAMES)
+                own = [c for c, x in zip(cands, columns[0], strict=True) for _ in x]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *[pa.array(x) for x in ([test] * len(ids), ids, created, score, share, length)]], _NAMES)
         own = [a.cand_id for a, layer in zip(block.asked, block.layer.tolist(), strict=True) if layer in seen]
         if own:
             n = len(own)
