@@ -145,7 +145,13 @@ def claude_memories(files: DataFrame) -> DataFrame:
 
 
 def _lines(files: DataFrame) -> DataFrame:
-    rows = files.select("path", "ord", F.posexplode(F.split("text", "\r?\n")).alias("n", "line"))
+    """path, ord, n, line: the lines that hold something, counted from 0.
+
+    A file is one row, or several that hold whole lines of it each and count the lines before them in ``first``:
+    then no task holds more of it than such a part.
+    """
+    first = F.col("first") if "first" in files.columns else F.lit(0)
+    rows = files.select("path", "ord", first.alias("first"), F.posexplode(F.split("text", "\r?\n")).alias("n", "line")).withColumn("n", F.col("first") + F.col("n")).drop("first")
     return rows.withColumn("line", X.strip(F.col("line"))).where("line <> ''")
 
 
@@ -179,7 +185,8 @@ def _generic_item(rows: DataFrame, uri: Column) -> DataFrame:
     scope = F.when(F.col("o.scope").isin(*V.SCOPES), F.col("o.scope"))
     strings = F.filter("o.tags", lambda t: F.schema_of_variant(t) == "STRING")
     tags = F.transform(strings, lambda t: F.variant_get(t, "$", "string"))
-    made = rows.withColumn("text", text).where("text <> ''")
+    # exploded, as a filter would be pushed below the parsing and parse the element again for each key
+    made = rows.withColumn("text", F.explode(F.filter(F.array(text), lambda t: t != "")))
     return _items(
         made, text=F.col("text"), uri=uri, title=X.strip(first(V.TITLE_KEYS)), tags=F.when(F.size(tags) > 0, tags), scope=scope, at=F.coalesce(string_of("at"), string_of("createdAt")),
         item_id=F.concat(F.lit("file|"), F.col("o.id")), kind=F.lit("entry"),
@@ -187,7 +194,7 @@ def _generic_item(rows: DataFrame, uri: Column) -> DataFrame:
 
 
 def json_lines(files: DataFrame, export_marker: str = "export") -> DataFrame:
-    """A line an item; a line that holds the export marker's key only names the format."""
+    """A line an item; a line that holds the export marker's key only names the format. Files may come in parts, as ``_lines`` has it."""
     rows = _lines(files).withColumnRenamed("line", "element")
     marked = F.get_json_object("element", f"$.{export_marker}").isNotNull() & F.col("element").startswith("{")
     rows = rows.where(~F.coalesce(marked, F.lit(False)))

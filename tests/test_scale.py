@@ -10,6 +10,7 @@ from tessera import views
 from tessera.operators import daily, importing, merge
 from tessera.oracle import ORACLE_SQL
 from tessera.queries import QUERIES
+from tessera.sources import json_exports
 
 
 def shifted(spark, folder, by):
@@ -57,6 +58,27 @@ def test_widened_and_applied_merges_compare_once(spark):
     assert timed(QUERIES["merge_apply_snapshot"], spark, "/root/testdata/sf0.1", 120)
 
 
+def test_generic_json_lines_holds_no_file_whole(spark, monkeypatch):
+    """Before, each of its 20 files was one row, a twentieth of all texts, and failed by executor memory at 6 GB."""
+    folder, given = "/root/testdata/sf0.01", []
+    monkeypatch.setattr(json_exports, "json_lines", lambda files, read=json_exports.json_lines: given.append(files) or read(files))
+    items = QUERIES["generic_json_lines"](spark, folder)
+    longest = views.documents(spark, folder).agg(F.max(F.length(F.to_json(F.struct("text"))))).first()[0]
+    assert given[0].agg(F.max(F.length("text"))).first()[0] < longest + 200
+    assert not any(node in items._jdf.queryExecution().executedPlan().toString() for node in ("Aggregate", "Exchange", "Window"))
+
+
+def test_generic_json_lines_are_numbered_in_their_files(spark, monkeypatch):
+    folder, given = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(json_exports, "json_lines", lambda files, read=json_exports.json_lines: given.append(files) or read(files))
+    QUERIES["generic_json_lines"](spark, folder)
+    rows = given[0].collect()
+    whole = [(f"x{g}.jsonl", g, "\n".join(r["text"] for r in sorted((r for r in rows if r["ord"] == g), key=lambda r: r["id"]))) for g in range(20)]
+    monkeypatch.undo()
+    expected = json_exports.json_lines(spark.createDataFrame(whole, "path string, ord long, text string"))
+    assert json_exports.json_lines(given[0]).orderBy("ord").collect() == expected.orderBy("ord").collect()
+
+
 def shuffles_texts(frame):
     """Whether the plan deals the memories out and sorts them for a join."""
     return "SortMergeJoin" in frame._jdf.queryExecution().executedPlan().toString()

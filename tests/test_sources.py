@@ -60,6 +60,27 @@ def test_generic_json(spark):
     assert [i["text"] for i in json_exports.json_items(of(spark, '{"text": "one"}')).collect()] == ["one"]
 
 
+def test_json_lines_in_parts_are_those_of_the_whole_file(spark):
+    """Before, a file had to be one row; parts were numbered each from 1."""
+    lines = ['{"export": 1}', '{"text": "a", "id": 1}', "", '"b"\r', '{"note": "c"}', "oops", "{}", '{"body": "d"}']
+    whole = json_exports.json_lines(of(spark, "\n".join(lines))).orderBy("ord").collect()
+    rows = [("f", 0, "\n".join(lines[i:j]) + end, i) for i, j, end in ((4, 8, ""), (0, 1, "\n"), (1, 4, ""))]
+    parts = json_exports.json_lines(spark.createDataFrame(rows, "path string, ord long, text string, first long")).orderBy("ord").collect()
+    assert parts == whole and [(i["text"], i["uri"]) for i in parts] == [("a", "f:2"), ("b", "f:4"), ("c", "f:5"), ("d", "f:8")]
+
+
+def parsings(frame):
+    """How often the plan has an element parsed as a variant."""
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("parseJson(")
+
+
+def test_generic_items_parse_an_element_once(spark):
+    """Before, the filter of empty texts was pushed below the parsing, and parsed the element again for each key."""
+    for read, text in ((json_exports.json_lines, '{"text": "a"}\n{"text": " "}'), (json_exports.json_items, '[{"text": "a"}, {"text": null}]')):
+        items = read(spark.createDataFrame([("f", 0, text)], "path string, ord long, text string"))
+        assert parsings(items) == 1 and [i["text"] for i in items.collect()] == ["a"]
+
+
 def test_markdown_by_headings_or_paragraphs(spark):
     by_head = notes.markdown(of(spark, "pre\n# A\none\n---\n## B\n\ntwo\n#### c\n")).orderBy("ord").collect()
     assert [(i["title"], i["text"], i["uri"]) for i in by_head] == [(None, "pre", "f#1"), ("A", "one", "f#A"), ("B", "two\n#### c", "f#B")]
