@@ -458,7 +458,8 @@ def generic_json_lines(spark, sf_dir):
     from pyspark.sql import Window as W
 
     d = views.mem(spark, sf_dir)
-    line = F.to_json(F.struct(F.when(F.col("id") % 2 == 0, F.col("text")).alias("note"), F.when(F.col("id") % 2 == 1, F.col("text")).alias("body"), F.col("title").alias("name"), "scope", "id", "tags"))
+    even = F.coalesce(F.col("id") % 2 == 0, F.lit(False))
+    line = F.to_json(F.struct(F.when(even, F.col("text")).alias("note"), F.when(~even, F.col("text")).alias("body"), F.col("title").alias("name"), "scope", "id", "tags"))
     lines = d.select(F.concat(F.lit("x"), (F.col("id") % 20).cast("string"), F.lit(".jsonl")).alias("path"), (F.col("id") % 20).alias("ord"), line.alias("text"), "id")
     # Files grow with the table, so each comes in parts of a line. Lines are numbered only for who asks for uri or ord: else the window is left out of the plan.
     files = lines.withColumn("first", F.row_number().over(W.partitionBy("path").orderBy("id", "text")) - 1)

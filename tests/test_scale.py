@@ -68,6 +68,11 @@ def test_generic_json_lines_holds_no_file_whole(spark, monkeypatch):
     assert not any(node in items._jdf.queryExecution().executedPlan().toString() for node in ("Aggregate", "Exchange", "Window"))
 
 
+def test_generic_json_lines_keeps_rows_of_any_id(spark, tmp_path):
+    """Before, odd ids below 0 and null ids gave lines without a text."""
+    same_as_sql(spark, shifted(spark, tmp_path, F.when(F.col("doc_id") % 3 > 0, -1000)), "generic_json_lines")
+
+
 def test_generic_json_lines_are_numbered_in_their_files(spark, monkeypatch):
     folder, given = "/root/testdata/sf0.001", []
     monkeypatch.setattr(json_exports, "json_lines", lambda files, read=json_exports.json_lines: given.append(files) or read(files))
